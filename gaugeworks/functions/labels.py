@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .text import (
     _col,
     all_groups,
+    bind,
     filled_tag,
     first_code_block,
     first_group,
@@ -193,29 +194,35 @@ def minutes(c) -> Column:
     zero.  Negative values, unknown units and other text set ``error``.
     """
     t = F.regexp_replace(F.lower(ws_strip(c)), "~", "")
-    t = F.regexp_replace(t, r"^[<>]\s*", "")
-    t = F.coalesce(t, F.lit(""))
-    is_range, is_single = t.rlike(_RANGE), t.rlike(_SINGLE)
+    t = F.coalesce(F.regexp_replace(t, r"^[<>]\s*", ""), F.lit(""))
+    return bind(t, _minutes_of)
+
+
+def _minutes_of(t) -> Column:
+    negative = t.rlike(r"(^|\s)-\s*[0-9]")
 
     def num(pattern, g):
         return F.regexp_extract(t, pattern, g).try_cast("double")
 
-    range_unit = F.regexp_extract(t, _RANGE, 3)
-    range_factor = F.when(range_unit == "", F.lit(1.0)).otherwise(_unit_factor(range_unit))
+    range_factor = bind(
+        F.regexp_extract(t, _RANGE, 3),
+        lambda u: F.when(u == "", F.lit(1.0)).otherwise(_unit_factor(u)),
+    )
     value = (
         F.when(t.isin("", "not_specified", "not specified"), F.lit(0.0))
-        .when(t.rlike(r"(^|\s)-\s*[0-9]"), F.lit(None).cast("double"))
+        .when(negative, F.lit(None).cast("double"))
         .when(t.rlike(rf"^{_NUMBER}\z"), t.try_cast("double"))
-        .when(is_range, (num(_RANGE, 1) + num(_RANGE, 2)) / 2 * range_factor)
-        .when(is_single, num(_SINGLE, 1) * _unit_factor(F.regexp_extract(t, _SINGLE, 2)))
+        .when(t.rlike(_RANGE), (num(_RANGE, 1) + num(_RANGE, 2)) / 2 * range_factor)
+        .when(t.rlike(_SINGLE), num(_SINGLE, 1) * _unit_factor(F.regexp_extract(t, _SINGLE, 2)))
+    )
+    reason = (
+        F.when(negative, F.lit("negative"))
+        .when(t.rlike(_RANGE) | t.rlike(_SINGLE), F.lit("unit"))
+        .otherwise(F.lit("unparsed"))
     )
-    error = F.when(
-        value.isNull(),
-        F.when(t.rlike(r"(^|\s)-\s*[0-9]"), F.lit("negative"))
-        .when(is_range | is_single, F.lit("unit"))
-        .otherwise(F.lit("unparsed")),
+    return bind(
+        value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), reason).alias("error"))
     )
-    return F.struct(value.alias("value"), error.alias("error"))
 
 
 _ACTIVITY_FIELDS = (
@@ -238,38 +245,55 @@ def activities(c) -> Column:
     def unspecified(x):
         return F.replace(F.lower(x), F.lit("_"), F.lit(" ")) == "not specified"
 
+    def fields(x):
+        return F.struct(
+            *[filled_tag(x, f).alias(n) for f, n in zip(_ACTIVITY_FIELDS, ("d", "b", "s", "o"))]
+        )
+
+    def numbers(x):
+        return F.struct(
+            x["d"].alias("d"),
+            F.lower(x["b"]).alias("b"),
+            (x["s"].isNull() | x["o"].isNull()).alias("gap"),
+            (unspecified(x["s"]) | unspecified(x["o"])).alias("zero"),
+            minutes(x["s"]).alias("s"),
+            minutes(x["o"]).alias("o"),
+        )
+
     def parse(x):
-        desc, belongs, saved_raw, orig_raw = [filled_tag(x, f) for f in _ACTIVITY_FIELDS]
-        belongs = F.lower(belongs)
-        saved, orig = minutes(saved_raw), minutes(orig_raw)
-        zero = unspecified(saved_raw) | unspecified(orig_raw)
         error = (
-            F.when(
-                desc.isNull() | belongs.isNull() | saved_raw.isNull() | orig_raw.isNull(),
-                F.lit("missing field"),
-            )
-            .when(~belongs.isin("yes", "no"), F.lit("belongs must be yes or no"))
-            .when(zero, F.lit(None).cast("string"))
-            .otherwise(F.coalesce(saved["error"], orig["error"]))
+            F.when(x["d"].isNull() | x["b"].isNull() | x["gap"], F.lit("missing field"))
+            .when(~x["b"].isin("yes", "no"), F.lit("belongs must be yes or no"))
+            .when(x["zero"], F.lit(None).cast("string"))
+            .otherwise(F.coalesce(x["s"]["error"], x["o"]["error"]))
         )
         return F.struct(
-            desc.alias("description"),
-            (belongs == "yes").alias("belongs"),
-            F.when(zero, F.lit(0.0)).otherwise(saved["value"]).alias("saved"),
-            F.when(zero, F.lit(0.0)).otherwise(orig["value"]).alias("original"),
+            x["d"].alias("description"),
+            (x["b"] == "yes").alias("belongs"),
+            F.when(x["zero"], F.lit(0.0)).otherwise(x["s"]["value"]).alias("saved"),
+            F.when(x["zero"], F.lit(0.0)).otherwise(x["o"]["value"]).alias("original"),
             error.alias("error"),
         )
 
-    parsed = F.transform(raw, parse)
+    parsed = F.transform(F.transform(F.transform(raw, fields), numbers), parse)
+    return bind(
+        F.struct(block.isNull().alias("no_block"), parsed.alias("parsed")), _activities_result
+    )
+
+
+def _activities_result(r) -> Column:
+    parsed = r["parsed"]
     first_error = F.get(
         F.filter(F.transform(parsed, lambda a: a["error"]), lambda e: e.isNotNull()), F.lit(0)
     )
     error = (
-        F.when(block.isNull(), F.lit("missing block"))
-        .when(F.size(raw) == 0, F.lit("no activities"))
+        F.when(r["no_block"], F.lit("missing block"))
+        .when(F.size(parsed) == 0, F.lit("no activities"))
         .otherwise(first_error)
     )
-    return F.struct(F.when(error.isNull(), parsed).alias("activities"), error.alias("error"))
+    return bind(
+        error, lambda e: F.struct(F.when(e.isNull(), parsed).alias("activities"), e.alias("error"))
+    )
 
 
 def _total(acts, field: str) -> Column:
@@ -292,8 +316,10 @@ def span_of(saved, original) -> Column:
 
 def span_bucket(acts) -> Column:
     """Span bucket of an activity array: saved over original where it belongs."""
-    acts = _col(acts)
-    return span_of(_total(acts, "saved"), _total(acts, "original"))
+    return bind(acts, lambda a: bind(
+        F.struct(_total(a, "saved").alias("s"), _total(a, "original").alias("o")),
+        lambda t: span_of(t["s"], t["o"]),
+    ))
 
 
 def n_unmatched(acts) -> Column:

@@ -20,6 +20,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c, fn) -> Column:
+    """Evaluate a column once and use the value several times in ``fn``."""
+    return F.get(F.transform(F.array(_col(c)), fn), F.lit(0))
+
+
 def ws_strip(c) -> Column:
     """Strip all Unicode white space from both ends."""
     return F.regexp_replace(_col(c), rf"(?U)^{_WS}+|{_WS}+\z", "")

@@ -207,7 +207,6 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def stable_hash(seed: int, *cols) -> Column:
-    """Seeded hash order for sampling; the same rows are picked on every run."""
-    return F.xxhash64(F.lit(seed), *cols)
-
+def stable_order(seed: int, *cols) -> Column:
+    """Seeded MD5 order for sampling: every run, and plain SQL, picks the same rows."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
