@@ -1,0 +1,18 @@
+"""All registered queries."""
+
+from . import (  # noqa: F401
+    convo_queries,
+    hierarchy_queries,
+    label_queries,
+    retrieval_queries,
+    round_queries,
+)
+from .registry import QUERIES, SQL
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)

@@ -113,7 +113,11 @@ def order_gaps(df: DataFrame, idx: str = "idx") -> DataFrame:
 
 
 def token_usage(
-    responses: DataFrame, limits: DataFrame | None = None, *, milestone: int = 1_000_000
+    responses: DataFrame,
+    limits: DataFrame | None = None,
+    *,
+    milestone: int = 1_000_000,
+    default_limit: int = 1_000_000_000,
 ) -> DataFrame:
     """Tokens per model, milestones passed and whether the model's limit is exceeded."""
     used = responses.groupBy("model").agg(
@@ -122,7 +126,8 @@ def token_usage(
     if limits is None:
         return used
     return used.join(limits.select("model", "token_limit"), "model", "left").withColumn(
-        "exceeded", F.coalesce(F.col("total_tokens") >= F.col("token_limit"), F.lit(False))
+        "exceeded",
+        F.col("total_tokens") > F.least(F.col("token_limit"), F.lit(default_limit)),
     )
 
 

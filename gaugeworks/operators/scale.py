@@ -198,7 +198,7 @@ def paged_lists(
     return grouped.select(
         *keys,
         page,
-        *[F.transform("__l", lambda e, n=n: e[f"__i_{n}"]).alias(n) for n in items],
+        *[F.col(f"__l.__i_{n}").alias(n) for n in items],
     )
 
 
