@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     convo_queries,
+    exposure_queries,
     hierarchy_queries,
     label_queries,
     retrieval_queries,

@@ -127,15 +127,14 @@ def structured_responses(t):
     SELECT event_id, event_id % 3 = 0 AS flagged, event_id % 6 = 0 AS violence, round(value / 100, 6) AS violence_score FROM {events}""")
 def moderation_flags(t):
     """Struct-valued responses of a moderation call."""
-    from ..schemas import MODERATION
+    from ..schemas import MODERATION_FIELDS
 
     body = F.to_json(F.struct(
         (F.col("event_id") % 3 == 0).alias("flagged"),
         F.struct((F.col("event_id") % 6 == 0).alias("violence")).alias("categories"),
         F.struct((F.col("value") / 100).alias("violence")).alias("category_scores"),
     ))
-    inner = MODERATION[len("STRUCT<"):-1]
-    got = t.events.select("event_id", X.structured(body, inner).alias("m"))
+    got = t.events.select("event_id", X.structured(body, MODERATION_FIELDS).alias("m"))
     return got.select(
         "event_id", "m.flagged", F.col("m.categories.violence").alias("violence"),
         F.round("m.category_scores.violence", 6).alias("violence_score"),
@@ -158,9 +157,9 @@ def label_tag(t):
 
 
 @query("label_multi", """
-    WITH x AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1), s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')) AS l FROM {pages})
-    SELECT page_id, len(list_filter(l, s -> s <> '')) AS n_items, array_to_string(list_filter(l, s -> s <> ''), '|') AS items
-    FROM x WHERE len(list_filter(l, s -> s <> '')) > 0""")
+    WITH x AS (SELECT page_id, [regexp_replace(s, '^\\s+|\\s+$', '', 'g') FOR s IN regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1)] AS l FROM {pages})
+    SELECT page_id, len([s FOR s IN l IF s <> '']) AS n_items, array_to_string([s FOR s IN l IF s <> ''], '|') AS items
+    FROM x WHERE len([s FOR s IN l IF s <> '']) > 0""")
 def label_multi(t):
     """All non-empty tags of a text, in order."""
     found = t.pages.select("page_id", L.tags("html", "li").alias("l")).filter("l IS NOT NULL")
@@ -171,7 +170,7 @@ def label_multi(t):
 
 @query("label_tag_lists", """
     WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<a(?:\\s+[^>]*)?>(.*?)</a>', 1) AS a, regexp_extract_all(html, '(?s)<title(?:\\s+[^>]*)?>(.*?)</title>', 1) AS t FROM {pages})
-    SELECT page_id, len(a) AS n_a, array_to_string(list_transform(t, s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')), '|') AS title FROM x""")
+    SELECT page_id, len(a) AS n_a, array_to_string([regexp_replace(s, '^\\s+|\\s+$', '', 'g') FOR s IN t], '|') AS title FROM x""")
 def label_tag_lists(t):
     got = t.pages.select("page_id", L.tag_lists("html", ["a", "title"], require_fence=False).alias("x"))
     return got.select(
@@ -370,7 +369,7 @@ def respondent_backgrounds(t):
 
 
 @query("score_map", """
-    SELECT doc_id, CASE WHEN output LIKE '%<answer>b</answer>%' THEN 0.205 WHEN output LIKE '% A. %' THEN 0.05 END AS beta FROM {responses}""")
+    SELECT doc_id, CASE WHEN output LIKE '%<answer>b</answer>%' THEN CAST(0.205 AS DOUBLE) WHEN output LIKE '% A. %' THEN 0.05 END AS beta FROM {responses}""")
 def score_map(t):
     return t.responses.select("doc_id", L.score(L.mcq("output", "ABCDE"), "synthetic").alias("beta"))
 
@@ -386,8 +385,8 @@ def checklist_score(t):
 
 
 @query("checklist_items", r"""
-    WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), s -> regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), s -> s <> '') AS l FROM {documents})
-    SELECT doc_id, len(l) AS n_items, array_to_string(l, chr(10)) AS items FROM x""")
+    WITH x AS (SELECT doc_id, [regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') FOR s IN string_split(text, chr(10))] AS a FROM {documents}), y AS (SELECT doc_id, [s FOR s IN a IF s <> ''] AS l FROM x)
+    SELECT doc_id, len(l) AS n_items, array_to_string(l, chr(10)) AS items FROM y""")
 def checklist_items(t):
     items = t.documents.select("doc_id", L.checklist_items(F.split("text", "\n")).alias("l"))
     return items.select("doc_id", F.size("l").cast("long").alias("n_items"), F.array_join("l", "\n").alias("items"))

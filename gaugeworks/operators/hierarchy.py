@@ -46,8 +46,8 @@ def adjacent_dwas(
         {"members": F.col(dwa)},
         page_rows=max_group,
     )
-    sizes = lists.groupBy("title", "task").agg(F.count(F.lit(1)).alias("n_pages"))
-    large = sizes.filter("n_pages > 1").select("title", "task")
+    sizes = lists.groupBy("title", "task").agg(F.sum(F.size("members")).alias("n"))
+    large = sizes.filter(F.col("n") > max_group).select("title", "task")
     groups = lists.join(large, ["title", "task"], "left_semi")
     small = lists.join(large, ["title", "task"], "left_anti").filter(F.size("members") > 1)
     pairs = (
@@ -140,9 +140,8 @@ def sibling_tasks(
     """
     distinct = tasks.select(title, task).distinct()
     pages = paged_lists(distinct, [title], [task], {"all_tasks": F.col(task)}, page_rows=max_group)
-    large = (
-        pages.groupBy(title).agg(F.count(F.lit(1)).alias("n_pages")).filter("n_pages > 1").select(title)
-    )
+    sizes = pages.groupBy(title).agg(F.sum(F.size("all_tasks")).alias("n"))
+    large = sizes.filter(F.col("n") > max_group).select(title)
     whole = pages.join(large, title, "left_anti").drop("page")
     rows = skew_join(distinct, whole, [title]).select(
         title, task, F.filter("all_tasks", lambda x: x != F.col(task)).alias("others")

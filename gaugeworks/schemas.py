@@ -46,10 +46,10 @@ MODERATION_CATEGORIES = (
     "violence",
     "violence_graphic",
 )
-MODERATION = (
-    "STRUCT<flagged: BOOLEAN, categories: STRUCT<"
+MODERATION_FIELDS = (
+    "flagged BOOLEAN, categories STRUCT<"
     + ", ".join(f"{c}: BOOLEAN" for c in MODERATION_CATEGORIES)
-    + ">, category_scores: STRUCT<"
+    + ">, category_scores STRUCT<"
     + ", ".join(f"{c}: DOUBLE" for c in MODERATION_CATEGORIES)
-    + ">>"
+    + ">"
 )
