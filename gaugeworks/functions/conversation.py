@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, first_group, ws_strip
+from .text import _col, bind, first_group, ws_strip
 
 _ROLE_LABEL = {"user": "Human: ", "assistant": "Assistant: "}
 
@@ -94,19 +94,21 @@ def _user_positions(convo) -> Column:
 
 def numbered_turns(convo) -> Column:
     """Turns in triple quotes; user turns carry their running number."""
-    convo = _col(convo)
-    positions = _user_positions(convo)
     quote = F.lit('"""')
 
-    def block(t, i):
-        number = F.array_position(positions, i + 1)
-        head = F.when(
-            t["role"] == "user",
-            F.concat(F.lit("Human turn "), number.cast("string"), F.lit(": ")),
-        ).otherwise(F.lit("Assistant: "))
-        return F.concat(head, quote, t["content"], quote)
+    def rendered(x):
+        def block(t, i):
+            number = F.array_position(x["at"], i + 1)
+            head = F.when(
+                t["role"] == "user",
+                F.concat(F.lit("Human turn "), number.cast("string"), F.lit(": ")),
+            ).otherwise(F.lit("Assistant: "))
+            return F.concat(head, quote, t["content"], quote)
+
+        return F.array_join(F.transform(x["convo"], block), "\n\n")
 
-    return F.array_join(F.transform(convo, block), "\n\n")
+    convo = _col(convo)
+    return bind(F.struct(convo.alias("convo"), _user_positions(convo).alias("at")), rendered)
 
 
 def prefix_to_user_turn(convo, k) -> Column:
@@ -147,8 +149,11 @@ def number_turns(turns) -> Column:
 def drop_turns(turns, excluded) -> Column:
     """Join the turns whose 0-based index is not excluded."""
     excluded = F.coalesce(_col(excluded), F.array().cast("array<int>"))
-    return F.array_join(
-        F.filter(_col(turns), lambda x, i: ~F.array_contains(excluded, i)), "\n\n"
+    return bind(
+        F.struct(_col(turns).alias("t"), excluded.alias("x")),
+        lambda s: F.array_join(
+            F.filter(s["t"], lambda t, i: ~F.array_contains(s["x"], i)), "\n\n"
+        ),
     )
 
 

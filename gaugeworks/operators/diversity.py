@@ -7,13 +7,16 @@ pick.  No distance matrix is formed and no group has to fit into one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpointed
+from ..functions.text import bind
+from ..session import materialised
 from .scale import first_per_key, positions, skew_join
 
 # fixed values: a token is two or more word characters
@@ -35,7 +38,7 @@ def ngrams(text) -> Column:
         )
         return F.concat(w, pairs)
 
-    return F.get(F.transform(F.array(words), grams), F.lit(0))
+    return bind(words, grams)
 
 
 def tfidf(
@@ -66,8 +69,12 @@ def tfidf(
     # one row's terms: bounded by the length of its own text
     packed = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("__v"))
     norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    packed = packed.select(key, F.col("__v.term").alias("terms"), F.col("__v.w").alias("w"), norm.alias("n"))
-    return packed.select(key, "terms", F.transform("w", lambda x: x / F.col("n")).alias("weights"))
+    # the norm is bound first: inside the loop over the terms it would be computed per term
+    unit = bind(
+        F.struct(F.col("__v.w").alias("w"), norm.alias("n")),
+        lambda s: F.transform(s["w"], lambda x: x / s["n"]),
+    )
+    return packed.select(key, F.col("__v.term").alias("terms"), unit.alias("weights"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -132,75 +139,75 @@ def diverse_rows(
     result has ``pick`` from 0, NULL for groups that were kept whole.
     """
     rows = df.filter(F.col(key).isNotNull())
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    if fit == "group":
-        distinct = rows.groupBy(*group).agg(
-            (F.min(F.sha2(text, 256)) == F.max(F.sha2(text, 256))).alias("__same")
-        )
-        counts = counts.join(distinct, group)
-    else:
+    counts = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__n"),
+        (F.min(F.sha2(text, 256)) == F.max(F.sha2(text, 256))).alias("__same"),
+    )
+    if fit == "corpus":
         counts = counts.withColumn("__same", F.lit(False))
-    sized = checkpointed(skew_join(rows, counts, group, null_equal=True))
-
+    sized = materialised(skew_join(rows, counts, group, null_equal=True))
     whole = sized.filter(F.col("__n") <= k).withColumn("pick", F.lit(None).cast("int"))
-    same = sized.filter((F.col("__n") > k) & F.col("__same"))
-    same = positions(same, group, [F.col(key)], "pick").filter(F.col("pick") < k) if fit == "group" else None
     large = sized.filter((F.col("__n") > k) & ~F.col("__same"))
 
-    within = group if fit == "group" else []
-    vectors = tfidf(rows if fit == "corpus" else large, key, text, within=within)
-    # slices of a large group, so that picks are joined without one task per group
+    vectors = tfidf(
+        rows if fit == "corpus" else large, key, text, within=group if fit == "group" else ()
+    )
+    # a large group is held in slices, each pick is sent to all of them
     slices = F.ceil(F.col("__n") / _SLICE_ROWS).cast("int")
     v = large.select(
         key, *group, "__n", slices.alias("__slices"),
         F.pmod(F.xxhash64(key), slices).cast("int").alias("__slice"),
     ).join(vectors, key, "left")
-    state = checkpointed(
-        _mean_distance(v, group, key).repartition(*group, "__slice")
-    ).withColumn("__d", F.round("__mean", _DIGITS))
-
-    picks = None
+    # partitioned once; the cache can be rebuilt from the written table
+    held = (
+        materialised(_mean_distance(materialised(v), group, key))
+        .repartition(*group, "__slice")
+        .persist()
+    )
+    chosen, found = None, []
     for i in range(k):
-        # the row with the largest distance that was not picked yet
-        candidates = state.filter(F.col("__d").isNotNull()).select(*group, key, "__d")
-        best = checkpointed(
-            first_per_key(candidates, group, [F.desc("__d"), F.asc(key)])
-            .select(*group, key)
-            .withColumn("pick", F.lit(i))
-        )
-        picks = best if picks is None else picks.unionByName(best)
-        if i == k - 1:
-            break
-        chosen = (
-            best.join(state.select(key, "__slices", "terms", "weights"), key)
-            .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)))
-            .select(
-                *[F.col(g).alias(f"__g_{g}") for g in group],
-                F.col("__slice").alias("__s"),
-                F.col(key).alias("__picked"),
-                F.col("terms").alias("__pt"),
-                F.col("weights").alias("__pw"),
+        if chosen is None:
+            ranked = held.withColumn("__d", F.round("__mean", _DIGITS))
+        else:
+            cond = F.col("__slice") == F.col("__s")
+            for g in group:
+                cond = cond & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+            distances = [
+                F.round(1 - _dot("terms", "weights", f"__t{j}", f"__w{j}"), _DIGITS) for j in range(i)
+            ]
+            picked = F.array(*[F.col(f"__k{j}") for j in range(i)])
+            ranked = (
+                held.join(chosen, cond)
+                .filter(~F.array_contains(picked, F.col(key)))
+                .withColumn("__d", F.least(*distances) if i > 1 else distances[0])
+            )
+        best = materialised(
+            first_per_key(
+                ranked.select(*group, key, "__slices", "terms", "weights", "__d"),
+                group, [F.desc("__d"), F.asc(key)],
             )
         )
-        cond = F.col("__slice") == F.col("__s")
-        for g in group:
-            cond = cond & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-        distance = F.round(1 - _dot("terms", "weights", "__pt", "__pw"), _DIGITS)
-        before = F.lit(None).cast("double") if i == 0 else F.col("__d")
-        joined = state.join(chosen, cond)
-        state = checkpointed(
-            joined.withColumn("__new", distance).withColumn(
-                "__d",
-                # a picked row leaves the running
-                F.when(F.col("__picked") == F.col(key), F.lit(None).cast("double"))
-                .when(F.lit(i > 0) & F.col("__d").isNull(), F.lit(None).cast("double"))
-                .otherwise(F.least(before, F.col("__new"))),
-            ).select(*state.columns)
+        found.append(best.select(key, F.lit(i).alias("pick")))
+        one = best.select(
+            *[F.col(g).alias(f"__g_{g}") for g in group],
+            F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)).alias("__s"),
+            F.col(key).alias(f"__k{i}"),
+            F.col("terms").alias(f"__t{i}"),
+            F.col("weights").alias(f"__w{i}"),
         )
-    chosen = large.join(picks.select(key, "pick"), key)
-    parts = [whole, chosen] + ([same.withColumn("pick", F.col("pick").cast("int"))] if same is not None else [])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        on = [*[f"__g_{g}" for g in group], "__s"]
+        chosen = one if chosen is None else _join_null_safe(chosen, one, on)
+    held.unpersist()
+    picks = reduce(DataFrame.unionAll, found)
+    out = whole.unionByName(large.join(picks, key))
+    if fit == "group":
+        same = sized.filter((F.col("__n") > k) & F.col("__same"))
+        same = positions(same, group, [F.col(key)], "pick").filter(F.col("pick") < k)
+        out = out.unionByName(same.withColumn("pick", F.col("pick").cast("int")))
     return out.drop("__n", "__same")
 
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"__x{c}" for c in on})
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__x{c}")) for c in on])
+    return left.join(renamed, cond).drop(*[f"__x{c}" for c in on])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import materialised
 
 HOT_ROWS = 1_000_000
 PAGE_ROWS = 1_000
@@ -46,12 +46,12 @@ def positions(df: DataFrame, keys: list[str], order: list, out: str) -> DataFram
     """Contiguous position from 0 within each key, without one task per key.
 
     A global sort splits a large key over many partitions.  The sorted table is
-    checkpointed, so that partition numbers stay fixed; the position is the
-    local position plus the number of rows of that key in earlier partitions.
+    written with its partition and row numbers, which fixes them; the position
+    is the local position plus the number of rows of that key in earlier
+    partitions.
     """
     sort_cols = [F.col(k) for k in keys] + list(order)
-    s = checkpointed(df.orderBy(*sort_cols))
-    s = s.withColumn("__mid", F.monotonically_increasing_id())
+    s = materialised(df.orderBy(*sort_cols).withColumn("__mid", F.monotonically_increasing_id()))
     s = s.withColumn("__pid", F.shiftright("__mid", _PID_SHIFT)).withColumn(
         "__at", F.col("__mid").bitwiseAND((1 << _PID_SHIFT) - 1)
     )

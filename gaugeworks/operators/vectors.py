@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from .scale import skew_join, stable_order
 
 
@@ -54,12 +55,12 @@ def _norm(v: Column) -> Column:
 def normalised(vector) -> Column:
     """Vector divided by its length."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    return F.get(
-        F.transform(
-            F.array(F.struct(v.alias("v"), _norm(v).alias("n"))),
-            lambda s: F.transform(s["v"], lambda x: x / s["n"]),
+    return bind(
+        v,
+        lambda x: bind(
+            F.struct(x.alias("v"), _norm(x).alias("n")),
+            lambda s: F.transform(s["v"], lambda e: e / s["n"]),
         ),
-        F.lit(0),
     )
 
 

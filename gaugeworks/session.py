@@ -1,32 +1,38 @@
-"""Session helpers: reliable checkpoints in the shared folder of the cluster."""
+"""Session helpers: tables written to the shared folder of the cluster."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make sure the session has a checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a local
     session without one gets a temporary folder of its own.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="gaugeworks-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise a table in the checkpoint folder and cut its lineage."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="gaugeworks-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder and read it back.
+
+    Cuts the lineage and fixes the rows, so that a lost executor never makes a
+    later step see other values.  A written table is computed once, where
+    ``checkpoint()`` would compute the last stage twice, and its size is known to
+    the planner.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
