@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     exposure_queries,
     hierarchy_queries,
     label_queries,
+    plan_queries,
     retrieval_queries,
     round_queries,
 )

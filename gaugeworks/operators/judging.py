@@ -36,13 +36,12 @@ def judge_inputs(questions: DataFrame, answers: DataFrame, baseline: str) -> Dat
     def history_ok(m):
         return C.previous_turns(m) == F.col("convo")
 
-    checked = (
-        F.when(F.col("base").isNull(), F.raise_error(F.lit("baseline answer missing")))
-        .when(
-            ~(history_ok("target") & history_ok("base")),
-            F.raise_error(F.lit("answer history differs from the question")),
-        )
-        .otherwise(answer_text("base"))
+    sound = F.col("base").isNotNull() & history_ok("target") & history_ok("base")
+    reason = F.when(F.col("base").isNull(), "baseline answer missing").otherwise(
+        "answer history differs from the question"
+    )
+    checked = F.when(sound, answer_text("base")).otherwise(
+        F.raise_error(reason).cast("string")
     )
     rows = joined.select(
         "uid", "category", "model", F.lit(baseline).alias("baseline"), "convo",
@@ -255,7 +254,7 @@ def replicate_summary(
 
 def _percent(x: Column) -> Column:
     """Rounded to one decimal, as text."""
-    return F.format_number(F.round(x * 100, 1), "0.0")
+    return F.format_string("%.1f", F.round(x * 100, 1))
 
 
 def ci_text(score: Column, lower: Column, upper: Column) -> Column:
