@@ -171,7 +171,7 @@ def judge_inputs(t):
     prompts = J.judge_prompts(_judge_inputs(t), template=_TEMPLATE, system={"ei": "be fair"})
     return prompts.select(
         "uid", "model", "game", F.get("prompt", F.lit(0))["content"].alias("system"),
-        C.last_content("prompt").alias("prompt"),
+        F.get("prompt", F.lit(1))["content"].alias("prompt"),
     )
 
 

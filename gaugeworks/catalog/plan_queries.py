@@ -212,7 +212,7 @@ def interview_labels(t):
 
 @query("score_with_retries", """
     SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE '25-49%' END AS score, CASE event_id % 4 WHEN 3 THEN 2 ELSE event_id % 4 END AS attempt,
-           CASE event_id % 4 WHEN 3 THEN 'missing block' END AS parse_error, CASE event_id % 4 WHEN 3 THEN NULL ELSE 0.37 END AS beta FROM {events}""")
+           CASE event_id % 4 WHEN 3 THEN 'missing block' END AS parse_error, CASE event_id % 4 WHEN 3 THEN NULL ELSE CAST(0.37 AS DOUBLE) END AS beta FROM {events}""")
 def score_with_retries(t):
     """Rows become readable after none, one or two retries, or never."""
     block = (
@@ -290,14 +290,14 @@ def homework_step(t):
 
 @query("load_candidates", """
     WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, category_task, category_occ, dwa, rank_idx FROM {pairs} WHERE category_occ IN (SELECT p_brand FROM {part} WHERE p_size = 7)
-               AND category_task IN (SELECT p_type FROM {part} WHERE p_retailprice > 1000)),
+               AND category_task IN (SELECT p_type FROM {part} WHERE p_retailprice > 950)),
     r AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY category_task, category_occ, dwa ORDER BY rank_idx, l_orderkey, l_linenumber, l_partkey, l_suppkey) <= 3)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r JOIN {preds} USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE round_idx = 0 AND step = 's1' AND pred_keep""")
 def load_candidates(t):
     """Two filters (both count), rank slice, survivors of one step."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     by_occ = t.part.filter("p_size = 7").select(F.col("p_brand").alias("category_occ"))
-    by_task = t.part.filter("p_retailprice > 1000").select(F.col("p_type").alias("category_task"))
+    by_task = t.part.filter("p_retailprice > 950").select(F.col("p_type").alias("category_task"))
     out = screening.load_candidates(
         t.pairs, filters=[by_occ, by_task], k_start=0, k_stop=3, preds=t.preds.filter("round_idx = 0"), steps=["s1"], keys=key
     )

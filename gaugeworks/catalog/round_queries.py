@@ -31,10 +31,10 @@ def semi_filter(t):
 
 @query("filter_union", """
     SELECT p_type AS category_task, p_brand AS category_occ FROM {part} WHERE p_size < 3
-    UNION SELECT p_type, p_brand FROM {part} WHERE p_retailprice > 1500""")
+    UNION SELECT p_type, p_brand FROM {part} WHERE p_retailprice > 990""")
 def filter_union(t):
     a = t.part.filter("p_size < 3").selectExpr("p_type AS category_task", "p_brand AS category_occ")
-    b = t.part.filter("p_retailprice > 1500").selectExpr("p_brand AS category_occ", "p_type AS category_task")
+    b = t.part.filter("p_retailprice > 990").selectExpr("p_brand AS category_occ", "p_type AS category_task")
     return rounds.union_filters(a.distinct(), b.distinct())
 
 

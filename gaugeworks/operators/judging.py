@@ -40,12 +40,12 @@ def judge_inputs(questions: DataFrame, answers: DataFrame, baseline: str) -> Dat
     reason = F.when(F.col("base").isNull(), "baseline answer missing").otherwise(
         "answer history differs from the question"
     )
-    checked = F.when(sound, answer_text("base")).otherwise(
-        F.raise_error(reason).cast("string")
+    checked = joined.filter(
+        F.when(sound, F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
     )
-    rows = joined.select(
+    rows = checked.select(
         "uid", "category", "model", F.lit(baseline).alias("baseline"), "convo",
-        checked.alias("__b"), answer_text("target").alias("__t"),
+        answer_text("base").alias("__b"), answer_text("target").alias("__t"),
     )
     games = F.array(
         F.struct(F.lit(0).alias("game"), F.col("__b").alias("a"), F.col("__t").alias("b")),
