@@ -56,7 +56,7 @@ def tag(c, name: str, *, ignore_case: bool = False, attributes: bool = False) ->
 
 def filled_tag(c, name: str, **kwargs) -> Column:
     """As :func:`tag`, but an empty tag counts as missing."""
-    return F.nullif(tag(c, name, **kwargs), F.lit(""))
+    return bind(tag(c, name, **kwargs), lambda v: F.when(v != "", v))
 
 
 def tags(c, name: str, *, ignore_case: bool = False, attributes: bool = True) -> Column:

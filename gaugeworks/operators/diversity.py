@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import bind
 from ..session import materialised
-from .scale import first_per_key, positions, skew_join
+from .scale import first_per_key, positions, skew_join, spread
 
 # fixed values: a token is two or more word characters
 TOKEN = r"(?U)\b\w\w+\b"
@@ -41,6 +41,20 @@ def ngrams(text) -> Column:
     return bind(words, grams)
 
 
+def _term_ids(text) -> Column:
+    """64-bit ids of the grams of a text."""
+    return F.transform(ngrams(text), lambda g: F.xxhash64(g))
+
+
+@F.pandas_udf(T.StructType([
+    T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.LongType()))
+]))
+def _count_terms(ids: pd.Series) -> pd.DataFrame:
+    """Distinct ids of each text and how often they occur, without a shuffle."""
+    found = [np.unique(np.asarray(x, np.int64), return_counts=True) for x in ids]
+    return pd.DataFrame({"terms": [a for a, _ in found], "tf": [b for _, b in found]})
+
+
 def tfidf(
     docs: DataFrame, key: str, text: str, *, within: list[str] = ()
 ) -> DataFrame:
@@ -51,18 +65,19 @@ def tfidf(
     the document frequency of a very frequent term is joined with salted keys.
     """
     scope = list(within)
-    terms = (
-        docs.select(key, *scope, F.explode(ngrams(text)).alias("__g"))
-        .groupBy(key, *scope, F.xxhash64("__g").alias("term"))
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = terms.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    counted = spread(docs).select(key, *scope, _count_terms(_term_ids(text)).alias("__c"))
+    terms = counted.select(
+        key, *scope, F.explode(F.arrays_zip("__c.terms", "__c.tf")).alias("__t")
+    ).select(key, *scope, F.col("__t.terms").alias("term"), F.col("__t.tf").alias("tf"))
+    counts = terms.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     if scope:
         totals = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("__n"))
-        df = skew_join(df, totals, scope, null_equal=True)
+        df = skew_join(counts, totals, scope, null_equal=True)
     else:
-        df = df.withColumn("__n", F.lit(docs.count()))
-    weighted = skew_join(terms, df, [*scope, "term"], null_equal=True).select(
+        df = counts.withColumn("__n", F.lit(docs.count()))
+    # the document frequencies name the terms that are too frequent for one task
+    joined = skew_join(terms, df, ["term", *scope], null_equal=bool(scope), counts=counts)
+    weighted = joined.select(
         key, "term",
         (F.col("tf") * (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1)).alias("w"),
     )
@@ -95,7 +110,7 @@ def _sum_vectors(v: DataFrame, group: list[str]) -> DataFrame:
     """Sum of the vectors of each group, in long form (group, term, weight)."""
     pairs = v.select(*group, F.explode(F.arrays_zip("terms", "weights")).alias("__p"))
     return pairs.groupBy(*group, F.col("__p.terms").alias("term")).agg(
-        F.sum("__p.weights").alias("s")
+        F.sum("__p.weights").alias("s"), F.count(F.lit(1)).alias("__rows")
     )
 
 
@@ -109,8 +124,9 @@ def _mean_distance(v: DataFrame, group: list[str], key: str) -> DataFrame:
     long = v.select(*group, key, F.explode(F.arrays_zip("terms", "weights")).alias("__p")).select(
         *group, key, F.col("__p.terms").alias("term"), F.col("__p.weights").alias("w")
     )
+    on = ["term", *group]
     total = (
-        skew_join(long, sums, [*group, "term"], null_equal=True)
+        skew_join(long, sums.drop("__rows"), on, null_equal=True, counts=sums.select(*on, "__rows"))
         .groupBy(key)
         .agg(F.sum(F.col("w") * F.col("s")).alias("__t"))
     )
@@ -145,7 +161,9 @@ def diverse_rows(
     )
     if fit == "corpus":
         counts = counts.withColumn("__same", F.lit(False))
-    sized = materialised(skew_join(rows, counts, group, null_equal=True))
+    sized = materialised(
+        skew_join(rows, counts, group, null_equal=True, counts=counts.select(*group, "__n"))
+    )
     whole = sized.filter(F.col("__n") <= k).withColumn("pick", F.lit(None).cast("int"))
     large = sized.filter((F.col("__n") > k) & ~F.col("__same"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialised
+from ..session import materialised, tuned
 
 HOT_ROWS = 1_000_000
 PAGE_ROWS = 1_000
@@ -81,18 +81,27 @@ def dense_ids(values: DataFrame, column: str, out: str) -> DataFrame:
     return positions(distinct, [], [F.col(column)], out)
 
 
-def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column], **kwargs) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Attach aggregates of each row's group.
 
     A window over a hot key would put the whole group into one task; the
-    aggregate is combined on the map side and joined back instead.
+    aggregate is combined on the map side and joined back instead.  Its row
+    count names the hot keys, so nothing is read again for them.
     """
-    return skew_join(df, df.groupBy(*keys).agg(*aggs), keys, "left", null_equal=True, **kwargs)
+    stats = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))
+    return skew_join(
+        df, stats.drop("__rows"), keys, "left", null_equal=True, counts=stats.select(*keys, "__rows")
+    )
+
 
+def hot_keys(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and the number of salts they need.
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
-    return df.groupBy(*keys).count().filter(F.col("count") > hot_rows).drop("count")
+    There are at most rows / hot_rows of them.
+    """
+    return counts.filter(F.col(rows) > hot_rows).select(
+        *keys, F.ceil(F.col(rows) / hot_rows).cast("int").alias("__fan")
+    )
 
 
 def skew_join(
@@ -101,56 +110,52 @@ def skew_join(
     keys: list[str],
     how: str = "inner",
     *,
-    fan: int = 64,
+    counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     null_equal: bool = False,
 ) -> DataFrame:
-    """Join a table with few very frequent keys to one row per key.
-
-    Rows of a hot key get one of ``fan`` salts and the matching row on the other
-    side is repeated for each, so no task holds a whole hot key.  The list of
-    hot keys has a proven bound (one per ``hot_rows`` rows) and is broadcast.
-    ``how`` is inner, left, left_semi or left_anti.
+    """Join a table with very frequent keys to a table with few rows per key.
+
+    Rows of a hot key get a salt, one per ``hot_rows`` rows, and the matching
+    rows on the other side are repeated for each salt, so that no task holds a
+    whole hot key.  (Adaptive execution does not split a join whose other side
+    is an aggregate on the same key, which is the usual case here.)  The list of
+    hot keys is broadcast; it has at most one key per ``hot_rows`` rows.
+
+    ``counts`` gives the rows per key (keys and one more column) where they are
+    known already; otherwise the key columns are counted first.  Salts come from
+    the whole row, so rows of ``big`` should have an id.  ``how`` is inner, left,
+    left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = F.broadcast(
-        hot_keys(big.select(*keys), keys, hot_rows).select(
-            *[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")
-        )
-    )
+    tuned(big.sparkSession)
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = next(c for c in counts.columns if c not in keys)
+    hot = hot_keys(counts, keys, rows, hot_rows)
+    hot = F.broadcast(hot.withColumnsRenamed({k: f"__h_{k}" for k in keys}))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
 
     def marked(df):
-        cond = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
-        )
-        return df.join(hot, cond, "left").drop(*[f"__h_{k}" for k in keys])
-
-    left = marked(big).withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*_hashable(big)), F.lit(fan)).cast("int")).otherwise(0),
-    ).drop("__hot")
+        return df.join(hot, same, "left").drop(*[f"__h_{k}" for k in keys])
+
+    salt = F.when(
+        F.col("__fan").isNotNull(), F.pmod(F.xxhash64(*_hashable(big)), F.col("__fan")).cast("int")
+    ).otherwise(0)
+    left = marked(big).withColumn("__salt", salt).drop("__fan")
     right = (
         marked(small)
-        .withColumn(
-            "__rsalt",
-            F.explode(
-                F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("__hot")
+        .withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.coalesce("__fan", F.lit(1)) - 1)))
+        .drop("__fan")
+        .withColumnsRenamed({k: f"__r_{k}" for k in keys})
     )
-    right = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        "__rsalt",
-        *[c for c in small.columns if c not in keys],
-    )
-    cond = F.col("__salt") == F.col("__rsalt")
-    for k in keys:
-        a, b = F.col(k), F.col(f"__r_{k}")
-        cond = cond & (a.eqNullSafe(b) if null_equal else a == b)
+    equal = [
+        F.col(k).eqNullSafe(F.col(f"__r_{k}")) if null_equal else F.col(k) == F.col(f"__r_{k}")
+        for k in keys
+    ]
+    # the salt comes last: rows are sorted by the first key first
+    cond = reduce(lambda a, b: a & b, [*equal, F.col("__salt") == F.col("__rsalt")])
     out = left.join(right, cond, how)
     return out.drop("__salt", "__rsalt", *[f"__r_{k}" for k in keys])
 
@@ -181,20 +186,18 @@ def paged_lists(
         *keys, *[F.col(o) for o in order if o not in keys],
         *[c.alias(f"__i_{n}") for n, c in items.items()],
     )
-    pages = (
-        named.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > page_rows)
-        .select(*keys, F.ceil(F.col("__n") / page_rows).alias("__pages"))
+    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    pages = sizes.filter(F.col("__n") > page_rows).select(
+        *keys, F.ceil(F.col("__n") / page_rows).alias("__pages")
     )
-    spread = skew_join(named, pages, keys, "left", null_equal=True).withColumn(
+    placed = skew_join(named, pages, keys, "left", null_equal=True, counts=sizes).withColumn(
         page,
         F.when(
             F.col("__pages") > 1, F.pmod(F.xxhash64(*order), F.col("__pages"))
         ).otherwise(F.lit(0)).cast("int"),
     )
     entry = F.struct(*[F.col(o) for o in order], *[F.col(f"__i_{n}") for n in items])
-    grouped = spread.groupBy(*keys, page).agg(F.sort_array(F.collect_list(entry)).alias("__l"))
+    grouped = placed.groupBy(*keys, page).agg(F.sort_array(F.collect_list(entry)).alias("__l"))
     return grouped.select(
         *keys,
         page,
@@ -210,3 +213,12 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def stable_order(seed: int, *cols) -> Column:
     """Seeded MD5 order for sampling: every run, and plain SQL, picks the same rows."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row on a table of few partitions.
+
+    A large table already has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

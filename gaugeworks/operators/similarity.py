@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import positions, top_per_key
+from .scale import positions, spread, top_per_key
 
 BLOCK_BYTES = 256 * 1024 * 1024
 _MERGE_SLICES = 64
@@ -105,7 +105,7 @@ def top_k(
         "__q",
     )
     n, dim = numbered.agg(F.count(F.lit(1)), F.max(F.size("__v"))).first()
-    corpus = vectors.select(F.col(vector_id).alias("id"), F.col(vector).alias("v"))
+    corpus = spread(vectors.select(F.col(vector_id).alias("id"), F.col(vector).alias("v")))
     if not n:
         out = corpus.limit(0).select(
             F.lit(0).cast("long").alias("__q"),

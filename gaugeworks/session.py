@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def tuned(spark: SparkSession) -> None:
+    """Adaptive execution as the operators expect it.
+
+    Small sides are broadcast at their measured size.  Plain joins with a hot key
+    are split also where that costs another shuffle later.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables.
 

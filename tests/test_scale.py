@@ -1,5 +1,7 @@
 """Positions, skew joins, pages and exact top-k on small tables."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,22 +41,29 @@ def test_skew_join_same_as_plain(spark, how):
     df = hot_table(spark)
     dim = df.select("k").distinct().filter("k <> 'k1'").withColumn("name", F.upper("k"))
     plain = df.join(dim, "k", how)
-    salted = S.skew_join(df, dim, ["k"], how, hot_rows=50, fan=5)
-    assert salted.columns == plain.columns
-    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
-
-
-def test_skew_join_spreads_the_hot_key(spark):
+    want = sorted(map(tuple, plain.collect()))
+    for got in (
+        S.skew_join(df, dim, ["k"], how),
+        S.skew_join(df, dim, ["k"], how, null_equal=True),
+        S.skew_join(df, dim, ["k"], how, hot_rows=50),
+        S.skew_join(df, dim, ["k"], how, hot_rows=7, counts=df.groupBy("k").count()),
+    ):
+        assert got.columns == plain.columns
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_hot_keys(spark):
     df = hot_table(spark)
-    hot = S.hot_keys(df, ["k"], 50).collect()
-    assert [r["k"] for r in hot] == ["hot"]
+    hot = S.hot_keys(df.groupBy("k").count(), ["k"], "count", 50).collect()
+    assert [(r["k"], r["__fan"]) for r in hot] == [("hot", 3)]
 
 
 def test_skew_join_null_keys(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     dim = spark.createDataFrame([(None, "n"), ("a", "x")], "k string, name string")
-    assert S.skew_join(df, dim, ["k"], "left", null_equal=True).filter("name IS NULL").count() == 0
-    assert S.skew_join(df, dim, ["k"], "left").filter("name IS NULL").count() == 1
+    for join in (S.skew_join, partial(S.skew_join, hot_rows=0.5)):
+        assert join(df, dim, ["k"], "left", null_equal=True).filter("name IS NULL").count() == 0
+        assert join(df, dim, ["k"], "left").filter("name IS NULL").count() == 1
 
 
 def test_pages_keep_everything(spark):
@@ -159,3 +168,14 @@ def test_checkpoint_folder_of_the_session(spark):
     folder = checkpoint_folder(spark)
     df = materialised(spark.range(3))
     assert df.inputFiles()[0].replace("file://", "").startswith(folder.replace("file:", ""))
+
+
+def test_hot_key_is_spread_over_salts(spark):
+    """No salt of a hot key holds much more than the wanted number of rows."""
+    df = hot_table(spark, 30_000)
+    fan = S.hot_keys(df.groupBy("k").count(), ["k"], "count", 500).filter("k = 'hot'").first()["__fan"]
+    sizes = df.filter("k = 'hot'").groupBy(F.pmod(F.xxhash64("k", "v", "id"), F.lit(fan))).count().collect()
+    assert fan == 20 and len(sizes) == 20 and max(r["count"] for r in sizes) < 750
+    dim = df.select("k").distinct()
+    out = S.skew_join(df, dim, ["k"], hot_rows=500).groupBy("k").count().filter("k = 'hot'").first()
+    assert out["count"] == 10_000
