@@ -1,10 +1,10 @@
 """All registered queries."""
 
 from . import (  # noqa: F401
-    arena_queries,
     convo_queries,
     exposure_queries,
     hierarchy_queries,
+    judging_queries,
     label_queries,
     plan_queries,
     retrieval_queries,
@@ -12,10 +12,8 @@ from . import (  # noqa: F401
 )
 from .registry import QUERIES, SQL
 
-
 def queries():
     return dict(QUERIES)
 
-
 def oracle_sql():
     return dict(SQL)

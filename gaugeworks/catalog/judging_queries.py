@@ -301,22 +301,41 @@ def rao_kupper(t):
     return J.replicate_summary(probability, ["stratum"], value="p", centre="median")
 
 
+_STYLE = """
+    bs AS (SELECT event_id, uid, model, scores FROM bt WHERE model <> 'm0'),
+    md AS (SELECT uid, 'm' || m AS model, CAST((uid * 37 + m * 101) % 900 + 100 AS DOUBLE) AS length, CAST((uid * 7 + m * 3) % 20 AS DOUBLE) AS headers,
+                  CAST((uid * 11 + m * 5) % 17 AS DOUBLE) AS lists FROM (SELECT DISTINCT uid FROM {judgments}), (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS m)),
+    raw AS (SELECT bs.*, (a.length - b.length) / (a.length + b.length) AS f0,
+                   (a.headers / (a.length + 1) - b.headers / (b.length + 1)) / (a.headers / (a.length + 1) + b.headers / (b.length + 1) + 1) AS f1,
+                   (a.lists / (a.length + 1) - b.lists / (b.length + 1)) / (a.lists / (a.length + 1) + b.lists / (b.length + 1) + 1) AS f2
+            FROM bs JOIN md a ON bs.uid = a.uid AND bs.model = a.model JOIN md b ON bs.uid = b.uid AND b.model = 'm0'),
+    st AS (SELECT avg(f0) AS a0, stddev_samp(f0) AS s0, avg(f1) AS a1, stddev_samp(f1) AS s1, avg(f2) AS a2, stddev_samp(f2) AS s2 FROM raw)
+"""
+
+
 def _style_inputs(t):
-    rows = J.battles(t.judgments).filter("model <> 'm0'").select("uid", "model", "scores")
-    key = ["uid", "model"]
-    length = F.pmod(F.xxhash64("uid", "model", F.lit(1)), F.lit(900)) + 100
-    marks = {c: F.pmod(F.xxhash64("uid", "model", F.lit(i)), F.lit(20)) for i, c in enumerate(("headers", "lists", "bold"), 2)}
-    models = t.judgments.select("uid", "model").distinct()
-    base = models.select("uid").distinct().withColumn("model", F.lit("m0"))
-    meta = models.unionByName(base).distinct().select(*key, length.alias("length"), *[v.alias(k) for k, v in marks.items()])
-    return rows, meta, list(marks)
+    rows = J.battles(t.judgments).filter("model <> 'm0'").select("event_id", "uid", "model", "scores")
+    models = t.judgments.select("uid").distinct().withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    meta = models.select(
+        "uid", F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"),
+        ((F.col("uid") * 37 + F.col("m") * 101) % 900 + 100).alias("length"),
+        ((F.col("uid") * 7 + F.col("m") * 3) % 20).alias("headers"),
+        ((F.col("uid") * 11 + F.col("m") * 5) % 17).alias("lists"),
+    )
+    return rows, meta, ["headers", "lists"]
 
 
-@query("style_features")
+@query("style_features", "WITH " + _W + "," + _STYLE + """
+    SELECT event_id, uid, model, scores, round((f0 - a0) / s0, 6) + 0.0 AS f_length, round((f1 - a1) / s1, 6) + 0.0 AS f_headers, round((f2 - a2) / s2, 6) + 0.0 AS f_lists
+    FROM raw, st""")
 def style_features(t):
     """Standardised style differences per battle."""
     rows, meta, counts = _style_inputs(t)
-    return W.style_features(rows, meta, "m0", counts)
+    out = W.style_features(rows, meta, "m0", counts)
+    return out.select(
+        "event_id", "uid", "model", "scores",
+        *[(F.round(f"f_{c}", 6) + F.lit(0.0)).alias(f"f_{c}") for c in ("length", *counts)],
+    )
 
 
 @query("bt_style")
@@ -404,11 +423,14 @@ def lb_group_members(t):
 
 
 @query("comparison_summary", """
-    SELECT c_nationkey AS hypothesis, round(avg(c_acctbal), 6) AS mu, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR)) FILTER (c_acctbal / 10000 > 0.6), '') AS samples
-    FROM {customer} GROUP BY 1""")
+    WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber || '/' || l_partkey || '/' || l_suppkey AS sample, max(l_discount * 10) AS score FROM {lineitem} GROUP BY ALL)
+    SELECT l_orderkey AS hypothesis, round(avg(score), 6) AS mu, coalesce(string_agg(sample, ',' ORDER BY sample) FILTER (score > 0.6), '') AS samples FROM l GROUP BY 1""")
 def comparison_summary(t):
-    per = t.customer.groupBy(F.col("c_nationkey").alias("hypothesis")).agg(
-        F.round(F.avg("c_acctbal"), 6).alias("mu"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), F.col("c_acctbal") / 10000))).alias("sample2score"),
+    """A hypothesis per order, its lines are the samples."""
+    sample = F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("sample")
+    lines = t.lineitem.groupBy("l_orderkey", sample).agg(F.max(F.col("l_discount") * 10).alias("score"))
+    per = lines.groupBy(F.col("l_orderkey").alias("hypothesis")).agg(
+        F.round(F.avg("score"), 6).alias("mu"),
+        F.map_from_entries(F.collect_list(F.struct("sample", "score"))).alias("sample2score"),
     )
     return M.comparison_summary(per).select("hypothesis", "mu", F.array_join("samples", ",").alias("samples"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import templates
 from ..operators import exchange as X
+from ..operators.scale import spread
 from .registry import query
 
 
@@ -248,7 +249,7 @@ def activity_outputs(t):
     word = F.when(F.col("event_id") % 7 == 0, "perhaps").when(F.col("event_id") % 2 == 0, "Yes").otherwise("no")
     hour = F.concat((F.col("event_id") % 4).cast("string"), F.lit(" hours"))
     body = F.concat(block(F.lit("yes"), F.col("raw_time"), F.lit("1.5 hrs")), F.lit("\n"), block(word, F.lit("10-20 min"), hour))
-    return t.durations.select(
+    return spread(t.durations).select(
         "event_id", "user_id",
         F.concat(F.lit("x <activity_task_matches>"), body, F.lit("</activity_task_matches>")).alias("output"),
     )

@@ -20,7 +20,7 @@ def global_ids(
     w = Window.orderBy(dset).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(dset, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
     return (
-        skew_join(placed, offsets, [dset])
+        skew_join(placed, offsets, [dset], counts=sizes)
         .withColumn(out, F.col("__offset") + F.col("__pos"))
         .drop("__offset", "__pos")
     )
@@ -34,10 +34,10 @@ def id_ranges(
     shard_size: int = SHARD_SIZE,
 ) -> DataFrame:
     """Ranges (start inclusive, stop exclusive) of shards of at most ``shard_size`` ids."""
-    starts = ids.groupBy(dset).agg(F.min(idx).alias("__first"))
+    starts = ids.groupBy(dset).agg(F.min(idx).alias("__first"), F.count(F.lit(1)).alias("__n"))
     shard = F.floor((F.col(idx) - F.col("__first")) / shard_size)
     return (
-        skew_join(ids.select(dset, idx), starts, [dset])
+        skew_join(ids.select(dset, idx), starts.drop("__n"), [dset], counts=starts.select(dset, "__n"))
         .groupBy(dset, shard.alias("shard_idx"))
         .agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conversation as C
 from ..functions import labels as L
+from ..session import materialised
 from .scale import dense_ids, first_per_key, positions, skew_join, stable_order
 
 PAIR_KEY = ["category_task", "category_occ", "dwa", "instance_idx"]
@@ -147,9 +148,11 @@ def deficient(
     ``kept`` is the union of the survivors of all rounds.  DWAs without any come
     back with zero.
     """
+    # two narrow columns, needed three times: written once instead of joined again
+    kept = materialised(kept.select(dwa, "instance_idx"))
     counts = kept.groupBy(dwa).agg(F.count(F.lit(1)).alias("n"))
     distinct = (
-        skew_join(kept.select(dwa, "instance_idx").distinct(), texts, ["instance_idx"])
+        skew_join(kept.distinct(), texts, ["instance_idx"])
         .select(dwa, text)
         .distinct()
         .groupBy(dwa)
@@ -207,7 +210,7 @@ def select_turns(
         .filter(F.col("convo_subset").isNotNull())
     )
     once = first_per_key(cut, list(keys), [F.col(c) for c in order])
-    ids = dense_ids(once, "dwa", "category_idx")
+    ids = dense_ids(cut, "dwa", "category_idx")
     return skew_join(once, ids, ["dwa"]).drop(answer)
 
 

@@ -106,6 +106,8 @@ def top_k(
     )
     n, dim = numbered.agg(F.count(F.lit(1)), F.max(F.size("__v"))).first()
     corpus = spread(vectors.select(F.col(vector_id).alias("id"), F.col(vector).alias("v")))
+    # every task sends k rows per query: few long tasks send less than many short ones
+    corpus = corpus.coalesce(2 * corpus.sparkSession.sparkContext.defaultParallelism)
     if not n:
         out = corpus.limit(0).select(
             F.lit(0).cast("long").alias("__q"),
