@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import conversation as C
 from ..operators import conversations as convo_ops
 from ..operators.scale import positions
-from ..plans import asking, interviews, scoring, screening, synthesis
+from ..operators import comparison, exchange
+from ..operators import judging as J
+from ..plans import asking, interviews, judging, scoring, screening, synthesis
+from .exposure_queries import _EX, _EXAMPLE, examples
+from .judging_queries import boards
 from .registry import query
 
 # ---- search ------------------------------------------------------------------
@@ -361,3 +365,116 @@ def embed_texts(t):
     ask = asking.from_column(lambda p: F.concat(F.lit("["), F.length(p).cast("string"), F.lit(", 1.0]")))
     out = asking.embed_column(t.part.select("p_partkey", "p_name"), F.col("p_name"), "v", ask, model="e")
     return out.select("p_partkey", F.get("v", F.lit(0)).cast("double").alias("x"), F.get("v", F.lit(1)).cast("double").alias("y"))
+
+
+@query("prompt_table", "WITH " + _EX + f""",
+    mine AS (SELECT *, row_number() OVER (PARTITION BY category_occ, category_task ORDER BY md5('3|' || ex_id), ex_id) AS i FROM ex WHERE response IS NOT NULL),
+    bt AS (SELECT category_occ, category_task, string_agg({_EXAMPLE}, chr(10) || chr(10) ORDER BY i) AS s FROM mine WHERE i <= 2 GROUP BY ALL)
+    SELECT category_occ, category_task, 'task' AS method, category_task || ':' || chr(10) || s AS prompt FROM bt""")
+def prompt_table(t):
+    """Full prompt table from task examples; tasks without a prompt are dropped."""
+    ex = examples(t)
+    table = scoring.prompt_table(
+        ex, ex, id_col="ex_id", prompt_ret="{task}:\n{examples_strs}", max_examples=2, seed=3, drop_missing=True
+    )
+    return table.select("category_occ", "category_task", "method", "prompt")
+
+
+@query("predict_and_export", """
+    WITH p AS (SELECT event_id, event_type, user_id % 60 AS category_idx FROM {events}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY category_idx ORDER BY md5('0|' || category_idx || '|' || event_id), event_id) AS i, count(*) OVER (PARTITION BY category_idx) AS n FROM p)
+    SELECT event_id AS idx, category_idx, model, CASE WHEN model = 'm2' AND event_type = 'view' THEN 'Server error' ELSE model || ' on ' || event_type END AS response,
+           CASE WHEN model = 'm2' AND event_type = 'view' THEN 'no response' END AS error
+    FROM r, (SELECT unnest(['m1', 'm2']) AS model) WHERE i <= 5 AND n >= 5""")
+def predict_and_export(t):
+    """Sample, ask two models, join back with the hash check."""
+    pairs = t.events.select(
+        "event_id", (F.col("user_id") % 60).alias("category_idx"), F.array(C.turn("user", F.col("event_type"))).alias("convo_subset")
+    )
+
+    def ask(requests):
+        model = F.regexp_extract(F.get("prompt", F.lit(0))["content"], "model: (.*)", 1)
+        text = F.get("prompt", F.lit(1))["content"]
+        out = F.when(~((model == "m2") & (text == "view")), F.concat(model, F.lit(" on "), text))
+        return requests.select("request_hash", out.alias("output"))
+
+    out = judging.predict(pairs, ["m1", "m2"], ask, n=5, idx="event_id")
+    return out.select("idx", "category_idx", "model", "response", "error")
+
+
+@query("judge_round", """
+    WITH a AS (SELECT p_partkey AS uid, p_size % 3 AS s FROM {part})
+    SELECT uid, model, CASE s WHEN 0 THEN 'A>B' WHEN 1 THEN 'A=B' END AS game1, CASE s WHEN 0 THEN 'B>A' WHEN 1 THEN 'A=B' END AS game2
+    FROM a, (SELECT unnest(['m1', 'm2']) AS model)""")
+def judge_round(t):
+    """Answers judged in both orders; an unanswered judge call gives null games."""
+    q = t.part.select(F.col("p_partkey").alias("uid"), F.lit("ei").alias("category"), F.array(C.turn("user", F.col("p_size").cast("string"))).alias("convo"))
+    models = F.explode(F.array(*[F.lit(m) for m in ("m1", "m2", "base")]))
+    answers = q.select("uid", models.alias("model"), "convo").select(
+        "uid", "model", C.append_answer("convo", F.concat(F.lit("by "), F.col("model"))).alias("messages")
+    )
+
+    def ask(requests):
+        text = F.get("prompt", F.lit(1))["content"]
+        s = F.regexp_extract(text, "^(\\d+)", 1).cast("int") % 3
+        base_first = text.contains("[A]by base")
+        word = F.when(s == 0, F.when(base_first, "[[A>B]]").otherwise("[[B>A]]")).when(s == 1, "[[A=B]]")
+        return requests.select("request_hash", word.alias("output"))
+
+    games = judging.judge(
+        q, answers, "base", ask, template="{QUESTION}[A]{ANSWER_A}[B]{ANSWER_B}", system={"ei": "be fair"}, judge_name="j", multi_turn=False
+    )
+    return J.game_scores(games).select("uid", "model", "game1", "game2")
+
+
+@query("interview_scoring", """
+    SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '75-100%' ELSE '0-24%' END AS score, CASE WHEN p_size % 2 = 0 THEN CAST(0.87 AS DOUBLE) ELSE CAST(0.12 AS DOUBLE) END AS beta FROM {part}""")
+def interview_scoring(t):
+    """Interview, activity matching with the task list, manual bucket."""
+    rows = t.part.select("p_partkey", "p_name", "p_size", F.col("p_brand").alias("category_occ"), F.col("p_type").alias("category_task"))
+    block = (
+        "<activity_task_matches><activity><activity_description>a</activity_description><belongs_to_task_being_scored>yes</belongs_to_task_being_scored>"
+        "<reported_time_savings_minutes>{}</reported_time_savings_minutes><original_time_minutes>1 hr</original_time_minutes></activity></activity_task_matches>"
+    )
+
+    def ask(requests):
+        if requests.schema["prompt"].dataType.simpleString() != "string":
+            text = F.concat(F.lit("size is "), F.regexp_extract(C.last_content("prompt"), "Size (\\d+)", 1))
+        else:
+            even = F.regexp_extract("prompt", "size is (\\d+)", 1).try_cast("int") % 2 == 0
+            listed = F.col("prompt").startswith("- ")
+            text = F.when(listed & even, F.lit(block.format("50 min"))).when(listed, F.lit(block.format("5 min")))
+        return requests.select("request_hash", text.alias("output"))
+
+    out = interviews.run_interview_scoring(
+        rows, MESSAGES, ask, key="p_partkey", match_template="{occupation_tasks}\n{result}",
+        tasks=rows, manual=True,
+    )
+    return out.select("p_partkey", "score", "beta")
+
+
+@query("model_score_columns", """
+    SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM {events} GROUP BY 1""")
+def model_score_columns(t):
+    """Long results to one column per model."""
+    long = t.events.filter("event_type IN ('click', 'view')").groupBy("user_id", F.col("event_type").alias("model")).agg(F.round(F.avg("value"), 6).alias("score"))
+    users = t.events.select("user_id").distinct()
+    return users.join(exchange.model_columns(long, ["user_id"], ["click", "view"], "score"), "user_id", "left")
+
+
+@query("lb_valid_rows", """
+    SELECT 'lb' || c_nationkey AS lb_id, c_mktsegment AS model, round(avg(c_acctbal), 2) AS score FROM {customer} GROUP BY c_nationkey, c_mktsegment HAVING count(*) % 13 > 0""")
+def lb_valid_rows(t):
+    """Rows with a model and a finite score, model and score first, NaN as NULL."""
+    rows = boards(t).withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+    out = comparison.valid_rows(comparison.nan_to_null(rows))
+    return comparison.column_order(comparison.sort_rows(out, "score").select("lb_id", "score", "model"))
+
+
+@query("summarised_requests", """
+    SELECT doc_id, 'Human: about ' || source AS rendered FROM {documents}""")
+def summarised_requests(t):
+    """First request replaced by its summary."""
+    rows = t.documents.select("doc_id", F.array(C.turn("user", F.concat(F.lit("from "), F.col("source")))).alias("convo_subset"))
+    ask = asking.from_column(lambda p: F.concat(F.lit("<summary> about "), F.regexp_extract(p, "from (.*)!", 1), F.lit("</summary>")))
+    return scoring.summarise(rows, "sum up {request}!", ask).select("doc_id", C.render("convo_subset").alias("rendered"))

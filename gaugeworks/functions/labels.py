@@ -430,12 +430,21 @@ def backgrounds(c) -> Column:
     text = F.replace(block, F.lit("&aposs;"), F.lit("&apos;"))
     text = F.replace(text, F.lit("&aposs"), F.lit("&apos;"))
 
+    return bind(text, lambda t: bind(_respondent_sections(t), _respondents))
+
+
+def _respondent_sections(text) -> Column:
+    """The two lists of respondent elements, read into structs."""
+
     def section(name):
         inner = first_group(text, tag_pattern(name))
         return all_groups(inner, r"(?s)(<respondent\b.*?</respondent>)")
 
     def unescaped(x):
-        for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        # fixed values: XML entities
+        for entity, plain in (
+            ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")
+        ):
             x = F.replace(x, F.lit(entity), F.lit(plain))
         return x
 
@@ -459,25 +468,33 @@ def backgrounds(c) -> Column:
         section("summaries"),
         lambda x: F.struct(ident(x).alias("respondent_id"), field(x, "summary").alias("summary")),
     )
+    return F.struct(text.isNotNull().alias("found"), people.alias("people"), notes.alias("notes"))
+
+
+def _respondents(r) -> Column:
+    """Backgrounds with their summaries, NULL when anything is missing."""
 
     def joined(p):
         note = F.try_element_at(
-            F.filter(notes, lambda n: n["respondent_id"] == p["respondent_id"]), F.lit(-1)
+            F.filter(r["notes"], lambda n: n["respondent_id"] == p["respondent_id"]), F.lit(-1)
         )
-        return F.struct(*[p[f].alias(f) for f in (
-            "respondent_id", "job_title", "years_experience", "company_description"
-        )], note["summary"].alias("summary"))
-
-    rows = F.transform(people, joined)
-    complete = F.forall(
-        rows,
-        lambda r: r["respondent_id"].isNotNull()
-        & r["job_title"].isNotNull()
-        & r["years_experience"].isNotNull()
-        & r["company_description"].isNotNull()
-        & r["summary"].isNotNull(),
-    ) & F.forall(notes, lambda n: n["respondent_id"].isNotNull() & n["summary"].isNotNull())
-    return F.when(block.isNotNull() & F.coalesce(complete, F.lit(False)), rows)
+        kept = ("respondent_id", "job_title", "years_experience", "company_description")
+        return F.struct(*[p[f].alias(f) for f in kept], note["summary"].alias("summary"))
+
+    def filled(x, names):
+        out = x[names[0]].isNotNull()
+        for n in names[1:]:
+            out = out & x[n].isNotNull()
+        return out
+
+    names = ("respondent_id", "job_title", "years_experience", "company_description", "summary")
+    notes_ok = F.forall(r["notes"], lambda n: filled(n, ("respondent_id", "summary")))
+
+    def checked(rows):
+        ok = r["found"] & notes_ok & F.forall(rows, lambda x: filled(x, names))
+        return F.when(F.coalesce(ok, F.lit(False)), rows)
+
+    return bind(F.transform(r["people"], joined), checked)
 
 
 def keep_votes(votes, allow: str = "ABC", *, missing: str = "E") -> Column:
