@@ -56,7 +56,8 @@ def answer_pending(
             out.insert(0, "request_hash", batch["request_hash"].to_numpy())
             if "attempt" not in out:
                 out["attempt"] = 0
-            yield out.reindex(columns=names)
+            out = out.reindex(columns=names).astype(object)
+            yield out.where(out.notna(), None)
 
     return requests.select("request_hash", prompt).mapInPandas(run, RESPONSE)
 
