@@ -8,6 +8,7 @@ from ..functions import labels as L
 from ..functions import templates
 from ..operators import exchange as X
 from ..operators.scale import spread
+from ..session import materialised
 from .registry import query
 
 
@@ -287,7 +288,8 @@ def span_bucket(t):
     UNION ALL SELECT event_id, 1, second, 15.0, CAST(event_id % 4 * 60 AS DOUBLE) FROM a WHERE NOT bad""")
 def activity_rows(t):
     """One row per parsed activity."""
-    parsed = activity_outputs(t).select("event_id", L.activities("output")["activities"].alias("a"))
+    # written once: exploding an expression would parse the text several times
+    parsed = materialised(activity_outputs(t).select("event_id", L.activities("output")["activities"].alias("a")))
     rows = parsed.select("event_id", F.posexplode("a").alias("i", "x"))
     return rows.select("event_id", "i", "x.belongs", "x.saved", "x.original")
 

@@ -48,8 +48,10 @@ def adjacent_dwas(
     )
     sizes = lists.groupBy("title", "task").agg(F.sum(F.size("members")).alias("n"))
     large = sizes.filter(F.col("n") > max_group).select("title", "task")
-    groups = lists.join(large, ["title", "task"], "left_semi")
-    small = lists.join(large, ["title", "task"], "left_anti").filter(F.size("members") > 1)
+    keys = ["title", "task"]
+    groups = skew_join(lists, large, keys, "left_semi", counts=sizes, null_equal=True)
+    small = skew_join(lists, large, keys, "left_anti", counts=sizes, null_equal=True)
+    small = small.filter(F.size("members") > 1)
     pairs = (
         small.select(F.explode("members").alias(dwa), "members")
         .select(dwa, F.explode("members").alias("adjacent"))
@@ -142,11 +144,11 @@ def sibling_tasks(
     pages = paged_lists(distinct, [title], [task], {"all_tasks": F.col(task)}, page_rows=max_group)
     sizes = pages.groupBy(title).agg(F.sum(F.size("all_tasks")).alias("n"))
     large = sizes.filter(F.col("n") > max_group).select(title)
-    whole = pages.join(large, title, "left_anti").drop("page")
-    rows = skew_join(distinct, whole, [title]).select(
+    whole = skew_join(pages, large, [title], "left_anti", counts=sizes).drop("page")
+    rows = skew_join(distinct, whole, [title], counts=sizes).select(
         title, task, F.filter("all_tasks", lambda x: x != F.col(task)).alias("others")
     )
-    return rows, pages.join(large, title, "left_semi")
+    return rows, skew_join(pages, large, [title], "left_semi", counts=sizes)
 
 
 def sibling_text(others, placeholder: str = NO_SIBLINGS) -> Column:

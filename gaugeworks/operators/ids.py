@@ -65,32 +65,29 @@ def lookup(
     """Dataset and local index of each id; unknown ids keep NULL.
 
     Each range is listed under the id buckets it touches, which turns the range
-    condition into an equi-join.
+    condition into an equi-join with one row per bucket.
     """
-    first = ranges.groupBy("dset_name").agg(F.min("start").alias("__first"))
+    first = ranges.groupBy("dset_name").agg(F.min("start").alias("first"))
+    touched = F.sequence(
+        F.floor(F.col("start") / shard_size), F.floor((F.col("stop") - 1) / shard_size)
+    )
     listed = (
         ranges.select("dset_name", "start", "stop")
         .join(first, "dset_name")
-        .withColumn(
-            "__bucket",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("start") / shard_size), F.floor((F.col("stop") - 1) / shard_size)
-                )
-            ),
-        )
-        .withColumnRenamed("dset_name", "__dset")
-    )
-    keyed = ids.withColumn("__b", F.floor(F.col(idx) / shard_size))
-    cond = (
-        (keyed["__b"] == listed["__bucket"])
-        & (keyed[idx] >= listed["start"])
-        & (keyed[idx] < listed["stop"])
+        .withColumn("__bucket", F.explode(touched))
+        .groupBy("__bucket")
+        .agg(F.collect_list(F.struct("start", "stop", "first", "dset_name")).alias("__ranges"))
     )
-    return keyed.join(listed, cond, "left").select(
-        *[keyed[c] for c in ids.columns],
-        F.col("__dset").alias("dset_name"),
-        (keyed[idx] - F.col("__first")).alias("local_idx"),
+    keyed = ids.withColumn("__bucket", F.floor(F.col(idx) / shard_size))
+    found = F.filter("__ranges", lambda r: (F.col(idx) >= r["start"]) & (F.col(idx) < r["stop"]))
+    return (
+        skew_join(keyed, listed, ["__bucket"], "left")
+        .withColumn("__r", F.get(found, F.lit(0)))
+        .select(
+            *ids.columns,
+            F.col("__r.dset_name").alias("dset_name"),
+            (F.col(idx) - F.col("__r.first")).alias("local_idx"),
+        )
     )
 
 

@@ -79,7 +79,8 @@ def generate_backgrounds(
     parts = F.concat(*[F.coalesce(f"__bg_{i}", empty) for i in range(loops)])
     if first_k is not None:
         parts = F.slice(parts, 1, first_k)
-    return df.withColumn("backgrounds", parts).drop(*[f"__bg_{i}" for i in range(loops)])
+    # written once: exploding the list would read the answers several times
+    return materialised(df.withColumn("backgrounds", parts).drop(*[f"__bg_{i}" for i in range(loops)]))
 
 
 def explode_backgrounds(df: DataFrame) -> DataFrame:
