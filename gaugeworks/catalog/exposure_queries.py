@@ -209,7 +209,35 @@ def request_summaries(t):
     )
 
 
-@query("diverse_examples")
+def _diverse_sql(k: int) -> str:
+    """TF-IDF, all distances within a group and the greedy picks, step by step."""
+    picks = ["p0 AS (SELECT source, lang, doc_id, 0 AS pick FROM means QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY m DESC, doc_id) = 1)"]
+    for i in range(1, k):
+        before = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(i))
+        picks.append(f"""
+    p{i} AS (SELECT g.source, g.lang, d.a AS doc_id, {i} AS pick FROM dist d JOIN ({before}) b ON d.b = b.doc_id JOIN grp g ON d.a = g.doc_id
+         WHERE d.a NOT IN (SELECT doc_id FROM ({before})) GROUP BY g.source, g.lang, d.a
+         QUALIFY row_number() OVER (PARTITION BY g.source, g.lang ORDER BY min(d.d) DESC, d.a) = 1)""")
+    union = " UNION ALL ".join(f"SELECT source, lang, doc_id, pick FROM p{j}" for j in range(k))
+    return r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS t FROM {documents}),
+    grams AS (SELECT doc_id, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))])) AS g FROM w),
+    tf AS MATERIALIZED (SELECT doc_id, g, count(*) AS tf FROM grams GROUP BY ALL),
+    df AS (SELECT g, count(*) AS df FROM tf GROUP BY ALL),
+    wt AS MATERIALIZED (SELECT doc_id, g, tf * (ln((1.0 + (SELECT count(*) FROM {documents})) / (1 + df)) + 1) AS w FROM tf JOIN df USING (g)),
+    nm AS (SELECT doc_id, sqrt(sum(w * w)) AS nn FROM wt GROUP BY ALL),
+    grp AS MATERIALIZED (SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source, lang) AS c FROM {documents}),
+    v AS MATERIALIZED (SELECT doc_id, source, lang, g, w / nn AS w FROM wt JOIN nm USING (doc_id) JOIN grp USING (doc_id) WHERE c > """ + str(k) + r"""),
+    sim AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.g = b.g AND a.source = b.source AND a.lang = b.lang GROUP BY ALL),
+    pairs_ AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, x.source, x.lang, x.c, coalesce(s, 0) AS s FROM grp x JOIN grp y ON x.source = y.source AND x.lang = y.lang
+               LEFT JOIN sim ON sim.a = x.doc_id AND sim.b = y.doc_id WHERE x.c > """ + str(k) + r"""),
+    dist AS MATERIALIZED (SELECT a, b, round(1 - s, 9) AS d FROM pairs_ WHERE a <> b),
+    means AS (SELECT a AS doc_id, source, lang, round(1 - sum(s) / any_value(c), 9) AS m FROM pairs_ GROUP BY ALL),
+    """ + ",".join(picks) + f"""
+    SELECT source, lang, doc_id, CAST(NULL AS INTEGER) AS pick FROM grp WHERE c <= {k} UNION ALL {union}"""
+
+
+@query("diverse_examples", _diverse_sql(5))
 def diverse_examples(t):
     """Five far-apart documents per source and language."""
     docs = t.documents.select("doc_id", "source", "lang", "text")
