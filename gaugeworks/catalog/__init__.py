@@ -12,8 +12,10 @@ from . import (  # noqa: F401
 )
 from .registry import QUERIES, SQL
 
+
 def queries():
     return dict(QUERIES)
 
+
 def oracle_sql():
     return dict(SQL)
