@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, line_dedup, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -33,3 +33,13 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.fit(docs, id_hash() % 5 != 0)
     out = language_id.identify(docs, model)
     return out.select("doc_id", (id_hash() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), words=3)
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
