@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, simhash
+from . import (
+    arrow_tokens,
+    decontaminate,
+    edit_fingerprint,
+    language_id,
+    line_dedup,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -22,6 +33,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def id_hash():
     """crc32 of the decimal document id, the split both labelled queries use."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -43,3 +61,58 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+LLM_SQL["op5_decontamination"] = decontaminate.SQL
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").filter("quality = 1")
+    out = quality.classify(table(spark, folder, "documents"), trusted)
+    return out.select("doc_id", "perplexity", "accepted")
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), id_hash() % 4 != 2)
+    out = toxicity.rate(docs, model)
+    return out.select(
+        "doc_id", (id_hash() % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query
+def op10_edit_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_fingerprint.fingerprint(table(spark, folder, "documents"))
+
+
+@query
+def op6_arrow_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    place = arrow_tokens.token_folder(spark)
+    manifest = arrow_tokens.write_tokens(
+        table(spark, folder, "documents"), place, tokenizer("word_bpe_49k.json")
+    )
+    return arrow_tokens.read_tokens(manifest, place)
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), PATTERN)
+
+
+@query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("cluster", F.xxhash64(F.lower(F.trim("text"))))
+    sized = arrow_tokens.token_lengths(
+        docs.select("doc_id", "text", "source", "cluster"), tokenizer("word_bpe_49k.json")
+    )
+    return packing.pack(sized)

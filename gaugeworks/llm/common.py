@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS):

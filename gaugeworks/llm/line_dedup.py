@@ -151,9 +151,13 @@ def line_links(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text")
         .mapInArrow(run, f"doc_id {kind}, line bigint, at int, words int")
     )
-    first = lines.groupBy("line").agg(
-        F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows")
-    ).filter("last > first.doc_id")
+    # only lines of several documents; written once, as both the join and its hot keys read it
+    first = materialised(
+        lines.groupBy("line").agg(
+            F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"),
+            F.count(F.lit(1)).alias("rows"),
+        ).filter("last > first.doc_id").drop("last")
+    )
     earliest = first.select("line", F.col("first.doc_id").alias("partner"), F.col("first.at").alias("other"))
     out = skew_join(lines, earliest, ["line"], counts=first.select("line", "rows"))
     return out.filter("doc_id > partner").select("doc_id", "partner", F.col("at").alias("own"), "other", "words")
