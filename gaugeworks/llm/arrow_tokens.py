@@ -1,6 +1,7 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
-A file holds sequences of ``LENGTH`` ids with a mask of the same length.  Every
+A file holds sequences of ``LENGTH`` ids, two bytes each if the vocabulary allows,
+with a bit mask of the same length.  Every
 record batch but the last has ``ROWS`` sequences, and the values lie in one flat
 buffer, so the token at any place of a memory-mapped file is found by arithmetic.
 A second stream file next to it lists the documents.
@@ -13,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import slices
 LENGTH = 2048
 ROWS = 256
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 
 # pieces of the tokenizer's own pattern over lower-case Latin text
 _PIECE = re.compile(
@@ -45,47 +47,56 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.normalize = self.tokenizer.normalizer.normalize_str
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        size = max([*vocabulary.values(), *self.tokenizer.get_added_tokens_decoder()]) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for k in range(0, len(pieces), 2000):
-            part = pieces[k:k + 2000]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                for piece, a, b in zip(part, [0, *cuts], cuts):
-                    self.known[piece] = tuple(ids[a:b])
-            else:
-                for piece in part:
-                    self.known[piece] = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        # the same model for pieces that are cut and spelt in its byte letters already
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: spell(chr(c))[0][0] for c in range(33, 256) if not chr(c).isspace()}
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            part = words[k:k + 2000]
+            spelt = [w.translate(self.letters) for w in part]
+            ids = np.array(self.pieces.encode(spelt, is_pretokenized=True, add_special_tokens=False).ids, self.dtype)
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer does not end every piece with a word end")
+            for word, a, b in zip(part, [0, *cuts], cuts):
+                self.known[word] = raw[a:b]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         cut = [None if _OTHER.search(t) else _PIECE.findall(t.lower()) for t in texts]
         wanted = set().union(*(p for p in cut if p is not None))
-        missing = sorted(wanted - self.known.keys())
-        if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known.clear()
-                missing = sorted(wanted)
-            self._learn(missing)
-        known = self.known
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                out.append([i for p in pieces for i in known[p]])
-        return out
+        missing = wanted - self.known.keys()
+        if missing and len(self.known) + len(missing) > CACHE_WORDS:
+            self.known.clear()
+            missing = wanted
+        self._learn(sorted(missing))
+        find = self.known.__getitem__
+        return [
+            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype) if pieces is None
+            else np.frombuffer(b"".join(map(find, pieces)), self.dtype)
+            for text, pieces in zip(texts, cut)
+        ]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a Python worker, which keeps its words from task to task."""
+    return WordEncoder(path)
 
 
 def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -93,7 +104,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     plain = docs.drop("length")
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch, texts in slices(batches, 2_000_000):
             n = [len(x) for x in encoder.encode(texts)]
             yield pa.RecordBatch.from_arrays(
@@ -104,17 +115,13 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     return plain.mapInArrow(run, schema)
 
 
-def _stream(fs, path: str, schema: pa.Schema):
-    return pa.ipc.new_stream(fs.open_output_stream(path), schema)
-
-
 class _SequenceWriter:
     """Fill fixed-size lists with token ids and write them batch by batch."""
 
-    def __init__(self, fs, path: str, length: int, rows: int):
-        self.length, self.rows = length, rows
+    def __init__(self, fs, path: str, length: int, rows: int, dtype: np.dtype):
+        self.length, self.rows, self.dtype = length, rows, dtype
         self.schema = pa.schema([
-            ("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)),
+            ("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length)),
         ])
         self.sink = fs.open_output_stream(path)
         self.writer = pa.ipc.new_stream(self.sink, self.schema)
@@ -133,10 +140,9 @@ class _SequenceWriter:
             self.parts, self.held = [flat[full:]], len(flat) - full
 
     def _write(self, ids: np.ndarray, size: int) -> None:
-        tokens = np.zeros(size, np.uint32)
+        tokens = np.zeros(size, self.dtype)
         tokens[: len(ids)] = ids
-        mask = np.zeros(size, np.uint8)
-        mask[: len(ids)] = 1
+        mask = pa.array(np.arange(size) < len(ids))
         self.writer.write_batch(pa.RecordBatch.from_arrays(
             [pa.FixedSizeListArray.from_arrays(tokens, self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)],
             schema=self.schema,
@@ -179,8 +185,9 @@ def write_tokens(
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         final = [f"{root}/{kind}-{part:06d}.arrows" for kind in ("tokens", "documents")]
         temporary = [f"{f}.{attempt}" for f in final]
-        encoder = WordEncoder(tokenizer)
-        writer = _SequenceWriter(fs, temporary[0], length, rows)
+        encoder = encoder_of(tokenizer)
+        writer = _SequenceWriter(fs, temporary[0], length, rows, encoder.dtype)
+        end = np.array([end_id], encoder.dtype)
         index = fs.open_output_stream(temporary[1])
         schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         entries = pa.ipc.new_stream(index, schema)
@@ -188,9 +195,8 @@ def write_tokens(
         for batch, texts in slices(batches, 2_000_000):
             sizes = []
             for ids in encoder.encode(texts):
-                ids.append(end_id)
-                sizes.append(len(ids))
-                writer.add(np.array(ids, np.uint32))
+                sizes.append(len(ids) + 1)
+                writer.add(np.concatenate((ids, end)))
             starts = start + np.cumsum(sizes) - sizes
             entries.write_batch(pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(id_type), pa.array(starts), pa.array(sizes, pa.int64())], schema=schema
@@ -223,7 +229,6 @@ class TokenFile:
         first = self.batches[0].column("tokens") if self.batches else None
         self.span = len(first) * first.type.list_size if self.batches else 1
         self.values = [b.column("tokens").values.to_numpy() for b in self.batches]
-        self.masks = [b.column("mask").values.to_numpy() for b in self.batches]
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids of the places start .. stop; within one batch a view of the buffer."""

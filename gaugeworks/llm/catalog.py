@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (
     arrow_tokens,
     decontaminate,
@@ -60,7 +62,8 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
 
 
 @query
@@ -116,3 +119,12 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
         docs.select("doc_id", "text", "source", "cluster"), tokenizer("word_bpe_49k.json")
     )
     return packing.pack(sized)
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

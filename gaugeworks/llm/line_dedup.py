@@ -163,50 +163,49 @@ def line_links(docs: DataFrame) -> DataFrame:
     return out.filter("doc_id > partner").select("doc_id", "partner", F.col("at").alias("own"), "other", "words")
 
 
-def dedup_lines(docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, text, removed, spans): documents without the blocks an earlier one has.
-
-    ``spans`` lists the removed (start, end) character spans of the old text,
-    ``removed`` the number of removed characters.  Null and empty texts come back
-    as they are.  Rows without doc_id have no place in the order and stay as they
-    are.  Rows that repeat a doc_id are one document and lose the same lines.
-    Blocks of fewer than ``block_words`` words stay.
+def dedup_lines(
+    docs: DataFrame, *, block_words: int = BLOCK_WORDS, removed: str = "removed", spans: str = "spans"
+) -> DataFrame:
+    """Input columns, with the blocks an earlier document has gone from ``text``.
+
+    Adds ``removed``, the number of removed characters, and ``spans``, their
+    (start, stop) in the old text; both replace any column of that name.  Null and
+    empty texts come back as they are.  Rows without doc_id have no place in the
+    order and stay as they are.  Rows that repeat a doc_id are one document and
+    lose the same lines.  Blocks of fewer than ``block_words`` words stay.
     """
-    links = line_links(docs)
+    plain = docs.drop(removed, spans)
     # a document with fewer shared words than one block needs can not lose any
-    marks = links.groupBy("doc_id").agg(
-        F.collect_set(F.struct("partner", "own", "other")).alias("links"), F.sum("words").alias("words")
-    ).filter(F.col("words") >= block_words).select(F.col("doc_id").alias("marked"), "links")
-    rows = docs.select("doc_id", "text")
-    joined = rows.join(marks, rows["doc_id"] == marks["marked"], "left").select("doc_id", "text", "links")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    marks = line_links(docs).groupBy("doc_id").agg(
+        F.collect_set(F.struct("partner", "own", "other")).alias("__links"), F.sum("words").alias("words")
+    ).filter(F.col("words") >= block_words).select(F.col("doc_id").alias("__marked"), "__links")
+    joined = plain.join(marks, plain["doc_id"] == marks["__marked"], "left").select(*plain.columns, "__links")
+    span = "array<struct<start: bigint, stop: bigint>>"
+    schema = plain.withColumn(removed, F.lit(0).cast("bigint")).withColumn(spans, F.lit(None).cast(span)).schema
+    at_text = plain.columns.index("text")
 
     def run(batches):
         for batch, texts in slices(batches):
             known = batch.column("text").is_valid().to_pylist()
-            out, removed, spans = [], [], []
-            for text, links, valid in zip(texts, batch.column("links").to_pylist(), known):
+            out, gone, cuts = [], [], []
+            for text, links, valid in zip(texts, batch.column("__links").to_pylist(), known):
                 cut = []
                 if links:
-                    cut = blocks(
-                        cut_lines(text), [(r["partner"], r["own"], r["other"]) for r in links], block_words
-                    )
+                    cut = blocks(cut_lines(text), [(r["partner"], r["own"], r["other"]) for r in links], block_words)
                 kept, at = [], 0
                 for a, b in cut:
                     kept.append(text[at:a])
                     at = b
                 kept.append(text[at:])
                 out.append("".join(kept) if valid else None)
-                removed.append(sum(b - a for a, b in cut))
-                spans.append([{"start": a, "stop": b} for a, b in cut])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(out, pa.string()), pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                ],
-                ["doc_id", "text", "removed", "spans"],
-            )
-
-    return joined.mapInArrow(
-        run, f"doc_id {kind}, text string, removed bigint, spans array<struct<start: bigint, stop: bigint>>"
-    )
+                gone.append(sum(b - a for a, b in cut))
+                cuts.append([{"start": a, "stop": b} for a, b in cut])
+            columns = list(batch.columns[:-1])
+            columns[at_text] = pa.array(out, pa.string())
+            columns += [
+                pa.array(gone, pa.int64()),
+                pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return joined.mapInArrow(run, schema)

@@ -25,8 +25,9 @@ from .common import code_points, slices, sums
 ORDER = 5
 SHARDS = 64
 CHUNK_ENTRIES = 4_000_000  # 12 bytes each
-UPPER, LOWER = 0.98, 0.02
+UPPER = 0.98
 MARGIN = 0.5
+HELD_KEYS = 1_000_000  # distinct windows a task holds per language before it sends them on
 LEAST = 30  # held-out documents that a length class needs for limits of its own
 
 _BITS = 12
@@ -59,18 +60,37 @@ def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[at], bounds
 
 
+def _merged(key, n, more_key, more_n):
+    """Sum of two sorted count lists."""
+    every = np.union1d(key, more_key)
+    total = np.zeros(len(every), np.int64)
+    total[np.searchsorted(every, key)] += n
+    total[np.searchsorted(every, more_key)] += more_n
+    return every, total
+
+
 def count_ngrams(docs: DataFrame, lang: str = "lang") -> DataFrame:
-    """(lang, key, n): windows of every text, counted per slice before the shuffle."""
+    """(lang, key, n): windows of every text, counted in each task before the shuffle."""
+
+    def rows_of(name, key, n):
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(name, pa.string()), len(key)), pa.array(key), pa.array(n)], ["lang", "key", "n"]
+        )
 
     def run(batches):
+        held: dict = {}
         for batch, texts in slices(batches):
             langs = batch.column("lang").to_pylist()
             for name in sorted(set(langs)):
                 key, _ = _keys([t for t, own in zip(texts, langs) if own == name])
                 key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "key", "n"]
-                )
+                if name in held:
+                    key, n = _merged(*held[name], key, n)
+                held[name] = key, n
+                if len(key) > HELD_KEYS:
+                    yield rows_of(name, *held.pop(name))
+        for name, (key, n) in held.items():
+            yield rows_of(name, key, n)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), "text").filter("text is not null")
     return rows.mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -226,6 +246,31 @@ def _loaded(model: Model, chunk: list[tuple[str, int]]) -> dict:
     return out
 
 
+def _places(distinct: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Index of each key in the sorted distinct keys, by hashing (much cheaper than a sort with indices)."""
+    bits = np.uint64(64 - max(10, int(len(distinct) * 8).bit_length()))
+    out = np.zeros(len(key), np.int64)
+    left, ask = np.arange(len(distinct)), None
+    factor = 0x9E3779B97F4A7C15
+    while len(left):
+        mixed = np.uint64(factor)
+        table = np.zeros(1 << (64 - int(bits)), np.int64)
+        slot = (distinct[left].astype(np.uint64) * mixed) >> bits
+        table[slot] = left
+        own = key if ask is None else key[ask]
+        got = table[(own.astype(np.uint64) * mixed) >> bits]
+        same = distinct[got] == own
+        if ask is None:
+            out = got
+            ask = np.flatnonzero(~same)
+        else:
+            out[ask[same]] = got[same]
+            ask = ask[~same]
+        left = left[table[slot] != left]  # lost their slot to another key
+        factor = (factor * 0xD1342543DE82EF95 + 2) & 0xFFFFFFFFFFFFFFFF | 1
+    return out
+
+
 def _log_probabilities(key: np.ndarray, table) -> np.ndarray:
     """Log probability of the last character of each window, backing off where unseen."""
     known, values, rest, _ = table
@@ -273,11 +318,11 @@ def score(docs: DataFrame, model: Model, lang: str = "lang") -> DataFrame:
                         continue
                     own = list(own)
                     key, bounds = _keys([texts[i] for i in own])
-                    distinct, at = np.unique(key, return_inverse=True)
+                    distinct = np.unique(key)
                     value = _log_probabilities(distinct, tables[name])
                     if not whole:
                         value[~np.isin(_shards(distinct), tables[name][3])] = 0
-                    total = sums(value[at], bounds)
+                    total = sums(value[_places(distinct, key)], bounds)
                     for i, x, n in zip(own, total.tolist(), np.diff(bounds).tolist()):
                         logp[i], size[i] = (logp[i] or 0.0) + x, n
                 columns = [*batch.columns[:-2], pa.array(logp, pa.float64()), pa.array(size, pa.int64())]
@@ -309,32 +354,32 @@ def _class() -> Column:
 
 
 def limits(held_out: DataFrame) -> DataFrame:
-    """(lang, class, low, high) from held-out trusted documents; class -1: all lengths.
+    """(lang, class, high) from held-out trusted documents; class -1: all lengths.
 
-    ``low`` and ``high`` are quantiles of the log perplexity, moved out by
-    ``MARGIN`` of their distance from the median, so that clean text next to a
-    quantile stays.
+    ``high`` is a quantile of the log perplexity, moved out by ``MARGIN`` of its
+    distance from the median, so that clean text next to the quantile stays.
     """
     rows = held_out.filter("__logp is not null and __size > 0").select(
         F.coalesce("lang", F.lit("")).alias("lang"), _class().alias("class"), (-F.col("__logp") / F.col("__size")).alias("x")
     )
-    q = F.percentile_approx("x", F.array(F.lit(LOWER), F.lit(0.5), F.lit(UPPER)), F.lit(10_000)).alias("q")
+    q = F.percentile_approx("x", F.array(F.lit(0.5), F.lit(UPPER)), F.lit(10_000)).alias("q")
     each = rows.groupBy("lang", "class").agg(q, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST)
     every = rows.groupBy("lang").agg(q).select("lang", F.lit(-1).alias("class"), "q")
-    low, mid, high = F.col("q")[0], F.col("q")[1], F.col("q")[2]
+    mid, high = F.col("q")[0], F.col("q")[1]
     return each.select("lang", "class", "q").union(every).select(
-        "lang", "class", (low - MARGIN * (mid - low)).alias("low"), (high + MARGIN * (high - mid)).alias("high")
+        "lang", "class", (high + MARGIN * (high - mid)).alias("high")
     )
 
 
-def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Input columns plus ``perplexity`` and ``accepted`` (and nothing else).
+def classify(
+    docs: DataFrame, trusted: DataFrame, *, perplexity: str = "perplexity", accepted: str = "accepted"
+) -> DataFrame:
+    """Input columns plus ``perplexity`` and ``accepted``, which replace any of that name.
 
     ``docs`` has doc_id, text and lang; ``trusted`` has the ids of trusted
     documents.  Four fifths of the trusted text train the model, the rest sets the
-    limits.  A document is rejected if its perplexity is outside the limits of its
-    language and length class: above for markup, noise or foreign text, below for
-    repetition.  Null, empty and blank texts and languages without a trusted
+    limits.  A document is rejected if its perplexity is above the limit of its
+    language and length class.  Null, empty and blank texts and languages without a trusted
     document have null perplexity and are accepted; a null language is a language
     of its own.  Repeated rows give repeated results.
     """
@@ -343,25 +388,20 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     known = own.join(ids, own["doc_id"] == ids["__id"], "left_semi")
     split = F.pmod(F.xxhash64("text"), F.lit(5))
     model = train(known.filter(split != 0))
-    plain = docs.drop("perplexity", "accepted")
-    held = score(known.filter(split == 0), model)
-    bounds = materialised(limits(held))
+    plain = docs.drop(perplexity, accepted)
+    bounds = materialised(limits(score(known.filter(split == 0), model)))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    one = F.broadcast(bounds.filter("class >= 0").select(
-        F.col("lang").alias("__l1"), F.col("class").alias("__c1"), F.col("low").alias("__low1"), F.col("high").alias("__high1")))
-    all_ = F.broadcast(bounds.filter("class < 0").select(
-        F.col("lang").alias("__l2"), F.col("low").alias("__low2"), F.col("high").alias("__high2")))
-    out = score(plain, model)
+    # a limit per language and length class: a few rows
+    one = F.broadcast(bounds.filter("class >= 0").selectExpr("lang as __l1", "class as __c1", "high as __h1"))
+    every = F.broadcast(bounds.filter("class < 0").selectExpr("lang as __l2", "high as __h2"))
     x = F.when(F.col("__size") > 0, -F.col("__logp") / F.col("__size"))
     out = (
-        out.withColumn("__x", x).withColumn("__c", _class())
+        score(plain, model).withColumn("__x", x).withColumn("__c", _class())
         .join(one, (lang == F.col("__l1")) & (F.col("__c") == F.col("__c1")), "left")
-        .join(all_, lang == F.col("__l2"), "left")
+        .join(every, lang == F.col("__l2"), "left")
     )
-    low = F.coalesce("__low1", "__low2")
-    high = F.coalesce("__high1", "__high2")
     return out.select(
         *plain.columns,
-        F.exp("__x").alias("perplexity"),
-        F.coalesce((F.col("__x") >= low) & (F.col("__x") <= high), F.lit(True)).alias("accepted"),
+        F.exp("__x").alias(perplexity),
+        F.coalesce(F.col("__x") <= F.coalesce("__h1", "__h2"), F.lit(True)).alias(accepted),
     )
