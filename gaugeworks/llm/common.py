@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import materialised
 
 SLICE_CHARS = 2_000_000
+BROADCAST_IDS = 8_000_000  # 16 bytes each in a hash table
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS):
@@ -78,3 +79,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     nodes = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return nodes.union(edges.select("b", "b").distinct())
+
+
+def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among the distinct values of ``ids`` (its only column).
+
+    The ids are counted first: up to ``BROADCAST_IDS`` they are broadcast, so the
+    texts of ``rows`` are not shuffled; more are joined by shuffle.  The result is
+    the same.
+    """
+    name = f"__{key}"
+    distinct = materialised(ids.toDF(name).filter(F.col(name).isNotNull()).distinct())
+    if distinct.count() <= BROADCAST_IDS:
+        distinct = F.broadcast(distinct)
+    return rows.join(distinct, rows[key] == distinct[name], "left_semi")

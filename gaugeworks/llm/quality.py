@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .common import code_points, slices, sums
+from .common import code_points, semi_join, slices, sums
 
 ORDER = 5
 SHARDS = 64
@@ -383,9 +383,7 @@ def classify(
     document have null perplexity and are accepted; a null language is a language
     of its own.  Repeated rows give repeated results.
     """
-    ids = trusted.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
-    own = docs.select("doc_id", "text", "lang")
-    known = own.join(ids, own["doc_id"] == ids["__id"], "left_semi")
+    known = semi_join(docs.select("doc_id", "text", "lang"), trusted.select("doc_id"), "doc_id")
     split = F.pmod(F.xxhash64("text"), F.lit(5))
     model = train(known.filter(split != 0))
     plain = docs.drop(perplexity, accepted)

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import top_per_key
-from .common import code_points, slices
+from ..session import materialised
+from .common import code_points, semi_join, slices
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 16
@@ -249,14 +250,25 @@ def fit(
     """Fit on at most ``rows`` labelled documents per label, each of ``chars`` characters at most.
 
     The rows are the first in hash order, so at most 2 x rows x chars characters
-    reach the driver.  ``usable`` filters the labels.
+    reach the driver.  ``usable`` filters the labels; of several labels of a document
+    the toxic one counts.
     """
-    own = labels.filter(usable & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), "toxic").distinct()
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= chars)
-    joined = texts.join(own, texts["doc_id"] == own["__id"]).select(
-        F.when(F.col("toxic") > 0, 1).otherwise(0).alias("label"), "text", F.xxhash64("doc_id", "text").alias("key")
+    toxic = materialised(
+        labels.filter(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic > 0").select(F.col("doc_id").alias("__id"))
     )
-    got = top_per_key(joined, ["label"], ["key", "text"], rows, "rank").orderBy("label", "rank").collect()
+    own = labels.filter(usable & F.col("toxic").isNotNull()).select("doc_id")
+    key = F.xxhash64("doc_id", "text").alias("key")
+    known = semi_join(docs.filter(F.length("text") <= chars).select("doc_id", key), own, "doc_id")
+    marked = known.join(toxic, known["doc_id"] == toxic["__id"], "left").select(
+        "doc_id", "key", F.col("__id").isNotNull().cast("int").alias("label")
+    )
+    # ids first, then only the texts of the chosen rows: 2 x rows of them
+    chosen = materialised(top_per_key(marked.distinct(), ["label"], ["key", "doc_id"], rows, "rank"))
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "label", "rank"))
+    texts = docs.select("doc_id", "text", key)
+    got = texts.join(chosen, (texts["doc_id"] == chosen["__id"]) & (texts["key"] == chosen["__key"])).select(
+        "label", "rank", "text").distinct().orderBy("label", "rank").collect()
     return train([r["text"] for r in got], [r["label"] for r in got])
 
 
