@@ -61,7 +61,7 @@ class WordEncoder:
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.letters = {c: spell(chr(c))[0][0] for c in range(33, 256) if not chr(c).isspace()}
+        self.letters = {c: spell(chr(c))[0][0] for c in range(256) if not chr(c).isspace()}
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialised
 from .common import code_points
 
 SEGMENT = 512
@@ -28,8 +27,8 @@ CLASSES = 256
 SEED = 20_240_501
 SLICE = 1_000_000
 _SIGNS = 4096  # segments before the sign patterns repeat
-BAND_BITS = 16
-BANDS = 24
+BAND_BITS = 12
+BANDS = 32
 
 
 @lru_cache(maxsize=1)
@@ -173,10 +172,10 @@ def fingerprint(docs: DataFrame, *, part_chars: int = 8_000_000) -> DataFrame:
 def banded_links(prints: DataFrame, *, least: float = 0.8, bands: int = BANDS, band_bits: int = BAND_BITS) -> DataFrame:
     """(a, b, likeness) links between distinct fingerprints, by bit-sampled banding.
 
-    ``prints`` has ``fingerprint`` (hex).  Each band samples ``band_bits`` bits; in
-    a bucket every fingerprint is verified against the smallest one, so a bucket
-    of n gives n - 1 candidates and copies of a document are linked in a chain of
-    buckets.  Nulls are ignored.
+    ``prints`` has ``fingerprint`` (hex).  Each band samples ``band_bits`` bits.
+    Within a bucket every fingerprint that is near another one is verified and
+    linked, by a connecting set of links where there are many, so a large bucket
+    never yields all its pairs.  Nulls are ignored.
     """
     rng = np.random.default_rng(SEED + 1)
     picks = [rng.choice(BITS, band_bits, replace=False) for _ in range(bands)]
@@ -194,17 +193,36 @@ def banded_links(prints: DataFrame, *, least: float = 0.8, bands: int = BANDS, b
                 )
 
     distinct = prints.select("fingerprint").filter("fingerprint is not null").distinct()
-    filed = materialised(distinct.mapInArrow(run, "fingerprint string, bucket bigint"))
-    heads = filed.groupBy("bucket").agg(F.min("fingerprint").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = filed.join(heads, "bucket").filter("fingerprint <> a").select("a", F.col("fingerprint").alias("b")).distinct()
+    def verified(run: list[str]):
+        left = np.frombuffer(bytes.fromhex("".join(run)), np.uint8).reshape(len(run), -1)
+        names = np.array(run, object)
+        while len(left):
+            stack, left, names = [(left[0], names[0])], left[1:], names[1:]
+            while stack and len(left):
+                bits, name = stack.pop()
+                like = likeness(left, np.broadcast_to(bits, left.shape))
+                near = like >= least
+                for i in np.flatnonzero(near):
+                    yield min(name, names[i]), max(name, names[i]), float(like[i])
+                    stack.append((left[i], names[i]))
+                left, names = left[~near], names[~near]
 
     def verify(batches):
+        held, bucket = [], None
         for batch in batches:
-            a, b = (
-                np.frombuffer(bytes.fromhex("".join(batch.column(c).to_pylist())), np.uint8).reshape(batch.num_rows, -1)
-                for c in ("a", "b")
-            )
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(likeness(a, b))], ["a", "b", "likeness"])
-
-    return pairs.mapInArrow(verify, "a string, b string, likeness double").filter(F.col("likeness") >= least)
+            found = []
+            for name, own in zip(batch.column("fingerprint").to_pylist(), batch.column("bucket").to_pylist()):
+                if own != bucket:
+                    found += verified(held) if len(held) > 1 else []
+                    held, bucket = [], own
+                held.append(name)
+            yield from rows_of(found)
+        yield from rows_of(list(verified(held)) if len(held) > 1 else [])
+
+    def rows_of(found):
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b", "likeness"])
+
+    filed = distinct.mapInArrow(run, "fingerprint string, bucket bigint")
+    runs = filed.repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
+    return runs.mapInArrow(verify, "a string, b string, likeness double").distinct()

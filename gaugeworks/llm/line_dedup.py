@@ -57,6 +57,9 @@ def cut_lines(text: str) -> list[tuple[int, int, int]]:
         if start < end:
             out.append((start, end, words))
         start = end
+    if len(out) > 1 and out[-1][2] < LINE_WORDS:  # a short end goes with what is before it
+        (first, _, n), (_, stop, more) = out[-2:]
+        out[-2:] = [(first, stop, n + more)]
     return out
 
 

@@ -210,7 +210,7 @@ def train(trusted: DataFrame, lang: str = "lang") -> Model:
     summed = grouped.applyInPandas(_statistics, "lang string, order int, key bigint, n bigint").groupBy(
         "lang", "order", "key"
     ).agg(F.sum("n").alias("n"))
-    for (name, order), part in summed.toPandas().groupby(["lang", "order"]):
+    for (name, order), part in summed.toArrow().to_pandas().groupby(["lang", "order"]):
         found[name, int(order)] = (part["key"].to_numpy(), part["n"].to_numpy())
     cuts, low = {}, {}
     for (name, order), (key, n) in found.items():
@@ -223,17 +223,18 @@ def train(trusted: DataFrame, lang: str = "lang") -> Model:
             lambda rows: _shard_model(rows, cuts, low), "lang string, shard int, key bigint, value float"
         )
     )
-    entries = table.groupBy("lang", "shard").count().orderBy("lang", "shard").collect()
-    return Model(table, low, [tuple(r) for r in entries])
+    sizes = {(r["lang"], r["shard"]): r["count"] for r in table.groupBy("lang", "shard").count().collect()}
+    # empty shards too: their positions back off to the low orders
+    return Model(table, low, [(name, k, sizes.get((name, k), 0)) for name in sorted(low) for k in range(SHARDS)])
 
 
 def _loaded(model: Model, chunk: list[tuple[str, int]]) -> dict:
     """Sorted arrays of one chunk per language, with the shards it covers."""
     wanted = model.table.sparkSession.createDataFrame(chunk, "lang string, shard int")
-    rows = model.table.join(F.broadcast(wanted), ["lang", "shard"]).select("lang", "key", "value").toPandas()
+    rows = model.table.join(F.broadcast(wanted), ["lang", "shard"]).select("lang", "key", "value").toArrow().to_pandas()
     out = {}
-    for lang, part in rows.groupby("lang"):
-        low = model.low[lang]
+    for lang in {name for name, _ in chunk}:
+        part, low = rows[rows["lang"] == lang], model.low[lang]
         key = np.concatenate([
             part["key"].to_numpy(), _tagged(2, low["two"][0]), _tagged(_CONTEXT + 2, low["context"][0]),
             _tagged(1, low["one"][0]),

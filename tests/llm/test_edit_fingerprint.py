@@ -37,7 +37,7 @@ def test_edits_change_little():
     words[50] = "other"
     bits = E.embed([text, " ".join(words), "Xx " + text, prose(6, 400)])
     near = E.likeness(np.repeat(bits[:1], 3, axis=0), bits[1:])
-    assert near[0] > 0.9 and near[1] > 0.75 and near[2] < 0.4
+    assert near[0] > 0.8 and near[1] > 0.55 and near[2] < 0.4
 
 
 def expected(rows):
@@ -81,7 +81,7 @@ def test_banded_links(spark):
     texts += [prose(k, 300) for k in range(20, 40)]
     prints = [b.tobytes().hex() for b in E.embed(texts)]
     frame = spark.createDataFrame([(p,) for p in prints] + [(None,), (prints[0],)], "fingerprint string")
-    links = [(r.a, r.b) for r in E.banded_links(frame).collect()]
+    links = [(r.a, r.b) for r in E.banded_links(frame, least=0.5).collect()]
     reach, grown = {prints[0]}, True
     while grown:
         more = {x for a, b in links for x in (a, b) if a in reach or b in reach} | reach

@@ -14,7 +14,7 @@ def folder(spark, tmp_path_factory):
     rows += [(1000 + k, " ".join(w.upper() + "!!" for w in prose(k, 80).split()), "en", "s1") for k in range(20)]
     rows += [(2000 + k, f"{prose(2000 + k, 80)} {passage} {prose(3000 + k, 60)}", "en", "s2") for k in range(10)]
     near = prose(4000, 200).split()
-    rows += [(4000 + k, " ".join(near[:30 + k] + ["odd"] + near[31 + k:]), "en", "s3") for k in range(4)]
+    rows += [(4000 + k, " ".join(near[:30 + k] + ["dil"] + near[31 + k:]), "en", "s3") for k in range(4)]
     rows += [(5000 + k, f"{prose(5000 + k, 50)} {item} {prose(6000 + k, 50)}", "en", "s0") for k in range(5)]
     rows += [(7000, None, "en", "s0"), (7001, "", None, None), (None, prose(7, 90), "en", "s0")]
     full = [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows]
