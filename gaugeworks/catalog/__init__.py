@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     plan_queries,
     retrieval_queries,
     round_queries,
+    source_queries,
 )
 from .registry import QUERIES, SQL
 

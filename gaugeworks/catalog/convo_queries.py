@@ -9,7 +9,6 @@ from ..operators import conversations as ops
 from ..operators import ids as idspace
 from .registry import Inputs, query
 
-_PAGE = "CAST(turn // 10000 AS INTEGER)"
 _NL2 = "chr(10) || chr(10)"
 
 
@@ -18,132 +17,132 @@ def _convos(t: Inputs):
 
 
 @query("convo_render", f"""
-    SELECT conv_id, {_PAGE} AS page,
+    SELECT conv_id,
            string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, {_NL2} ORDER BY turn) AS rendered
     FROM {{turns}} GROUP BY ALL""")
 def convo_render(t):
-    return _convos(t).select("conv_id", "page", C.render("convo").alias("rendered"))
+    return _convos(t).select("conv_id", C.render("convo").alias("rendered"))
 
 
 @query("convo_human_only", f"""
-    SELECT conv_id, {_PAGE} AS page,
+    SELECT conv_id,
            coalesce(string_agg('Human: ' || text, {_NL2} ORDER BY turn) FILTER (role = 'user'), '') AS rendered
     FROM {{turns}} GROUP BY ALL""")
 def convo_human_only(t):
-    return _convos(t).select("conv_id", "page", C.render_human_only("convo").alias("rendered"))
+    return _convos(t).select("conv_id", C.render_human_only("convo").alias("rendered"))
 
 
 @query("convo_nosystem", f"""
-    SELECT conv_id, {_PAGE} AS page,
+    SELECT conv_id,
            coalesce(string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, {_NL2} ORDER BY turn)
                     FILTER (role <> 'system'), '') AS rendered
     FROM {{conversations}} GROUP BY ALL""")
 def convo_nosystem(t):
     convos = ops.from_turns(t.conversations)
-    return convos.select("conv_id", "page", C.render_history("convo").alias("rendered"))
+    return convos.select("conv_id", C.render_history("convo").alias("rendered"))
 
 
 @query("convo_user_text", f"""
-    SELECT conv_id, {_PAGE} AS page,
+    SELECT conv_id,
            coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS user_text
     FROM {{turns}} GROUP BY ALL""")
 def convo_user_text(t):
-    return _convos(t).select("conv_id", "page", C.user_text("convo").alias("user_text"))
+    return _convos(t).select("conv_id", C.user_text("convo").alias("user_text"))
 
 
 @query("convo_turn_counts", f"""
-    SELECT conv_id, {_PAGE} AS page, count(*) FILTER (role = 'user') AS n_user_turns, count(*) AS n_turns
+    SELECT conv_id, count(*) FILTER (role = 'user') AS n_user_turns, count(*) AS n_turns
     FROM {{turns}} GROUP BY ALL""")
 def convo_turn_counts(t):
     return _convos(t).select(
-        "conv_id", "page", C.n_user_turns("convo").cast("long").alias("n_user_turns"),
+        "conv_id", C.n_user_turns("convo").cast("long").alias("n_user_turns"),
         F.size("convo").cast("long").alias("n_turns"),
     )
 
 
 @query("convo_numbered_prompt", f"""
     WITH numbered AS (
-        SELECT conv_id, {_PAGE} AS page, turn, role, text,
-               sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn // 10000 ORDER BY turn) AS n
+        SELECT conv_id, turn, role, text,
+               sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n
         FROM {{turns}})
-    SELECT conv_id, page,
+    SELECT conv_id,
            string_agg(CASE role WHEN 'user' THEN 'Human turn ' || n || ': ' ELSE 'Assistant: ' END || '\"\"\"' || text || '\"\"\"',
                       {_NL2} ORDER BY turn) AS numbered
     FROM numbered GROUP BY ALL""")
 def convo_numbered_prompt(t):
-    return _convos(t).select("conv_id", "page", C.numbered_turns("convo").alias("numbered"))
+    return _convos(t).select("conv_id", C.numbered_turns("convo").alias("numbered"))
 
 
 @query("convo_prefix_cut", f"""
     WITH numbered AS (
-        SELECT conv_id, {_PAGE} AS page, turn, role, text,
-               sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn // 10000 ORDER BY turn) AS n
+        SELECT conv_id, turn, role, text,
+               sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n
         FROM {{turns}}),
-    cuts AS (SELECT conv_id, page, min(turn) FILTER (n = 2) AS cut FROM numbered GROUP BY ALL)
-    SELECT c.conv_id, c.page,
+    cuts AS (SELECT conv_id, min(turn) FILTER (n = 2) AS cut FROM numbered GROUP BY ALL)
+    SELECT c.conv_id,
            string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, {_NL2} ORDER BY turn)
            FILTER (turn <= cut) AS prefix
-    FROM cuts c JOIN numbered n ON c.conv_id = n.conv_id AND c.page = n.page GROUP BY ALL""")
+    FROM cuts c JOIN numbered n ON c.conv_id = n.conv_id GROUP BY ALL""")
 def convo_prefix_cut(t):
     cut = C.prefix_to_user_turn("convo", 2)
-    return _convos(t).select("conv_id", "page", C.render(cut).alias("prefix"))
+    return _convos(t).select("conv_id", C.render(cut).alias("prefix"))
 
 
 @query("convo_last_and_previous", f"""
-    WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id, turn // 10000) AS last_turn FROM {{turns}})
-    SELECT conv_id, {_PAGE} AS page, max(text) FILTER (turn = last_turn) AS query,
+    WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM {{turns}})
+    SELECT conv_id, max(text) FILTER (turn = last_turn) AS query,
            coalesce(string_agg('<turn role=''' || role || '''>' || text || '</turn>', chr(10) ORDER BY turn)
                     FILTER (turn < last_turn), '') AS previous_turns
     FROM m GROUP BY ALL""")
 def convo_last_and_previous(t):
     return _convos(t).select(
-        "conv_id", "page", C.last_content("convo").alias("query"),
+        "conv_id", C.last_content("convo").alias("query"),
         C.previous_turns_xml("convo").alias("previous_turns"),
     )
 
 
 @query("convo_first_of_role", f"""
-    SELECT conv_id, {_PAGE} AS page, arg_min(text, turn) FILTER (role = 'user') AS first_user,
+    SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS first_user,
            arg_min(text, turn) FILTER (role = 'assistant') AS first_assistant,
            arg_max(role, turn) = 'user' AS ends_with_user
     FROM {{turns}} GROUP BY ALL""")
 def convo_first_of_role(t):
     return _convos(t).select(
-        "conv_id", "page", C.first_of_role("convo", "user").alias("first_user"),
+        "conv_id", C.first_of_role("convo", "user").alias("first_user"),
         C.first_of_role("convo", "assistant").alias("first_assistant"),
         C.ends_with_user("convo").alias("ends_with_user"),
     )
 
 
 @query("convo_fingerprint", f"""
-    SELECT conv_id, {_PAGE} AS page,
+    SELECT conv_id,
            sha256('[' || string_agg('{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}', ',' ORDER BY turn) || ']') AS convo_hash
     FROM {{turns}} GROUP BY ALL""")
 def convo_fingerprint(t):
-    return _convos(t).select("conv_id", "page", C.fingerprint("convo").alias("convo_hash"))
+    return _convos(t).select("conv_id", C.fingerprint("convo").alias("convo_hash"))
 
 
 @query("convo_drop_turns", f"""
     WITH u AS (
-        SELECT conv_id, {_PAGE} AS page, turn, regexp_replace('Human: ' || text, '^\\s+|\\s+$', '', 'g') AS line,
-               row_number() OVER (PARTITION BY conv_id, turn // 10000 ORDER BY turn) - 1 AS i
+        SELECT conv_id, turn, regexp_replace('Human: ' || text, '^\\s+|\\s+$', '', 'g') AS line,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i
         FROM {{turns}} WHERE role = 'user')
-    SELECT conv_id, page,
+    SELECT conv_id,
            string_agg('(' || i || ') ' || line, {_NL2} ORDER BY turn) AS numbered,
            coalesce(string_agg(line, {_NL2} ORDER BY turn) FILTER (i <> 1), '') AS kept
     FROM u GROUP BY ALL""")
 def convo_drop_turns(t):
     users = ops.from_turns(t.turns.filter("role = 'user'"))
-    turns = users.select("conv_id", "page", C.split_turns(C.render_human_only("convo")).alias("turns"))
+    turns = users.select("conv_id", C.split_turns(C.render_human_only("convo")).alias("turns"))
     return turns.select(
-        "conv_id", "page", C.number_turns("turns").alias("numbered"),
+        "conv_id", C.number_turns("turns").alias("numbered"),
         C.drop_turns("turns", F.array(F.lit(1))).alias("kept"),
     )
 
 
 @query("convo_replace_and_append", f"""
-    WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id, turn // 10000) AS last_turn FROM {{turns}})
-    SELECT conv_id, {_PAGE} AS page,
+    WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM {{turns}})
+    SELECT conv_id,
            string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END
                       || CASE WHEN turn = last_turn THEN text || '?' ELSE text END, {_NL2} ORDER BY turn)
            || {_NL2} || 'Assistant: done' AS rendered
@@ -151,7 +150,7 @@ def convo_drop_turns(t):
 def convo_replace_and_append(t):
     swapped = C.replace_turn("convo", -1, F.concat(C.last_content("convo"), F.lit("?")))
     return _convos(t).select(
-        "conv_id", "page", C.render(C.append_answer(swapped, F.lit("done"))).alias("rendered")
+        "conv_id", C.render(C.append_answer(swapped, F.lit("done"))).alias("rendered")
     )
 
 
@@ -179,31 +178,31 @@ def convo_text_dedupe_count(t):
 
 @query("source_paired_json", f"""
     WITH sided AS (
-        SELECT conv_id, {_PAGE} AS page, role, text, turn,
-               row_number() OVER (PARTITION BY conv_id, turn // 10000, role ORDER BY turn) AS i
+        SELECT conv_id, role, text, turn,
+               row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i
         FROM {{turns}}),
     paired AS (
-        SELECT u.conv_id, u.page, u.i, u.text AS p, a.text AS r
-        FROM sided u JOIN sided a ON u.conv_id = a.conv_id AND u.page = a.page AND u.i = a.i
+        SELECT u.conv_id, u.i, u.text AS p, a.text AS r
+        FROM sided u JOIN sided a ON u.conv_id = a.conv_id AND u.i = a.i
         WHERE u.role = 'user' AND a.role = 'assistant')
-    SELECT k.conv_id, k.page,
+    SELECT k.conv_id,
            coalesce(string_agg('Human: ' || p || {_NL2} || 'Assistant: ' || r, {_NL2} ORDER BY i), '') AS rendered
-    FROM (SELECT DISTINCT conv_id, {_PAGE} AS page FROM {{turns}}) k
-    LEFT JOIN paired USING (conv_id, page) GROUP BY ALL""")
+    FROM (SELECT DISTINCT conv_id FROM {{turns}}) k
+    LEFT JOIN paired USING (conv_id) GROUP BY ALL""")
 def source_paired_json(t):
     """Two JSON list columns, as the paired-column corpora have them."""
     both = _convos(t).select(
-        "conv_id", "page",
+        "conv_id",
         F.to_json(F.transform(C.of_role("convo", "user"), lambda x: x["content"])).alias("prompt"),
         F.to_json(F.transform(C.of_role("convo", "assistant"), lambda x: x["content"])).alias("response"),
     )
     return both.select(
-        "conv_id", "page", C.render(C.from_paired_json("prompt", "response")).alias("rendered")
+        "conv_id", C.render(C.from_paired_json("prompt", "response")).alias("rendered")
     )
 
 
 @query("source_multipart", f"""
-    SELECT conv_id, {_PAGE} AS page,
+    SELECT conv_id,
            string_agg(role || ':' || CASE WHEN turn % 3 = 2 THEN '' ELSE text END, '|' ORDER BY turn) AS flat, true AS valid
     FROM {{turns}} GROUP BY ALL""")
 def source_multipart(t):
@@ -213,15 +212,15 @@ def source_multipart(t):
     )
     none = F.array().cast("array<struct<type:string,text:string,image:string>>")
     rows = t.turns.select(
-        "conv_id", F.floor(F.col("turn") / ops.PAGE_TURNS).cast("int").alias("page"), "turn", "role",
+        "conv_id", "turn", "role",
         F.when(F.col("turn") % 3 == 2, none).otherwise(F.array(part)).alias("content"),
     )
-    raw = rows.groupBy("conv_id", "page").agg(
+    raw = rows.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("raw")
     )
     fixed = C.from_multipart("raw")
     return raw.select(
-        "conv_id", "page",
+        "conv_id",
         F.array_join(F.transform(fixed, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("flat"),
         C.multipart_valid("raw").alias("valid"),
     )
@@ -284,7 +283,7 @@ def range_lookup(t):
     FROM {{events}} LEFT JOIN ids ON user_id = instance_idx""")
 def fetch_instances(t):
     """Conversation per wanted id; one dataset is ignored and gets a placeholder."""
-    convos = _convos(t).filter("page = 0").select(
+    convos = _convos(t).select(
         F.concat(F.lit("set "), (F.col("conv_id") % 3).cast("string")).alias("dset_name"),
         F.col("conv_id").alias("local_id"), "convo",
     )

@@ -16,14 +16,14 @@ from .registry import query
 _EX = """
     ex AS (SELECT 'occ ' || o_custkey AS category_occ, 'task ' || o_orderkey AS category_task, 'dwa ' || l_suppkey AS dwa,
                   l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ex_id,
-                  CASE WHEN l_tax > 0.01 THEN 'r' || l_partkey END AS response, l_returnflag
-           FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_tax) AS l_tax, min(l_returnflag) AS l_returnflag
+                  CASE WHEN l_tax > 0.01 THEN 'r' || l_partkey END AS response, l_tax
+           FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_tax) AS l_tax
                  FROM {lineitem} GROUP BY ALL) JOIN {orders} ON l_orderkey = o_orderkey)"""
 
 
 def examples(t):
     lines = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(
-        F.min("l_tax").alias("l_tax"), F.min("l_returnflag").alias("l_returnflag")
+        F.min("l_tax").alias("l_tax")
     )
     ex_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -33,7 +33,7 @@ def examples(t):
         ex_id.alias("ex_id"),
         F.when(F.col("l_tax") > 0.01, F.concat(F.lit("r"), F.col("l_partkey").cast("string"))).alias("response"),
         F.array(C.turn("user", F.concat(F.lit("q "), ex_id))).alias("convo_subset"),
-        "l_returnflag",
+        "l_tax",
     )
 
 
@@ -44,11 +44,11 @@ def _flat(col):
 
 
 @query("task_examples", "WITH " + _EX + """
-    SELECT category_occ, category_task, 0 AS page, string_agg('q ' || ex_id || '=' || response, ',' ORDER BY ex_id) AS examples
+    SELECT category_occ, category_task, string_agg('q ' || ex_id || '=' || response, ',' ORDER BY ex_id) AS examples
     FROM ex WHERE response IS NOT NULL GROUP BY ALL""")
 def task_examples(t):
     out = E.task_examples(examples(t), order=["ex_id"])
-    return out.select(*E.TASK, "page", _flat("examples").alias("examples"))
+    return out.select(*E.TASK, _flat("examples").alias("examples"))
 
 
 @query("sampled_examples", "WITH " + _EX + """,
@@ -85,11 +85,12 @@ _EXAMPLE = "'### Example' || chr(10) || '```' || chr(10) || 'Human: q ' || ex_id
 
 @query("retrieval_fallback", "WITH " + _EX + f""",
     space AS (SELECT DISTINCT category_occ, category_task, dwa FROM ex),
+    found AS (SELECT * REPLACE (CASE WHEN l_tax > 0.07 THEN response END AS response) FROM ex),
     mine AS (SELECT *, row_number() OVER (PARTITION BY category_occ, category_task ORDER BY md5('0|' || ex_id), ex_id) AS i
-             FROM ex WHERE response IS NOT NULL AND l_returnflag = 'A'),
+             FROM found WHERE response IS NOT NULL),
     bt AS (SELECT category_occ, category_task, string_agg({_EXAMPLE}, chr(10) || chr(10) ORDER BY i) AS s FROM mine WHERE i <= 2 GROUP BY ALL),
-    linked AS (SELECT e.category_occ, e.category_task, e.dwa, x.ex_id, x.response FROM space e JOIN ex x ON e.dwa = x.dwa
-               WHERE response IS NOT NULL AND l_returnflag = 'A' AND hash(1) IS NOT NULL AND x.dwa < 'dwa 3'),
+    linked AS (SELECT e.category_occ, e.category_task, e.dwa, x.ex_id, x.response FROM space e JOIN found x ON e.dwa = x.dwa
+               JOIN {{supplier}} ON e.dwa = 'dwa ' || s_suppkey WHERE response IS NOT NULL AND s_acctbal > 0),
     ld AS (SELECT *, row_number() OVER (PARTITION BY category_occ, category_task ORDER BY md5('0|' || ex_id), ex_id, dwa) AS i FROM linked),
     bd AS (SELECT category_occ, category_task, string_agg({_EXAMPLE}, chr(10) || chr(10) ORDER BY i) AS s FROM ld WHERE i <= 2 GROUP BY ALL)
     SELECT k.category_occ, k.category_task, CASE WHEN bt.s IS NOT NULL THEN 'task' WHEN bd.s IS NOT NULL THEN 'dwa' ELSE 'zs' END AS method,
@@ -100,9 +101,11 @@ _EXAMPLE = "'### Example' || chr(10) || '```' || chr(10) || 'Human: q ' || ex_id
 def retrieval_fallback(t):
     """Prompt per task: own examples, else those of its activities, else zero-shot."""
     ex = examples(t)
-    found = ex.filter("l_returnflag = 'A'")
+    # few answers, and activities that only some suppliers are classified for
+    found = ex.withColumn("response", F.when(F.col("l_tax") > 0.07, F.col("response")))
+    classified = t.supplier.filter("s_acctbal > 0").select(F.concat(F.lit("dwa "), F.col("s_suppkey").cast("string")).alias("dwa"))
     by_task = E.sampled_examples(found, id_col="ex_id", n=2)
-    by_dwa = E.sampled_examples_by_dwa(found.filter("dwa < 'dwa 3'"), ex, id_col="ex_id", n=2)
+    by_dwa = E.sampled_examples_by_dwa(found, ex.join(classified, "dwa"), id_col="ex_id", n=2)
     table = E.retrieval_table(ex, by_task, by_dwa)
     out = E.prompt_with_fallback(
         table, prompt_ret="{task} / {occupation}:\n{examples_strs}", prompt_zs="{task} for {occupation}"
@@ -111,12 +114,12 @@ def retrieval_fallback(t):
 
 
 @query("examples_tagged", "WITH " + _EX + """
-    SELECT category_occ, category_task, 0 AS page, string_agg('### Example' || chr(10) || '```' || chr(10) || '<human>' || chr(10) || 'q ' || ex_id || chr(10) || '</human>' || chr(10) || chr(10)
+    SELECT category_occ, category_task, string_agg('### Example' || chr(10) || '```' || chr(10) || '<human>' || chr(10) || 'q ' || ex_id || chr(10) || '</human>' || chr(10) || chr(10)
            || '<LLM>' || chr(10) || response || chr(10) || '</LLM>' || chr(10) || '```', chr(10) || chr(10) ORDER BY ex_id) AS examples
     FROM ex WHERE response IS NOT NULL GROUP BY ALL""")
 def examples_tagged(t):
     out = E.task_examples(examples(t), order=["ex_id"])
-    return out.select(*E.TASK, "page", C.examples_text("examples", style="tagged").alias("examples"))
+    return out.select(*E.TASK, C.examples_text("examples", style="tagged").alias("examples"))
 
 
 _COV = """
@@ -196,7 +199,7 @@ def task_details(t):
 
 
 @query("request_summaries", """
-    WITH f AS (SELECT conv_id, turn // 10000 AS page, arg_min(text, turn) FILTER (role = 'user') AS u FROM {turns} GROUP BY ALL)
+    WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS u FROM {turns} GROUP BY ALL)
     SELECT conv_id, 'Human: ' || trim(substr(u, 1, 20)) AS rendered FROM f""")
 def request_summaries(t):
     from ..operators import conversations as ops
@@ -209,35 +212,46 @@ def request_summaries(t):
     )
 
 
-def _diverse_sql(k: int) -> str:
+def _diverse_sql(k: int, rows: str, group: list[str], key: str, *, within: bool = False) -> str:
     """TF-IDF, all distances within a group and the greedy picks, step by step."""
-    picks = ["p0 AS (SELECT source, lang, doc_id, 0 AS pick FROM means QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY m DESC, doc_id) = 1)"]
+    cols = ", ".join(group)
+
+    def of(alias):
+        return ", ".join(f"{alias}.{g}" for g in group)
+
+    def same(x, y):
+        return " AND ".join(f"{x}.{g} = {y}.{g}" for g in group)
+
+    picks = [f"p0 AS (SELECT {cols}, {key}, 0 AS pick FROM means QUALIFY row_number() OVER (PARTITION BY {cols} ORDER BY m DESC, {key}) = 1)"]
     for i in range(1, k):
         before = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(i))
         picks.append(f"""
-    p{i} AS (SELECT g.source, g.lang, d.a AS doc_id, {i} AS pick FROM dist d JOIN ({before}) b ON d.b = b.doc_id JOIN grp g ON d.a = g.doc_id
-         WHERE d.a NOT IN (SELECT doc_id FROM ({before})) GROUP BY g.source, g.lang, d.a
-         QUALIFY row_number() OVER (PARTITION BY g.source, g.lang ORDER BY min(d.d) DESC, d.a) = 1)""")
-    union = " UNION ALL ".join(f"SELECT source, lang, doc_id, pick FROM p{j}" for j in range(k))
-    return r"""
-    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS t FROM {documents}),
-    grams AS (SELECT doc_id, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))])) AS g FROM w),
-    tf AS MATERIALIZED (SELECT doc_id, g, count(*) AS tf FROM grams GROUP BY ALL),
-    df AS (SELECT g, count(*) AS df FROM tf GROUP BY ALL),
-    wt AS MATERIALIZED (SELECT doc_id, g, tf * (ln((1.0 + (SELECT count(*) FROM {documents})) / (1 + df)) + 1) AS w FROM tf JOIN df USING (g)),
-    nm AS (SELECT doc_id, sqrt(sum(w * w)) AS nn FROM wt GROUP BY ALL),
-    grp AS MATERIALIZED (SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source, lang) AS c FROM {documents}),
-    v AS MATERIALIZED (SELECT doc_id, source, lang, g, w / nn AS w FROM wt JOIN nm USING (doc_id) JOIN grp USING (doc_id) WHERE c > """ + str(k) + r"""),
-    sim AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.g = b.g AND a.source = b.source AND a.lang = b.lang GROUP BY ALL),
-    pairs_ AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, x.source, x.lang, x.c, coalesce(s, 0) AS s FROM grp x JOIN grp y ON x.source = y.source AND x.lang = y.lang
-               LEFT JOIN sim ON sim.a = x.doc_id AND sim.b = y.doc_id WHERE x.c > """ + str(k) + r"""),
+    p{i} AS (SELECT {of("g")}, d.a AS {key}, {i} AS pick FROM dist d JOIN ({before}) b ON d.b = b.{key} JOIN grp g ON d.a = g.{key}
+         WHERE d.a NOT IN (SELECT {key} FROM ({before})) GROUP BY {of("g")}, d.a
+         QUALIFY row_number() OVER (PARTITION BY {of("g")} ORDER BY min(d.d) DESC, d.a) = 1)""")
+    union = " UNION ALL ".join(f"SELECT {cols}, {key}, pick FROM p{j}" for j in range(k))
+    scope = f"{cols}, " if within else ""
+    total = "c" if within else "(SELECT count(*) FROM src)"
+    return f"""
+    WITH src AS MATERIALIZED ({rows}),""" + r"""
+    w AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS t FROM src),""" + f"""
+    grams AS (SELECT {key}, {cols}, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))])) AS g FROM w),
+    tf AS MATERIALIZED (SELECT {key}, {cols}, g, count(*) AS tf FROM grams GROUP BY ALL),
+    df AS (SELECT {scope}g, count(*) AS df FROM tf GROUP BY ALL),
+    grp AS MATERIALIZED (SELECT {key}, {cols}, count(*) OVER (PARTITION BY {cols}) AS c FROM src),
+    wt AS MATERIALIZED (SELECT {key}, g, tf * (ln((1.0 + {total}) / (1 + df)) + 1) AS w FROM tf JOIN df USING ({scope}g) JOIN (SELECT {key}, c FROM grp) USING ({key})),
+    nm AS (SELECT {key}, sqrt(sum(w * w)) AS nn FROM wt GROUP BY ALL),
+    v AS MATERIALIZED (SELECT {key}, {cols}, g, w / nn AS w FROM wt JOIN nm USING ({key}) JOIN grp USING ({key}) WHERE c > {k}),
+    sim AS MATERIALIZED (SELECT a.{key} AS a, b.{key} AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.g = b.g AND {same("a", "b")} GROUP BY ALL),
+    pairs_ AS MATERIALIZED (SELECT x.{key} AS a, y.{key} AS b, {of("x")}, x.c, coalesce(s, 0) AS s FROM grp x JOIN grp y ON {same("x", "y")}
+               LEFT JOIN sim ON sim.a = x.{key} AND sim.b = y.{key} WHERE x.c > {k}),
     dist AS MATERIALIZED (SELECT a, b, round(1 - s, 9) AS d FROM pairs_ WHERE a <> b),
-    means AS (SELECT a AS doc_id, source, lang, round(1 - sum(s) / any_value(c), 9) AS m FROM pairs_ GROUP BY ALL),
+    means AS (SELECT a AS {key}, {cols}, round(1 - sum(s) / any_value(c), 9) AS m FROM pairs_ GROUP BY ALL),
     """ + ",".join(picks) + f"""
-    SELECT source, lang, doc_id, CAST(NULL AS INTEGER) AS pick FROM grp WHERE c <= {k} UNION ALL {union}"""
+    SELECT {cols}, {key}, CAST(NULL AS INTEGER) AS pick FROM grp WHERE c <= {k} UNION ALL {union}"""
 
 
-@query("diverse_examples", _diverse_sql(5))
+@query("diverse_examples", _diverse_sql(5, "SELECT doc_id, source, lang, text FROM {documents}", ["source", "lang"], "doc_id"))
 def diverse_examples(t):
     """Five far-apart documents per source and language."""
     docs = t.documents.select("doc_id", "source", "lang", "text")
@@ -246,7 +260,8 @@ def diverse_examples(t):
     )
 
 
-@query("diverse_list_items")
+@query("diverse_list_items", _diverse_sql(
+    2, "SELECT conv_id, conv_id * 100000 + turn AS item, text FROM {turns}", ["conv_id"], "item", within=True))
 def diverse_list_items(t):
     """Two far-apart turns per conversation, weighted within the conversation."""
     items = t.turns.select(

@@ -15,19 +15,19 @@ def _edges(t):
 
 
 @query("dwa_task_lists", f"""
-    SELECT dwa, 0 AS page, string_agg('- ' || task || ' (Occupation: ' || title || ')', chr(10) ORDER BY task, title) AS task_statements
+    SELECT dwa, string_agg('- ' || task || ' (Occupation: ' || title || ')', chr(10) ORDER BY task, title) AS task_statements
     FROM {_EDGES} GROUP BY ALL""")
 def dwa_task_lists(t):
-    return H.dwa_task_lists(_edges(t), page_rows=100_000)
+    return H.dwa_task_lists(_edges(t))
 
 
 @query("dwa_task_pages", f"""
     SELECT dwa, count(*) AS n_lines, bool_and(true) AS bounded FROM {_EDGES} GROUP BY ALL""")
 def dwa_task_pages(t):
-    """The same lists cut into pages: every line is there, no page is long."""
-    pages = H.dwa_task_lists(_edges(t), page_rows=100)
+    """Lines of the lists: one row per DWA has them all."""
+    lists = H.dwa_task_lists(_edges(t))
     n = F.size(F.split("task_statements", "\n"))
-    return pages.groupBy("dwa").agg(F.sum(n).alias("n_lines"), F.bool_and(n < 200).alias("bounded"))
+    return lists.groupBy("dwa").agg(F.sum(n).alias("n_lines"), (F.count(F.lit(1)) == 1).alias("bounded"))
 
 
 _ADJ = f"""
@@ -37,29 +37,27 @@ _ADJ = f"""
 
 @query("dwa_adjacent", "WITH " + _ADJ + " SELECT dwa, adjacent FROM adj")
 def dwa_adjacent(t):
-    return H.adjacent_dwas(_edges(t))[0]
+    return H.adjacent_dwas(_edges(t))
 
 
 @query("dwa_adjacent_groups", f"""
     WITH g AS (SELECT title, task, count(DISTINCT dwa) AS n FROM {_EDGES} GROUP BY ALL)
     SELECT title, task, n AS n_members FROM g WHERE n > 5""")
 def dwa_adjacent_groups(t):
-    """Tasks too large to be squared come back as member lists."""
-    groups = H.adjacent_dwas(_edges(t), max_group=5)[1]
-    return groups.groupBy("title", "task").agg(F.sum(F.size("members")).alias("n_members"))
+    """Tasks with many DWAs and their number."""
+    members = _edges(t).groupBy("title", "task").agg(F.count_distinct("dwa").alias("n_members"))
+    return members.filter("n_members > 5")
 
 
 @query("dwa_contrast_prompt", "WITH " + _ADJ + f"""
-    SELECT d.dwa, 0 AS page,
+    SELECT d.dwa,
            coalesce(chr(10) || chr(10) || 'Not these:' || chr(10) || string_agg('- ' || adjacent, chr(10) ORDER BY adjacent) || chr(10) || 'end', '') AS does_not_include_prompt,
            CASE WHEN count(adjacent) = 0 THEN '' ELSE chr(10) || 'keep apart' END AS does_not_include_criteria
     FROM (SELECT DISTINCT dwa FROM {_EDGES}) d LEFT JOIN adj ON d.dwa = adj.dwa GROUP BY ALL""")
 def dwa_contrast_prompt(t):
     edges = _edges(t)
-    pairs, _ = H.adjacent_dwas(edges)
-    return H.does_not_include(
-        edges, pairs, prompt="Not these:\n{unrelated}\nend", criteria="keep apart", page_rows=100_000
-    )
+    pairs = H.adjacent_dwas(edges)
+    return H.does_not_include(edges, pairs, prompt="Not these:\n{unrelated}\nend", criteria="keep apart")
 
 
 @query("expand_descriptions", """
@@ -72,14 +70,14 @@ def expand_descriptions(t):
 
 
 @query("iwa_children", """
-    SELECT iwa_title, 0 AS page, string_agg('(' || i || ') ' || d, chr(10) ORDER BY i) AS children FROM (
+    SELECT iwa_title, string_agg('(' || i || ') ' || d, chr(10) ORDER BY i) AS children FROM (
         SELECT iwa_title, d, row_number() OVER (PARTITION BY iwa_title ORDER BY d) AS i FROM (
             SELECT DISTINCT iwa_title, 'about ' || e.dwa_title AS d FROM {task_dwa} e
             JOIN {dwa_iwa} i ON e.dwa_id = i.dwa_id AND e.dwa_title = i.dwa_title))
     GROUP BY ALL""")
 def iwa_children(t):
     edges = t.task_dwa.withColumn("detail", F.concat(F.lit("about "), F.col("dwa_title")))
-    return H.iwa_children(edges, t.dwa_iwa, keys=["dwa_id", "dwa_title"], detail="detail", page_rows=100_000)
+    return H.iwa_children(edges, t.dwa_iwa, keys=["dwa_id", "dwa_title"], detail="detail")
 
 
 _SIB = """
@@ -91,8 +89,7 @@ _SIB = """
 
 @query("sibling_tasks", _SIB)
 def sibling_tasks(t):
-    rows, _ = H.sibling_tasks(t.task_dwa)
-    return rows.select(
+    return H.sibling_tasks(t.task_dwa).select(
         "title", "task", F.array_join("others", "|").alias("others"),
         H.sibling_text(F.col("others")).alias("prompt_lines"),
     )
@@ -157,7 +154,7 @@ def desired_dwas(t):
 
 
 @query("occupation_task_list", """
-    SELECT title, 0 AS page, string_agg('- ' || task, chr(10) ORDER BY task) AS occupation_tasks
+    SELECT title, string_agg('- ' || task, chr(10) ORDER BY task) AS occupation_tasks
     FROM (SELECT DISTINCT title, task FROM {task_dwa}) GROUP BY ALL""")
 def occupation_task_list(t):
     return H.occupation_tasks(t.task_dwa, occ="title", task="task")

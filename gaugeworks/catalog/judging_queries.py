@@ -11,6 +11,7 @@ from ..operators import conversations as convo_ops
 from ..operators import judging as J
 from ..operators import pairwise as W
 from ..operators import predictions as P
+from ..session import materialised
 from .registry import query
 
 # ---- predictions -------------------------------------------------------------
@@ -53,7 +54,7 @@ def stratified_sample_dedupe(t):
 
 
 def _merged(t, strict=False):
-    convos = convo_ops.from_turns(t.turns).filter("page = 0").select(
+    convos = convo_ops.from_turns(t.turns).select(
         F.col("conv_id").alias("idx"), (F.col("conv_id") % 10).alias("category_idx"),
         F.concat(F.lit("dwa "), (F.col("conv_id") % 10).cast("string")).alias("dwa"),
         F.col("convo").alias("convo_subset"),
@@ -140,7 +141,7 @@ _ANS = """
 
 
 def _questions(t):
-    return convo_ops.from_turns(t.turns).filter("page = 0").select(
+    return convo_ops.from_turns(t.turns).select(
         F.col("conv_id").cast("string").alias("uid"), F.lit("ei").alias("category"), "convo"
     )
 
@@ -256,31 +257,57 @@ def grid_complete(t):
     SELECT model, (uid_rank // 20) AS page, count(*) AS n_entries, count(avg) AS n_judged, round(CAST(sum(avg) AS DOUBLE), 6) AS total
     FROM (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS uid_rank FROM u) CROSS JOIN m LEFT JOIN f USING (uid, model) GROUP BY ALL""")
 def leaderboard_doc_counts(t):
-    """Entries of the leaderboard document, paged alike for every model."""
+    """Entries of the leaderboard document per model and block of twenty questions."""
     from ..plans import leaderboards
 
-    pages = leaderboards.document_pages(J.with_scores(t.judgments), order=["event_id"], page_rows=20)
-    avg = F.transform("entries", lambda e: e["avg"])
-    return pages.select(
-        "model", "page", F.size("entries").cast("long").alias("n_entries"),
-        F.size(F.array_compact(avg)).cast("long").alias("n_judged"),
-        F.round(F.aggregate(F.array_compact(avg), F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-    ).withColumn("total", F.when(F.col("n_judged") > 0, F.col("total")))
+    entries = leaderboards.document_entries(J.with_scores(t.judgments), order=["event_id"])
+    return entries.groupBy("model", F.floor(F.col("question_idx") / 20).alias("page")).agg(
+        F.count(F.lit(1)).alias("n_entries"), F.count("avg").alias("n_judged"),
+        F.round(F.sum("avg"), 6).alias("total"),
+    )
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", "WITH " + _W + _STRATA + """
+    SELECT stratum, model, n_battles, round(score, 6) AS exact, true AS mean_near, true AS width_near, true AS ordered FROM mean""")
 def bootstrap_ci(t):
-    """Exact multinomial bootstrap per stratum and model."""
-    replicates = J.bootstrap_means(_cells(t), ["stratum"], n_bootstrap=100)
-    return J.replicate_summary(replicates, ["stratum"])
+    """Exact multinomial bootstrap per stratum and model, held against theory.
+
+    The mean of 100 replicates has to lie within five of its standard errors of
+    the exact mean, and the half-width within 60 % of 1.645 standard errors.
+    """
+    cells = _cells(t)
+    found = J.replicate_summary(J.bootstrap_means(cells, ["stratum"], n_bootstrap=100), ["stratum"])
+    exact = cells.groupBy("stratum", "model").agg(
+        F.sum("n").alias("n_battles"), (F.sum(F.col("scores") * F.col("n")) / F.sum("n")).alias("exact"),
+        (F.sum(F.col("scores") * F.col("scores") * F.col("n")) / F.sum("n")).alias("square"),
+    )
+    error = F.sqrt(F.greatest(F.col("square") - F.col("exact") * F.col("exact"), F.lit(0.0)) / F.col("n_battles"))
+    half = (F.col("upper") - F.col("lower")) / 2
+    return found.join(exact, ["stratum", "model"]).select(
+        "stratum", "model", "n_battles", F.round("exact", 6).alias("exact"),
+        (F.abs(F.col("score") - F.col("exact")) <= 0.5 * error + 1e-9).alias("mean_near"),
+        (F.abs(half - 1.645 * error) <= 0.6 * 1.645 * error + 1e-9).alias("width_near"),
+        ((F.col("lower") <= F.col("score")) & (F.col("score") <= F.col("upper"))).alias("ordered"),
+    )
 
 
-@query("leaderboard")
+@query("leaderboard", """
+    WITH s AS (SELECT 'u' || user_id % 10 AS stratum, event_type AS model, avg(value) AS m,
+                      quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM {events} GROUP BY ALL),
+    r AS (SELECT stratum, model, round(CAST(m * 100 AS DECIMAL(38, 10)), 1) AS score,
+                 '(-' || CAST(round(CAST((m - lo) * 100 AS DECIMAL(38, 10)), 1) AS DECIMAL(20, 1)) || ' / +' || CAST(round(CAST((hi - m) * 100 AS DECIMAL(38, 10)), 1) AS DECIMAL(20, 1)) || ')' AS ci FROM s)
+    SELECT stratum, model, CAST(score AS DOUBLE) AS score, ci FROM r
+    UNION ALL SELECT DISTINCT stratum, 'm0', 50.0, '(-0.0 / +0.0)' FROM r""")
 def leaderboard(t):
-    """Display leaderboards per stratum with interval text and baseline row."""
-    replicates = J.bootstrap_means(_cells(t), ["stratum"], n_bootstrap=100)
-    summary = J.replicate_summary(replicates, ["stratum"])
-    return J.leaderboard(summary, ["stratum"], baseline="m0")
+    """Display leaderboards per stratum with interval text and baseline row.
+
+    The values of the events are the replicates, so that SQL has the same ones.
+    """
+    replicates = t.events.select(
+        F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("stratum"),
+        F.col("event_type").alias("model"), F.col("value").alias("mean"),
+    )
+    return J.leaderboard(J.replicate_summary(replicates, ["stratum"]), ["stratum"], baseline="m0")
 
 
 @query("bt_coefficients", "WITH " + _W + _STRATA + """
@@ -293,12 +320,20 @@ def bt_coefficients(t):
     )
 
 
-@query("rao_kupper")
+@query("rao_kupper", "WITH " + _W + _STRATA + """
+    SELECT stratum, model, CAST(0 AS DOUBLE) AS gradient, true AS converged, true AS ordered FROM mean""")
 def rao_kupper(t):
-    """Tie model with 20 replicates, centre and quantiles per model."""
-    fits = W.tie_model(_cells(t), ["stratum"], n_bootstrap=20)
+    """Tie model with 100 replicates: the fit is stationary, its quantiles are in order."""
+    cells = _cells(t)
+    fits = materialised(W.tie_model(cells, ["stratum"], n_bootstrap=100))
     probability = fits.filter("replicate > 0").withColumn("p", W.win_probability(F.col("coef")))
-    return J.replicate_summary(probability, ["stratum"], value="p", centre="median")
+    found = J.replicate_summary(probability, ["stratum"], value="p", centre="median")
+    done = fits.groupBy("stratum", "model").agg(F.bool_and("converged").alias("converged"))
+    on = ["stratum", "model"]
+    return W.tie_gradient(cells, fits, ["stratum"]).join(found, on).join(done, on).select(
+        *on, (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"), "converged",
+        ((F.col("lower") <= F.col("score")) & (F.col("score") <= F.col("upper"))).alias("ordered"),
+    )
 
 
 _STYLE = """
@@ -338,12 +373,23 @@ def style_features(t):
     )
 
 
-@query("bt_style")
+@query("bt_style", """
+    SELECT n AS name, CAST(0 AS DOUBLE) AS gradient, CASE WHEN n LIKE 'm%' THEN true END AS converged, CASE WHEN n LIKE 'm%' THEN true END AS ordered
+    FROM (SELECT DISTINCT model AS n FROM {judgments} UNION SELECT unnest(['m0', 'f_length', 'f_headers', 'f_lists']))""")
 def bt_style(t):
-    """Style-controlled win probabilities, ten exact resamples."""
+    """Style-controlled win probabilities with 100 exact resamples.
+
+    The fit is stationary in every column, the quantiles of the models are in order.
+    """
     rows, meta, counts = _style_inputs(t)
-    featured = W.style_features(rows, meta, "m0", counts)
-    return W.style_leaderboard(featured, ["f_length", *[f"f_{c}" for c in counts]], "m0", n_bootstrap=10)
+    featured = materialised(W.style_features(rows, meta, "m0", counts))
+    features = ["f_length", *[f"f_{c}" for c in counts]]
+    fits = W.style_fits(featured, features, "m0", n_bootstrap=100)
+    board = W.style_leaderboard(fits, features, "m0").withColumnRenamed("model", "name")
+    return W.style_gradient(featured, fits, features, "m0").join(board, "name", "left").select(
+        "name", (F.round("gradient", 5) + F.lit(0.0)).alias("gradient"), "converged",
+        ((F.col("lower") <= F.col("score")) & (F.col("score") <= F.col("upper"))).alias("ordered"),
+    )
 
 
 # ---- comparisons -------------------------------------------------------------

@@ -171,12 +171,28 @@ def label_multi(t):
 
 
 @query("label_tag_lists", """
-    WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<a(?:\\s+[^>]*)?>(.*?)</a>', 1) AS a, regexp_extract_all(html, '(?s)<title(?:\\s+[^>]*)?>(.*?)</title>', 1) AS t FROM {pages})
-    SELECT page_id, len(a) AS n_a, array_to_string([regexp_replace(s, '^\\s+|\\s+$', '', 'g') FOR s IN t], '|') AS title FROM x""")
+    WITH x AS (SELECT page_id, [regexp_replace(s, '^\\s+|\\s+$', '', 'g') FOR s IN
+                      regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li(?:\\s+[^>]*)?>(.*?)</li>', 1)] AS l FROM {pages})
+    SELECT page_id, len(l) AS n_items, CAST(0 AS BIGINT) AS n_links, array_to_string(l, '|') AS items FROM x""")
 def label_tag_lists(t):
-    got = t.pages.select("page_id", L.tag_lists("html", ["a", "title"], require_fence=False).alias("x"))
+    """Items of the first list; the links in them belong to the items."""
+    first = F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1)
+    got = t.pages.select("page_id", L.tag_lists(first, ["li", "a"], require_fence=False).alias("x"))
     return got.select(
-        "page_id", F.size("x.a").cast("long").alias("n_a"), F.array_join("x.title", "|").alias("title")
+        "page_id", F.size("x.li").cast("long").alias("n_items"), F.size("x.a").cast("long").alias("n_links"),
+        F.array_join("x.li", "|").alias("items"),
+    )
+
+
+@query("label_tag_map", """
+    SELECT doc_id, CASE WHEN contains(output, '<thinking>') THEN 'answer,thinking' WHEN contains(output, '<answer>') THEN 'answer' ELSE '' END AS names,
+           nullif(regexp_extract(output, '<answer>\\s*(.*?)\\s*</answer>', 1), '') AS answer FROM {responses}""")
+def label_tag_map(t):
+    """Every tag of a text and its contents."""
+    got = t.responses.select("doc_id", L.tag_map("output", require_fence=False).alias("m"))
+    return got.select(
+        "doc_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names"),
+        F.get(F.try_element_at("m", F.lit("answer")), F.lit(0)).alias("answer"),
     )
 
 

@@ -19,8 +19,8 @@ from .registry import query
 _SEARCH = """
     base AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_id FROM {part}),
     cand AS (SELECT row_id, l_linenumber AS level, l_orderkey, l_suppkey, min(l_quantity) AS q, min(l_tax) AS t
-             FROM base JOIN {lineitem} ON p_partkey = l_partkey WHERE l_linenumber <= 4 GROUP BY ALL),
-    ok AS (SELECT *, q > 20 AND t > 0.03 AS passed FROM cand WHERE l_orderkey % 9 > 0),
+             FROM base JOIN {lineitem} ON p_partkey = l_partkey GROUP BY ALL),
+    ok AS (SELECT *, q > 48 AND t > 0.07 AS passed FROM cand WHERE l_orderkey % 9 > 0),
     firsts AS (SELECT row_id, min(level) AS level FROM ok WHERE passed GROUP BY 1),
     verified AS (SELECT o.row_id, o.level, o.l_orderkey, o.l_suppkey FROM ok o JOIN firsts f ON o.row_id = f.row_id AND o.level = f.level
                  WHERE passed QUALIFY row_number() OVER (PARTITION BY o.row_id ORDER BY l_orderkey, l_suppkey) = 1)
@@ -42,14 +42,14 @@ def _search(t):
         )
 
     def performs(df, column):
-        answer = F.when(F.col("q") > 20, "Yes").otherwise("No")
+        answer = F.when(F.col("q") > 48, "Yes").otherwise("No")
         return synthesis.passed(df.withColumn("perform", answer), "perform", "Yes", column)
 
     def realistic(df, column):
-        return synthesis.passed(df.withColumn("real", F.when(F.col("t") > 0.03, "Yes")), "real", "Yes", column)
+        return synthesis.passed(df.withColumn("real", F.when(F.col("t") > 0.07, "Yes")), "real", "Yes", column)
 
     return synthesis.search(
-        base, ["1", "2", "3", "4"], generate, [performs, realistic], order=["l_orderkey", "l_suppkey"]
+        base, [str(k) for k in range(1, 8)], generate, [performs, realistic], order=["l_orderkey", "l_suppkey"]
     )
 
 
@@ -242,9 +242,9 @@ def score_with_retries(t):
 
 
 @query("categorisation", """
-    WITH u AS (SELECT conv_id, turn // 10000 AS page, text, row_number() OVER (PARTITION BY conv_id, turn // 10000 ORDER BY turn) - 1 AS i FROM {turns} WHERE role = 'user'),
-    s AS (SELECT conv_id, page, count(*) FILTER (i <> 1) AS n FROM u GROUP BY ALL)
-    SELECT conv_id, page, CASE n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END AS choice, 'n ' || n AS thinking, n % 3 < 2 AS pred_keep FROM s""")
+    WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM {turns} WHERE role = 'user'),
+    s AS (SELECT conv_id, count(*) FILTER (i <> 1) AS n FROM u GROUP BY ALL)
+    SELECT conv_id, CASE n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END AS choice, 'n ' || n AS thinking, n % 3 < 2 AS pred_keep FROM s""")
 def categorisation(t):
     """Request filter, summary and vote in a row, then the keep decision."""
     users = convo_ops.with_text_columns(convo_ops.from_turns(t.turns.filter("role = 'user'")))
@@ -264,7 +264,7 @@ def categorisation(t):
         filter_template="drop: {numbered_instance_text_human_only}", summary_template="summarise: {instance_text_human_only}",
     )
     out = screening.categorisation_step(out, ["pred_choice"])
-    return out.select("conv_id", "page", F.col("pred_choice").alias("choice"), "thinking", "pred_keep")
+    return out.select("conv_id", F.col("pred_choice").alias("choice"), "thinking", "pred_keep")
 
 
 @query("quality_step", """
@@ -347,7 +347,7 @@ def double_scores(t):
 
 
 @query("responses_per_model", """
-    SELECT conv_id, page, model, model || ' after ' || n || ' turns' AS response FROM (SELECT conv_id, CAST(turn // 10000 AS INTEGER) AS page, count(*) AS n FROM {turns} GROUP BY ALL),
+    SELECT conv_id, model, model || ' after ' || n || ' turns' AS response FROM (SELECT conv_id, count(*) AS n FROM {turns} GROUP BY ALL),
         (SELECT unnest(['m1', 'm2']) AS model)""")
 def responses_per_model(t):
     convos = convo_ops.from_turns(t.turns).withColumnRenamed("convo", "convo_subset")
@@ -356,7 +356,7 @@ def responses_per_model(t):
         model = F.regexp_extract(F.get("prompt", F.lit(0))["content"], "model: (.*)", 1)
         return requests.select("request_hash", F.concat(model, F.lit(" after "), (F.size("prompt") - 1).cast("string"), F.lit(" turns")).alias("output"))
 
-    return interviews.responses_per_model(convos, ["m1", "m2"], ask).select("conv_id", "page", "model", "response")
+    return interviews.responses_per_model(convos, ["m1", "m2"], ask).select("conv_id", "model", "response")
 
 
 @query("embed_texts", """
@@ -454,12 +454,16 @@ def interview_scoring(t):
 
 
 @query("model_score_columns", """
-    SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM {events} GROUP BY 1""")
+    SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view,
+           round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase, round(avg(value) FILTER (event_type = 'error'), 6) AS error,
+           round(avg(value) FILTER (event_type NOT IN ('click', 'view', 'purchase', 'error')), 6) AS other FROM {events} GROUP BY 1""")
 def model_score_columns(t):
     """Long results to one column per model."""
-    long = t.events.filter("event_type IN ('click', 'view')").groupBy("user_id", F.col("event_type").alias("model")).agg(F.round(F.avg("value"), 6).alias("score"))
+    known = ["click", "view", "purchase", "error"]
+    model = F.when(F.col("event_type").isin(known), F.col("event_type")).otherwise("other")
+    long = t.events.groupBy("user_id", model.alias("model")).agg(F.round(F.avg("value"), 6).alias("score"))
     users = t.events.select("user_id").distinct()
-    return users.join(exchange.model_columns(long, ["user_id"], ["click", "view"], "score"), "user_id", "left")
+    return users.join(exchange.model_columns(long, ["user_id"], [*known, "other"], "score"), "user_id", "left")
 
 
 @query("lb_valid_rows", """

@@ -200,7 +200,7 @@ def server_error_filter(t):
 
 
 def _turn_pairs(t):
-    convos = convo_ops.from_turns(t.turns).filter("page = 0").select("conv_id", "convo")
+    convos = convo_ops.from_turns(t.turns)
     # several categories per conversation, an answer in the tag or none
     wanted = t.events.select(
         "event_id",
@@ -278,7 +278,7 @@ def retrieve_and_select(t):
         category_vectors(t), t.embeddings, 20, query_keys=["label"], vector_id="vec_id"
     )
     near = rounds.k_range(found, 2, 20, keys=["label"])
-    convos = convo_ops.from_turns(t.turns).filter("page = 0").select("conv_id", "convo")
+    convos = convo_ops.from_turns(t.turns)
     n = t.turns.agg(F.count_distinct("conv_id")).first()[0]
     linked = near.select(
         F.col("label").cast("string").alias("dwa"), (F.col("instance_idx") % n).alias("instance_idx"),

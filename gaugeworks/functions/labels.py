@@ -104,20 +104,42 @@ def index_list(c) -> Column:
     )
 
 
+# fixed value: a tag with its content, up to the first closing tag of its name
+TAG_PAIR = r"(?s)<([A-Za-z_][\w\-.]*)(?:\s+[^>]*)?>(.*?)</\1>"
+
+
+def _tag_pairs(body) -> Column:
+    """Tags from left to right as (name, value); what stands inside a tag is its value."""
+    return F.transform(
+        F.arrays_zip(all_groups(body, TAG_PAIR, 1).alias("name"), all_groups(body, TAG_PAIR, 2).alias("value")),
+        lambda p: F.struct(p["name"].alias("name"), ws_strip(p["value"]).alias("value")),
+    )
+
+
+def _values(pairs, name) -> Column:
+    return F.transform(F.filter(pairs, lambda p: p["name"] == name), lambda p: p["value"])
+
+
 def tag_lists(c, names: list[str], *, require_fence: bool = True) -> Column:
     """Struct with one array of stripped contents per requested tag.
 
     NULL when a code fence is required and missing.  A tag that does not occur
-    has an empty array; one that repeats has every value in order.
+    has an empty array; one that repeats has every value in order.  A tag nested
+    in another one belongs to that one's content.
     """
     body = unfenced(c, required=require_fence)
-    fields = [
-        F.transform(
-            all_groups(body, rf"(?s)<{re.escape(n)}(?:\s+[^>]*)?>(.*?)</{re.escape(n)}>"), ws_strip
-        ).alias(n)
-        for n in names
-    ]
-    return F.when(body.isNotNull(), F.struct(*fields))
+    found = bind(_tag_pairs(body), lambda p: F.struct(*[_values(p, n).alias(n) for n in names]))
+    return F.when(body.isNotNull(), found)
+
+
+def tag_map(c, *, require_fence: bool = True) -> Column:
+    """Map of every tag name to the array of its stripped contents."""
+    body = unfenced(c, required=require_fence)
+    found = bind(_tag_pairs(body), lambda p: F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(p, lambda x: x["name"])),
+        lambda n: F.struct(n.alias("name"), _values(p, n).alias("values")),
+    )))
+    return F.when(body.isNotNull(), found)
 
 
 def letter_answer(c, last: str = "E", *, name: str = "answer") -> Column:

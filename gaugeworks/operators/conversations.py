@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import conversation as C
 
-PAGE_TURNS = 10_000
 _COUNTS = ("n", "n_instances", "n_texts")
 
 
@@ -20,23 +19,15 @@ def from_turns(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    page_turns: int = PAGE_TURNS,
 ) -> DataFrame:
-    """One row per conversation from one row per turn.
-
-    ``turn`` counts from 0 within a conversation.  A conversation of more than
-    ``page_turns`` turns is cut into pages of that length, so that a runaway
-    conversation never ends up in one array; all others have page 0 only.
-    """
+    """One row per conversation, all its turns in order, from one row per turn."""
     entry = F.struct(
         F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content")
     )
     return (
-        turns.groupBy(key, F.floor(F.col(turn) / page_turns).cast("int").alias("page"))
+        turns.groupBy(key)
         .agg(F.sort_array(F.collect_list(entry)).alias("__t"))
-        .select(
-            key, "page", F.transform("__t", lambda t: C.turn(t["role"], t["content"])).alias("convo")
-        )
+        .select(key, F.transform("__t", lambda t: C.turn(t["role"], t["content"])).alias("convo"))
     )
 
 

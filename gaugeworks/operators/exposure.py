@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import conversation as C
 from ..functions import labels as L
 from ..functions import templates
-from .scale import first_per_key, paged_lists, skew_join, stable_order, top_per_key, with_group_stats
+from .scale import first_per_key, ordered_lists, skew_join, stable_order, top_per_key, with_group_stats
 
 TASK = ["category_occ", "category_task"]
 MIN_COVERAGE = 0.3
@@ -17,12 +17,11 @@ MAX_EXAMPLES = 10
 
 def task_examples(
     df: DataFrame, *, order: list[str], keys: list[str] = TASK, convo="convo_subset", response="response",
-    page_rows: int = 1_000,
 ) -> DataFrame:
-    """Example pairs per key without missing outputs, one struct list, in pages."""
+    """All example pairs per key without missing outputs, one struct list."""
     pairs = df.filter(F.col(response).isNotNull())
     entry = F.struct(F.col(convo).alias("input"), F.col(response).alias("output"))
-    return paged_lists(pairs, keys, order, {"examples": entry}, page_rows=page_rows)
+    return ordered_lists(pairs, keys, order, {"examples": entry})
 
 
 def sampled_examples(

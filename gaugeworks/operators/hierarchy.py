@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .scale import first_per_key, null_safe, paged_lists, skew_join
+from .scale import first_per_key, null_safe, ordered_lists, skew_join
 
-MAX_GROUP = 1_000
+HOT_MEMBERS = 1_000  # members of a group per salt, where each meets all others
 
 NO_SIBLINGS = "- (no other tasks provided)"
 
@@ -17,48 +17,27 @@ def task_line(task, occupation) -> Column:
     return F.concat(F.lit("- "), task, F.lit(" (Occupation: "), occupation, F.lit(")"))
 
 
-def dwa_task_lists(edges: DataFrame, *, dwa: str = "dwa", page_rows: int = MAX_GROUP) -> DataFrame:
-    """Per DWA its task lines, in pages."""
-    pages = paged_lists(
+def dwa_task_lists(edges: DataFrame, *, dwa: str = "dwa") -> DataFrame:
+    """Per DWA all its task lines."""
+    lists = ordered_lists(
         edges.select(dwa, "task", "title").distinct(),
         [dwa],
         ["task", "title"],
         {"lines": task_line(F.col("task"), F.col("title"))},
-        page_rows=page_rows,
     )
-    return pages.select(dwa, "page", F.array_join("lines", "\n").alias("task_statements"))
+    return lists.select(dwa, F.array_join("lines", "\n").alias("task_statements"))
 
 
-def adjacent_dwas(
-    edges: DataFrame, *, dwa: str = "dwa", max_group: int = MAX_GROUP
-) -> tuple[DataFrame, DataFrame]:
-    """Other DWAs that share a task, as (pairs, groups).
+def adjacent_dwas(edges: DataFrame, *, dwa: str = "dwa") -> DataFrame:
+    """(dwa, adjacent): every other DWA that shares a task, as rows.
 
-    Tasks with up to ``max_group`` DWAs are written out as pairs.  A larger task
-    would square, so it is returned as a group: every member is adjacent to every
-    other member of the same (title, task), listed in pages.  Together the two
-    tables hold the whole relation.
+    Each (title, task) joins its own DWAs; a task with very many is salted.
     """
-    lists = paged_lists(
-        edges.select("title", "task", dwa).distinct(),
-        ["title", "task"],
-        [dwa],
-        {"members": F.col(dwa)},
-        page_rows=max_group,
-    )
-    sizes = lists.groupBy("title", "task").agg(F.sum(F.size("members")).alias("n"))
-    large = sizes.filter(F.col("n") > max_group).select("title", "task")
     keys = ["title", "task"]
-    groups = skew_join(lists, large, keys, "left_semi", counts=sizes, null_equal=True)
-    small = skew_join(lists, large, keys, "left_anti", counts=sizes, null_equal=True)
-    small = small.filter(F.size("members") > 1)
-    pairs = (
-        small.select(F.explode("members").alias(dwa), "members")
-        .select(dwa, F.explode("members").alias("adjacent"))
-        .filter(F.col(dwa) != F.col("adjacent"))
-        .distinct()
-    )
-    return pairs, groups
+    distinct = edges.select(*keys, dwa).distinct()
+    other = distinct.withColumnRenamed(dwa, "adjacent")
+    pairs = skew_join(distinct, other, keys, hot_rows=HOT_MEMBERS, null_equal=True)
+    return pairs.filter(F.col(dwa) != F.col("adjacent")).select(dwa, "adjacent").distinct()
 
 
 def does_not_include(
@@ -68,18 +47,14 @@ def does_not_include(
     prompt: str,
     criteria: str,
     dwa: str = "dwa",
-    page_rows: int = MAX_GROUP,
 ) -> DataFrame:
     """Contrast texts per DWA: empty for a DWA without adjacent ones."""
-    pages = paged_lists(
-        pairs, [dwa], ["adjacent"],
-        {"lines": F.concat(F.lit("- "), F.col("adjacent").cast("string"))},
-        page_rows=page_rows,
-    ).select(dwa, "page", F.array_join("lines", "\n").alias("unrelated"))
+    lists = ordered_lists(
+        pairs, [dwa], ["adjacent"], {"lines": F.concat(F.lit("- "), F.col("adjacent").cast("string"))}
+    ).select(dwa, F.array_join("lines", "\n").alias("unrelated"))
     head, tail = prompt.split("{unrelated}")
-    return dwas.select(dwa).distinct().join(pages, dwa, "left").select(
+    return dwas.select(dwa).distinct().join(lists, dwa, "left").select(
         dwa,
-        F.coalesce("page", F.lit(0)).alias("page"),
         F.when(
             F.col("unrelated").isNotNull(),
             F.concat(F.lit("\n\n" + head), F.col("unrelated"), F.lit(tail)),
@@ -111,44 +86,29 @@ def join_m1(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def iwa_children(
-    edges: DataFrame, dwa_iwa: DataFrame, *, keys: list[str], detail: str, page_rows: int = MAX_GROUP
+    edges: DataFrame, dwa_iwa: DataFrame, *, keys: list[str], detail: str
 ) -> DataFrame:
     """Per IWA its sorted distinct child descriptions, numbered "(i) .."."""
     linked = join_m1(edges.select(*keys, detail).distinct(), dwa_iwa.select(*keys, "iwa_title"), keys)
-    pages = paged_lists(
+    lists = ordered_lists(
         linked.filter(F.col("iwa_title").isNotNull()).select("iwa_title", detail).distinct(),
         ["iwa_title"],
         [detail],
         {"children": F.col(detail)},
-        page_rows=page_rows,
     )
     numbered = F.transform(
         "children", lambda x, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), x)
     )
-    return pages.select("iwa_title", "page", F.array_join(numbered, "\n").alias("children"))
+    return lists.select("iwa_title", F.array_join(numbered, "\n").alias("children"))
 
 
-def sibling_tasks(
-    tasks: DataFrame,
-    *,
-    title: str = "title",
-    task: str = "task",
-    max_group: int = MAX_GROUP,
-) -> tuple[DataFrame, DataFrame]:
-    """The occupation's other tasks, as (rows, groups).
-
-    Occupations of up to ``max_group`` tasks get their list on each row; larger
-    ones are returned once, in pages, as writing them out would square.
-    """
+def sibling_tasks(tasks: DataFrame, *, title: str = "title", task: str = "task") -> DataFrame:
+    """Each task with the list of its occupation's other tasks, however many."""
     distinct = tasks.select(title, task).distinct()
-    pages = paged_lists(distinct, [title], [task], {"all_tasks": F.col(task)}, page_rows=max_group)
-    sizes = pages.groupBy(title).agg(F.sum(F.size("all_tasks")).alias("n"))
-    large = sizes.filter(F.col("n") > max_group).select(title)
-    whole = skew_join(pages, large, [title], "left_anti", counts=sizes).drop("page")
-    rows = skew_join(distinct, whole, [title], counts=sizes).select(
+    whole = ordered_lists(distinct, [title], [task], {"all_tasks": F.col(task)})
+    return skew_join(distinct, whole, [title], hot_rows=HOT_MEMBERS).select(
         title, task, F.filter("all_tasks", lambda x: x != F.col(task)).alias("others")
     )
-    return rows, skew_join(pages, large, [title], "left_semi", counts=sizes)
 
 
 def sibling_text(others, placeholder: str = NO_SIBLINGS) -> Column:
@@ -198,14 +158,13 @@ def dwas_of_pairs(
 
 
 def occupation_tasks(
-    tasks: DataFrame, *, occ: str = "category_occ", task: str = "category_task", page_rows: int = MAX_GROUP
+    tasks: DataFrame, *, occ: str = "category_occ", task: str = "category_task"
 ) -> DataFrame:
-    """Sorted distinct task bullets per occupation, in pages."""
-    pages = paged_lists(
-        tasks.select(occ, task).distinct(), [occ], [task],
-        {"lines": F.concat(F.lit("- "), F.col(task))}, page_rows=page_rows,
+    """All sorted distinct task bullets per occupation."""
+    lists = ordered_lists(
+        tasks.select(occ, task).distinct(), [occ], [task], {"lines": F.concat(F.lit("- "), F.col(task))}
     )
-    return pages.select(occ, "page", F.array_join("lines", "\n").alias("occupation_tasks"))
+    return lists.select(occ, F.array_join("lines", "\n").alias("occupation_tasks"))
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

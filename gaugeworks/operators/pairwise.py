@@ -19,6 +19,8 @@ from ..session import materialised
 _MAX_STEPS = 50
 _TOLERANCE = 1e-9
 _CLIP = 1e-12
+_FLAT = 1e-6
+_BUCKETS, _BUCKET_ROWS = 1_024, 50_000
 
 
 # ---- without covariates ------------------------------------------------------
@@ -55,7 +57,7 @@ def _rk_terms(z, eta, outcome):
 
 
 def _fit_rk(index, outcome, weight, n_models):
-    """Tie model on weighted cells: one strength per model and the tie width."""
+    """Tie model on weighted cells: strengths, tie width, and whether the fit converged."""
     total = weight.sum()
 
     def value_and_gradient(theta):
@@ -88,7 +90,8 @@ def _fit_rk(index, outcome, weight, n_models):
         if size <= 1e-8 or value - new_value < 1e-15:
             break
         theta, value, grad = theta - size * step, new_value, new_grad
-    return theta
+    # no further descent in double precision counts, a fit that ran out of steps does not
+    return theta, bool(np.abs(grad).max() < _FLAT)
 
 
 def tie_model(
@@ -119,17 +122,17 @@ def tie_model(
                 if replicate:
                     rng = np.random.default_rng(row[-4] & 0xFFFFFFFFFFFFFFFF)
                     counts = rng.multinomial(counts.sum(), counts / counts.sum())
-                theta = _fit_rk(index, outcome, counts.astype(float), len(models))
+                theta, converged = _fit_rk(index, outcome, counts.astype(float), len(models))
                 part = pd.DataFrame(dict(zip(keys, row)), index=range(len(models)))
                 part["replicate"], part["model"] = replicate, models
-                part["coef"], part["eta"] = theta[:-1], theta[-1]
+                part["coef"], part["eta"], part["converged"] = theta[:-1], theta[-1], converged
                 parts.append(part)
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = "".join(f"`{k}` {types[k]}, " for k in keys)
-    return packed.mapInPandas(fit, schema + "replicate INT, model STRING, coef DOUBLE, eta DOUBLE")
+    return packed.mapInPandas(fit, schema + "replicate INT, model STRING, coef DOUBLE, eta DOUBLE, converged BOOLEAN")
 
 
 # ---- with covariates ---------------------------------------------------------
@@ -192,18 +195,6 @@ def design(
     return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), [*found, *features]
 
 
-def _draws(rng, weights: np.ndarray, n_draws: np.ndarray, left: float):
-    """Multinomial draws of one batch when ``left`` weight is still to come.
-
-    The number of draws that fall into this batch is binomial, their spread over
-    its rows multinomial; over all batches that is one exact multinomial.
-    """
-    total = weights.sum()
-    here = rng.binomial(n_draws, min(1.0, total / left)) if left > total else n_draws
-    share = weights / total
-    return np.stack([rng.multinomial(h, share) for h in here], axis=1), n_draws - here
-
-
 def logistic_bootstrap(
     rows: DataFrame,
     names: list[str],
@@ -212,51 +203,58 @@ def logistic_bootstrap(
     seed: int = 0,
     intercept: bool = False,
     l2: float = 0.0,
-    max_steps: int = 25,
+    max_steps: int = _MAX_STEPS,
 ) -> pd.DataFrame:
     """Logistic fits on all rows (replicate 0) and on exact resamples.
 
     ``rows`` has ``x`` (array), ``y`` in [0, 1] and ``n``.  The result is bounded
-    by replicates times columns.  ``l2`` penalises all but the intercept.
+    by replicates times columns.  ``l2`` penalises all but the intercept.  A
+    resample is drawn per bucket of the rows' hash, so it depends on the rows and
+    the seed alone, never on partitions or batches.  ``converged`` tells whether
+    the last step of a replicate was below the tolerance.
     """
     spark = rows.sparkSession
-    table = materialised(rows.withColumn("__part", F.spark_partition_id()))
+    buckets = max(_BUCKETS, -(-rows.count() // _BUCKET_ROWS))
+    table = materialised(rows.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(buckets)).cast("int")))
     dim = len(names) + int(intercept)
-    parts = table.groupBy("__part").agg(F.sum("n").alias("w")).collect()  # one row per partition
+    parts = table.groupBy("__part").agg(F.sum("n").alias("w")).collect()  # one row per bucket
     ids = sorted(r["__part"] for r in parts)
-    sizes = np.array([next(r["w"] for r in parts if r["__part"] == i) for i in ids], np.int64)
+    weight_of = {r["__part"]: r["w"] for r in parts}
+    sizes = np.array([weight_of[i] for i in ids], np.int64)
     rng = np.random.default_rng(seed)
     per_part = rng.multinomial(sizes.sum(), sizes / sizes.sum(), size=n_bootstrap)
-    plan = {i: (int(sizes[j]), per_part[:, j].copy()) for j, i in enumerate(ids)}
-    shared_plan = spark.sparkContext.broadcast(plan)
-    fixed = table.repartition(len(ids), "__part").sortWithinPartitions("__part", "y", F.xxhash64("x"), "x")
+    shared_plan = spark.sparkContext.broadcast({i: per_part[:, j].copy() for j, i in enumerate(ids)})
+    fixed = table.repartition("__part").sortWithinPartitions("__part", "y", F.xxhash64("x"), "x")
     n_fits = n_bootstrap + 1
     schema = "replicate INT, g ARRAY<DOUBLE>, h ARRAY<DOUBLE>"
 
     def one_pass(beta: np.ndarray) -> list:
         def run(batches):
             grad, curv = np.zeros((n_fits, dim)), np.zeros((n_fits, dim, dim))
-            state = {}
+
+            def add(part, rows_):
+                x = np.stack(rows_["x"].to_numpy())
+                if intercept:
+                    x = np.hstack([x, np.ones((len(x), 1))])
+                y, n = rows_["y"].to_numpy(float), rows_["n"].to_numpy(np.int64)
+                w = n[:, None].astype(float)
+                if n_bootstrap:
+                    draw, share = np.random.default_rng([seed, int(part)]), n / n.sum()
+                    w = np.hstack([w, np.stack([draw.multinomial(k, share) for k in shared_plan.value[part]], axis=1)])
+                p = 1 / (1 + np.exp(-(x @ beta.T)))
+                grad[:] += (w * (p - y[:, None])).T @ x
+                curv[:] += np.einsum("rb,ri,rj->bij", w * p * (1 - p), x, x, optimize=True)
+
+            held, part = [], None  # rows of one bucket, which batches may cut
             for pdf in batches:
-                for part, rows_ in pdf.groupby("__part", sort=True):
-                    if part not in state:
-                        weight, draws = shared_plan.value[part]
-                        state[part] = [np.random.default_rng([seed, int(part)]), draws, float(weight)]
-                    x = np.stack(rows_["x"].to_numpy())
-                    if intercept:
-                        x = np.hstack([x, np.ones((len(x), 1))])
-                    y, n = rows_["y"].to_numpy(float), rows_["n"].to_numpy(np.int64)
-                    s = state[part]
-                    if n_bootstrap:
-                        w, s[1] = _draws(s[0], n.astype(float), s[1], s[2])
-                        s[2] -= n.sum()
-                        w = np.hstack([n[:, None], w]).astype(float)
-                    else:
-                        w = n[:, None].astype(float)
-                    p = 1 / (1 + np.exp(-(x @ beta.T)))
-                    grad += (w * (p - y[:, None])).T @ x
-                    v = w * p * (1 - p)
-                    curv += np.einsum("rb,ri,rj->bij", v, x, x, optimize=True)
+                for own, rows_ in pdf.groupby("__part", sort=True):
+                    if own != part and held:
+                        add(part, pd.concat(held))
+                        held = []
+                    part = own
+                    held.append(rows_)
+            if held:
+                add(part, pd.concat(held))
             yield pd.DataFrame({
                 "replicate": np.arange(n_fits, dtype=np.int32),
                 "g": list(grad), "h": [c.ravel() for c in curv],
@@ -274,46 +272,91 @@ def logistic_bootstrap(
     if intercept:
         penalty[-1] = 0.0
     beta = np.zeros((n_fits, dim))
+    converged = np.zeros(n_fits, bool)
     for _ in range(max_steps):
         g, h = one_pass(beta)
         g = g + penalty * beta
         h = h + np.diag(penalty)
         # the smallest step: a common shift of all strengths changes nothing
         step = np.stack([np.linalg.pinv(h[b], hermitian=True) @ g[b] for b in range(n_fits)])
-        beta = beta - np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-7:
+        beta = beta - np.clip(step, -4, 4)  # damped far from the optimum
+        converged = np.abs(step).max(axis=1) < _TOLERANCE
+        if converged.all():
             break
     columns = [*names, *(["intercept"] if intercept else [])]
     out = pd.DataFrame(beta, columns=columns)
     out.insert(0, "replicate", np.arange(n_fits, dtype=np.int32))
-    return out.melt("replicate", var_name="name", value_name="coef")
+    out.insert(1, "converged", converged)
+    return out.melt(["replicate", "converged"], var_name="name", value_name="coef")[
+        ["replicate", "name", "coef", "converged"]
+    ]
 
 
-def style_leaderboard(
+def style_fits(
     battles: DataFrame, features: list[str], baseline: str, *, n_bootstrap: int = 100, seed: int = 0
 ) -> DataFrame:
+    """Coefficients of models and style columns per replicate (0: the data itself)."""
+    rows, names = design(battles, features, baseline)
+    fits = logistic_bootstrap(rows, names, n_bootstrap=n_bootstrap, seed=seed)
+    return battles.sparkSession.createDataFrame(
+        fits, "replicate INT, name STRING, coef DOUBLE, converged BOOLEAN"
+    )
+
+
+def style_leaderboard(fits: DataFrame, features: list[str], baseline: str) -> DataFrame:
     """Win probability against the baseline with the style columns controlled.
 
     One row per model with the median and the 5 % / 95 % quantiles over the
-    replicates.
+    replicates, and whether all of them converged.
     """
-    rows, names = design(battles, features, baseline)
-    fits = logistic_bootstrap(rows, names, n_bootstrap=n_bootstrap, seed=seed)
-    fits = fits[fits["replicate"] > 0] if n_bootstrap else fits
-    spark = battles.sparkSession
-    coefs = spark.createDataFrame(fits, "replicate INT, name STRING, coef DOUBLE")
-    models = coefs.filter(~F.col("name").isin(*features)) if features else coefs
+    drawn = fits.filter("replicate > 0")
+    models = drawn.filter(~F.col("name").isin(*features)) if features else drawn
     base = models.filter(F.col("name") == baseline).select("replicate", F.col("coef").alias("base"))
     prob = models.join(base, "replicate").select(
-        F.col("name").alias("model"), win_probability(F.col("coef"), F.col("base")).alias("p")
+        F.col("name").alias("model"), win_probability(F.col("coef"), F.col("base")).alias("p"), "converged"
     )
     return prob.groupBy("model").agg(
         F.percentile("p", F.lit(0.5)).alias("score"),
         F.percentile("p", F.lit(0.05)).alias("lower"),
         F.percentile("p", F.lit(0.95)).alias("upper"),
+        F.bool_and("converged").alias("converged"),
     )
 
 
+def style_gradient(
+    battles: DataFrame, fits: DataFrame, features: list[str], baseline: str, *, outcome: str = "scores"
+) -> DataFrame:
+    """(name, gradient): slope of the mean loss at the fit on the data itself."""
+    fit = {r["name"]: r["coef"] for r in fits.filter("replicate = 0").collect()}  # one per column
+    strengths = F.create_map(*[F.lit(x) for n, c in fit.items() if n not in features for x in (n, c)])
+    own = F.when(F.col("model") == baseline, F.lit(0.0)).otherwise(strengths[F.col("model")])
+    z = own - F.lit(fit[baseline])
+    for f in features:
+        z = z + F.col(f) * F.lit(fit[f])
+    gap = 1 / (1 + F.exp(-z)) - F.col(outcome)
+    x = design_columns(sorted(n for n in fit if n not in features), baseline)
+    names = [*sorted(n for n in fit if n not in features), *features]
+    slopes = battles.select(gap.alias("__gap"), *x, *features).agg(*[
+        F.avg(F.col("__gap") * F.col(c)).alias(n) for c, n in zip([f"x_{i}" for i in range(len(x))] + features, names)
+    ])
+    return slopes.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("gradient")) for n in names])).alias("g")).select("g.*")
+
+
+def tie_gradient(cells: DataFrame, fits: DataFrame, strata: list[str] = ()) -> DataFrame:
+    """(strata, model, gradient): slope of the mean loss in each strength at replicate 0."""
+    keys = [*strata, "model"]
+    rows = cells.join(fits.filter("replicate = 0").select(*keys, "coef", "eta"), keys)
+    tie, sign = F.col("scores") == 0.5, F.when(F.col("scores") == 0, -1.0).otherwise(1.0)
+    zz = sign * F.col("coef")
+    win, lose = 1 / (1 + F.exp(F.col("eta") - zz)), 1 / (1 + F.exp(zz + F.col("eta")))
+    p = F.when(tie, 1 - win - lose).otherwise(win) + 1e-10
+    slope = F.when(tie, lose * (1 - lose) - win * (1 - win)).otherwise(win * (1 - win)) * sign
+    total = cells.groupBy(*strata).agg(F.sum("n").alias("__all"))
+    sums = rows.groupBy(*keys).agg(F.sum(F.col("n") * -slope / p).alias("__s"))
+    joined = sums.join(total, list(strata)) if strata else sums.join(total)
+    return joined.select(*keys, (F.col("__s") / F.col("__all")).alias("gradient"))
+
+
 def metadata_counts(metadata: Column, keys: list[str]) -> list[Column]:
     """Numbers out of a metadata map whose values are integers or maps of counts."""
     def total(text):

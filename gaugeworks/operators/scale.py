@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..session import materialised, tuned
 
 HOT_ROWS = 1_000_000
-PAGE_ROWS = 1_000
 _PID_SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -165,44 +164,16 @@ def _hashable(df: DataFrame) -> list[Column]:
     return [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
 
 
-def paged_lists(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    items: dict[str, Column],
-    *,
-    page_rows: int = PAGE_ROWS,
-    page: str = "page",
-) -> DataFrame:
-    """Ordered lists per key, cut into pages when a key is long.
+def ordered_lists(df: DataFrame, keys: list[str], order: list[str], items: dict[str, Column]) -> DataFrame:
+    """One row per key with the whole list of its rows, in order.
 
-    A key with up to ``page_rows`` rows gives one row (page 0) with the whole
-    list in order.  A longer one gives several rows: its rows are spread over
-    pages by the hash of the order columns, so that no task collects an
-    unbounded group.  Nothing is dropped; each page is ordered in itself.
-    The order columns must tell the rows of a key apart.
+    For texts that hold all rows of a key, so the list is as long as the key has
+    rows; relations are kept as rows instead.  The order columns must tell the
+    rows of a key apart.
     """
-    named = df.select(
-        *keys, *[F.col(o) for o in order if o not in keys],
-        *[c.alias(f"__i_{n}") for n, c in items.items()],
-    )
-    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    pages = sizes.filter(F.col("__n") > page_rows).select(
-        *keys, F.ceil(F.col("__n") / page_rows).alias("__pages")
-    )
-    placed = skew_join(named, pages, keys, "left", null_equal=True, counts=sizes).withColumn(
-        page,
-        F.when(
-            F.col("__pages") > 1, F.pmod(F.xxhash64(*order), F.col("__pages"))
-        ).otherwise(F.lit(0)).cast("int"),
-    )
-    entry = F.struct(*[F.col(o) for o in order], *[F.col(f"__i_{n}") for n in items])
-    grouped = placed.groupBy(*keys, page).agg(F.sort_array(F.collect_list(entry)).alias("__l"))
-    return grouped.select(
-        *keys,
-        page,
-        *[F.col(f"__l.__i_{n}").alias(n) for n in items],
-    )
+    entry = F.struct(*[F.col(o) for o in order], *[c.alias(f"__i_{n}") for n, c in items.items()])
+    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("__l"))
+    return grouped.select(*keys, *[F.col(f"__l.__i_{n}").alias(n) for n in items])
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:

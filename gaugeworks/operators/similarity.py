@@ -2,8 +2,8 @@
 
 Spark partitions the corpus; each task keeps its own top-k per query over the
 Arrow batches it reads, so only k rows per query and task are shuffled.  The
-query side is broadcast in blocks whose size in bytes is counted first; queries
-beyond one block take another pass over the corpus.
+query side is broadcast in blocks whose size in bytes, and whose candidates per task,
+are counted first; queries beyond one block take another pass over the corpus.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .scale import positions, spread, top_per_key
 BLOCK_BYTES = 256 * 1024 * 1024
 _MERGE_SLICES = 64
 _SCORES_AT_ONCE = 4_000_000
+_STEP = 4096
+STATE_BYTES = 256 * 1024 * 1024  # similarities and ids a task holds for a block
 _DIGITS = 12  # copies of a vector must tie, whatever order they are summed in
 
 
@@ -31,16 +33,55 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise k best by (similarity descending, id ascending)."""
-    if sims.shape[1] > 4 * k:
-        # everything above or equal to the k-th value stays in the running
-        kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-        width = int((sims >= kth).sum(axis=1).max())
-        keep = np.argsort(np.where(sims >= kth, 0, 1), axis=1, kind="stable")[:, :width]
-        sims, ids = np.take_along_axis(sims, keep, 1), np.take_along_axis(ids, keep, 1)
-    order = np.lexsort((ids, -sims), axis=1)[:, :k]
-    return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+class _Running:
+    """Best ``k`` vectors per query of a stream, ties to the lower id.
+
+    Only vectors at or above a query's k-th similarity so far are collected; a
+    full buffer is cut back to the best k.
+    """
+
+    def __init__(self, n: int, k: int, step: int):
+        self.k = k
+        self.sims = np.full((n, 2 * k + step), -np.inf)
+        self.ids = np.full((n, 2 * k + step), np.iinfo(np.int64).max)
+        self.filled = np.zeros(n, np.int64)
+        self.least = np.full(n, -np.inf)
+
+    def add(self, sims: np.ndarray, ids: np.ndarray) -> None:
+        row, column = np.nonzero(sims >= self.least[:, None])
+        count = np.bincount(row, minlength=len(sims))
+        full = np.flatnonzero(self.filled + count > self.sims.shape[1])
+        if len(full):
+            self.cut(full)
+        first = np.cumsum(count) - count
+        place = self.filled[row] + np.arange(len(row)) - first[row]
+        self.sims[row, place] = sims[row, column]
+        self.ids[row, place] = ids[column]
+        self.filled += count
+
+    def cut(self, rows: np.ndarray) -> None:
+        """Keep the best k of these queries."""
+        sims, ids, k = self.sims[rows], self.ids[rows], self.k
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+        tied = (sims >= least[:, None]).sum(axis=1) > k
+        best = np.empty((len(rows), k), np.int64)
+        best[~tied] = np.argpartition(-sims[~tied], k - 1, axis=1)[:, :k]
+        best[tied] = np.lexsort((ids[tied], -sims[tied]), axis=1)[:, :k]
+        self.sims[rows, k:], self.ids[rows, k:] = -np.inf, np.iinfo(np.int64).max
+        self.sims[rows, :k] = np.take_along_axis(sims, best, 1)
+        self.ids[rows, :k] = np.take_along_axis(ids, best, 1)
+        self.filled[rows] = np.minimum(self.filled[rows], k)
+        self.least[rows] = least  # -inf while there are fewer than k
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self.cut(np.arange(len(self.sims)))
+        width = int(self.filled.max(initial=0))
+        return self.sims[:, :width], self.ids[:, :width]
+
+
+def _step(n: int) -> int:
+    """Vectors scored at once against ``n`` queries."""
+    return max(1, min(_STEP, _SCORES_AT_ONCE // n))
 
 
 def _block_top_k(vectors: DataFrame, matrix: np.ndarray, first: int, k: int) -> DataFrame:
@@ -50,18 +91,15 @@ def _block_top_k(vectors: DataFrame, matrix: np.ndarray, first: int, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        step = max(1, _SCORES_AT_ONCE // n)
-        sims = np.empty((n, 0))
-        ids = np.empty((n, 0), dtype=np.int64)
+        step = _step(n)
+        running = _Running(n, k, step)
         for batch in batches:
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_vecs = _matrix(batch.column(1), dim)
             for at in range(0, len(all_ids), step):
-                part = all_ids[at : at + step]
-                s = np.round(q @ all_vecs[at : at + step].T, _DIGITS)
-                sims = np.concatenate([sims, s], axis=1)
-                ids = np.concatenate([ids, np.broadcast_to(part, (n, len(part)))], axis=1)
-                sims, ids = _best(sims, ids, k)
+                scores = np.round(q @ all_vecs[at : at + step].T, _DIGITS)
+                running.add(scores, all_ids[at : at + step])
+        sims, ids = running.result()
         kept = ids.shape[1]
         if kept:
             piece = TaskContext.get().partitionId() % _MERGE_SLICES
@@ -116,7 +154,8 @@ def top_k(
             F.lit(0).alias("rank_idx"),
         )
     else:
-        per_block = max(1, block_bytes // (8 * dim))
+        # a block is bounded by its vectors and by the candidates it makes a task hold
+        per_block = max(1, min(block_bytes // (8 * dim), STATE_BYTES // (16 * (2 * k + _STEP))))
         blocks = []
         for first in range(0, n, per_block):
             block = numbered.filter((F.col("__q") >= first) & (F.col("__q") < first + per_block))

@@ -67,8 +67,13 @@ def match_activities(
 ) -> DataFrame:
     """Ask which activities of an interview belong to the task being scored."""
     if tasks is not None:
-        listed = H.occupation_tasks(tasks).filter("page = 0").drop("page")
-        df = df.join(listed, "category_occ", "left")
+        df = df.join(H.occupation_tasks(tasks), "category_occ", "left").withColumn(
+            "occupation_tasks",
+            F.coalesce(
+                "occupation_tasks",
+                F.raise_error(F.concat(F.lit("no tasks for occupation "), F.coalesce("category_occ", F.lit("NULL")))),
+            ),
+        )
     columns = {c: F.col(c) for c in df.columns} | {"result": L.clean_result(result)}
     return ask_column(df.withColumn("__base", templates.fill(template, columns)), F.col("__base"), output, ask, **params)
 

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import judging as J
 from ..operators.scale import dense_ids, skew_join
 
-PAGE_ROWS = 1_000
 
-
-def document_pages(
-    scored: DataFrame, *, order: list[str], answers: DataFrame | None = None, page_rows: int = PAGE_ROWS
+def document_entries(
+    scored: DataFrame, *, order: list[str], answers: DataFrame | None = None
 ) -> DataFrame:
-    """Ordered entries of each model over the complete question grid, in pages.
+    """One row per (model, question_idx) over the complete question grid.
 
-    Entry i of every model belongs to the same question, so the pages of all
-    models line up.  A question without a judgment has an empty entry.
+    Entry i of every model belongs to the same question.  A question without a
+    judgment has an empty entry.
     """
     once = J.score_summary(J.once_per_answer(scored, order)).select(
         "uid", "model", "avg", "forward_score", "backward_score", "judge_scores"
@@ -30,19 +28,15 @@ def document_pages(
             "answer", F.coalesce("answer", F.lit(""))
         )
     numbered = skew_join(filled, dense_ids(scored, "uid", "question_idx"), ["uid"])
-    entry = F.struct(
-        "question_idx", "uid", "answer", "avg", "forward_score", "backward_score",
+    return numbered.select(
+        "model", "question_idx", "uid", "answer", "avg", "forward_score", "backward_score",
         F.coalesce("judge_scores", F.lit("")).alias("judge_scores"),
     )
-    return (
-        numbered.groupBy("model", F.floor(F.col("question_idx") / page_rows).alias("page"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    )
 
 
-def unequal_lengths(pages: DataFrame) -> DataFrame:
+def unequal_lengths(entries: DataFrame) -> DataFrame:
     """Models whose number of entries differs from the others (empty when sound)."""
-    sizes = pages.groupBy("model").agg(F.sum(F.size("entries")).alias("n"))
+    sizes = entries.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     bounds = sizes.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
     return sizes.filter(F.lit(bounds["lo"] != bounds["hi"]))
 

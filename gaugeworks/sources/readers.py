@@ -21,6 +21,12 @@ def file_stem() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/]*$", 1)
 
 
+def named_by(column: str) -> Column:
+    """Name in a partition folder ``column=name`` of the row's file, else the file's own."""
+    folder = F.regexp_extract(F.input_file_name(), rf"/{column}=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(file_stem())
+
+
 # ---- conversations -----------------------------------------------------------
 
 
@@ -154,7 +160,7 @@ def question_format(df: DataFrame) -> str:
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
-    """Model answers, one file per model; object content gives its ``answer``."""
+    """Model answers, a file or partition per model; object content gives its ``answer``."""
     raw = spark.read.schema(ANSWER).json(path)
 
     def flat(t):
@@ -167,7 +173,7 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
             F.raise_error(F.lit("answer with an unknown role")).cast("boolean")
         )
     )
-    return checked.withColumn("messages", F.transform("messages", flat)).withColumn("model", file_stem())
+    return checked.withColumn("messages", F.transform("messages", flat)).withColumn("model", named_by("model"))
 
 
 def model_names(answers_table: DataFrame) -> DataFrame:
@@ -178,15 +184,20 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction lines of all models; token logs in the same folder are skipped."""
     raw = spark.read.schema(PREDICTION).json(path)
     return (
-        raw.withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1))
-        .filter(~F.endswith("model", F.lit("tokens")))
+        raw.withColumn("model", named_by("model"))
+        .filter(~F.endswith(F.input_file_name(), F.lit(".tokens.jsonl")))
         .filter(F.col("idx").isNotNull())
     )
 
 
 def judgments(spark: SparkSession, base: str, judges: list[str]) -> DataFrame:
-    """Judgments of one or more judges, one folder per judge."""
-    return spark.read.schema(JUDGMENT).json([f"{base}/{j}/*.jsonl" for j in judges])
+    """Judgments of one or more judges, one folder of line files per judge."""
+    return spark.read.schema(JUDGMENT).json([f"{base}/{j}/*.json*" for j in judges])
+
+
+def written_judgments(spark: SparkSession, base: str, judges: list[str]) -> DataFrame:
+    """Judgments as the sink partitions them; other judges are not read."""
+    return spark.read.schema(JUDGMENT).json(base).filter(F.col("judge").isin(*judges))
 
 
 def round_columns(spark: SparkSession, base: str, name: str, columns: list[str]) -> DataFrame:

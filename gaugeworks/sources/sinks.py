@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import exchange, predictions
 from ..operators.scale import first_per_key
+from ..session import materialised
 
 
 def write_predictions(df: DataFrame, base: str, *, mode: str = "append") -> None:
     """Predictions by model, with the token log next to them."""
+    df = materialised(df)
     df.select("idx", "convo_hash", "request_hash", "response", "error", "model").write.mode(mode).partitionBy(
         "model"
     ).json(f"{base}/predictions")
@@ -19,6 +21,7 @@ def write_predictions(df: DataFrame, base: str, *, mode: str = "append") -> None
 
 def write_export(merged: DataFrame, base: str, *, mode: str = "overwrite") -> None:
     """Questions once over all models, answers by model, category table."""
+    merged = materialised(merged)
     questions = first_per_key(predictions.questions(merged), ["uid"], [F.col("subcategory")])
     questions.write.mode(mode).json(f"{base}/questions")
     predictions.answers(merged).write.mode(mode).partitionBy("model").json(f"{base}/answers")
@@ -30,10 +33,9 @@ def write_judgments(df: DataFrame, base: str, *, mode: str = "append") -> None:
 
 
 def write_round(df: DataFrame, base: str, *, round_idx: int, step: str) -> None:
-    """One step of one round as its own partition."""
-    df.withColumn("round_idx", F.lit(round_idx)).withColumn("step", F.lit(step)).write.mode("append").partitionBy(
-        "round_idx", "step"
-    ).parquet(base)
+    """One step of one round as its own partition; writing it again replaces it."""
+    named = df.withColumn("round_idx", F.lit(round_idx)).withColumn("step", F.lit(step))
+    _replace(named, ["round_idx", "step"]).parquet(base)
 
 
 def write_pairs(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
@@ -41,21 +43,29 @@ def write_pairs(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
 
 
 def write_leaderboards(
-    rows: DataFrame, base: str, *, group: str, pages: DataFrame | None = None, prompts: DataFrame | None = None
+    rows: DataFrame, base: str, *, group: str, entries: DataFrame | None = None, prompts: DataFrame | None = None
 ) -> None:
-    """Leaderboard rows, manifest and group as appended tables, documents by model.
+    """Leaderboard rows, manifest and group, documents by model.
 
-    ``rows`` has the stratum; a leaderboard is named after group and stratum.
+    ``rows`` has the stratum; a leaderboard is named after group and stratum.  The
+    tables are partitioned by group: other groups stay, the same one is replaced.
     """
-    named = rows.withColumn("lb_id", F.concat_ws("/", F.lit(group), "stratum"))
-    named.write.mode("append").partitionBy("stratum").parquet(f"{base}/rows")
-    manifest = named.select("lb_id", "stratum").distinct()
-    manifest.write.mode("append").parquet(f"{base}/manifest")
-    manifest.select(F.lit(group).alias("group_id"), "lb_id").write.mode("append").parquet(f"{base}/groups")
-    if pages is not None:
-        pages.write.mode("append").partitionBy("model").json(f"{base}/responses/{group}")
+    named = materialised(rows.withColumn("lb_id", F.concat_ws("/", F.lit(group), "stratum"))).withColumn(
+        "group_id", F.lit(group)
+    )
+    _replace(named, ["group_id", "stratum"]).parquet(f"{base}/rows")
+    manifest = named.select("lb_id", "stratum", "group_id").distinct()
+    _replace(manifest, ["group_id"]).parquet(f"{base}/manifest")
+    _replace(manifest.select("lb_id", "group_id"), ["group_id"]).parquet(f"{base}/groups")
+    if entries is not None:
+        entries.write.mode("overwrite").partitionBy("model").json(f"{base}/responses/{group}")
     if prompts is not None:
-        prompts.write.mode("append").json(f"{base}/prompts/{group}")
+        prompts.write.mode("overwrite").json(f"{base}/prompts/{group}")
+
+
+def _replace(df: DataFrame, by: list[str]):
+    """Writer that replaces the partitions the rows have and leaves all others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
 
 
 def write_search(verified: DataFrame, not_found: DataFrame, intermediate: DataFrame, base: str) -> None:

@@ -142,6 +142,14 @@ def test_tags(spark):
     assert one(spark, "<t></t>", lambda c: T.filled_tag(c, "t")) is None
 
 
+def test_nested_tags_belong_to_the_outer_one(spark):
+    text = "<a><b>x</b></a> <b y='1'> z </b><c>1</c><c>2</c>"
+    got = one(spark, text, lambda c: L.tag_lists(c, ["b", "a"], require_fence=False))
+    assert got["b"] == ["z"] and got["a"] == ["<b>x</b>"]
+    assert one(spark, text, lambda c: L.tag_map(c, require_fence=False)) == {"a": ["<b>x</b>"], "b": ["z"], "c": ["1", "2"]}
+    assert one(spark, "plain", lambda c: L.tag_map(c, require_fence=False)) == {}
+
+
 def test_tag_lists(spark):
     names = ["a", "b"]
     fenced = "```xml\n<a>1</a><b x='y'>2</b><a>3</a>\n```"

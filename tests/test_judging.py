@@ -124,19 +124,19 @@ def test_binary_with_intercept_and_penalty(spark):
     assert np.allclose([fit["u"], fit["v"], fit["intercept"]], want, atol=1e-6)
 
 
-def test_draws_are_one_multinomial():
-    rng = np.random.default_rng(0)
-    weights = [np.array([1.0, 2.0, 3.0]), np.array([4.0, 5.0]), np.array([6.0])]
-    total, left = np.zeros(3), sum(w.sum() for w in weights)
-    draws = np.full(2000, 21)
-    sums = []
-    for w in weights:
-        out, draws = W._draws(rng, w, draws, left)
-        left -= w.sum()
-        sums.append(out)
-    counts = np.concatenate(sums)
-    assert (counts.sum(0) == 21).all() and (draws == 0).all() and total.sum() == 0
-    assert np.allclose(counts.mean(1), [1, 2, 3, 4, 5, 6], atol=0.2)
+def test_resamples_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(8)
+    data = [([1.0, float(rng.normal())], float(rng.integers(0, 2)), int(rng.integers(1, 4))) for _ in range(200)]
+    rows = spark.createDataFrame(data, "x array<double>, y double, n bigint")
+    fits = [
+        W.logistic_bootstrap(rows.repartition(k), ["u", "v"], n_bootstrap=4, seed=1).set_index(["replicate", "name"])
+        for k in (1, 3, 16)
+    ]
+    assert fits[0]["converged"].all() and fits[0]["coef"].std() > 0
+    for other in fits[1:]:
+        assert np.allclose(fits[0]["coef"], other.loc[fits[0].index, "coef"], atol=1e-8)
+    few = W.logistic_bootstrap(rows, ["u", "v"], n_bootstrap=0, max_steps=1)
+    assert not few["converged"].any()
 
 
 def test_bt_closed_form(cells):

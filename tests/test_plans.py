@@ -119,14 +119,37 @@ def test_m1_join_fails_on_repeats(spark):
     assert hierarchy.join_m1(left, right.filter("v <> 'c'"), ["k"]).count() == 2
 
 
-def test_adjacent_pairs_and_groups(spark):
+def test_large_groups_are_whole(spark):
     rows = [("o", "t1", d) for d in "abc"] + [("o", "t2", d) for d in "abcdefgh"]
     edges = spark.createDataFrame(rows, "title string, task string, dwa string")
-    pairs, groups = hierarchy.adjacent_dwas(edges, max_group=4)
-    assert {(r["dwa"], r["adjacent"]) for r in pairs.collect()} == {(x, y) for x in "abc" for y in "abc" if x != y}
-    assert sorted(m for r in groups.collect() for m in r["members"]) == list("abcdefgh")
-    rows_, big = hierarchy.sibling_tasks(edges.select("title", F.col("dwa").alias("task")), max_group=4)
-    assert rows_.count() == 0 and sum(len(r["all_tasks"]) for r in big.collect()) == 8
+    pairs = hierarchy.adjacent_dwas(edges)
+    assert {(r["dwa"], r["adjacent"]) for r in pairs.collect()} == {(x, y) for x in "abcdefgh" for y in "abcdefgh" if x != y}
+    # 1,500 activities of one task, 3,000 tasks of one occupation
+    many = spark.range(1500).select(F.lit("o").alias("title"), F.lit("t").alias("task"), F.col("id").cast("string").alias("dwa"))
+    found = hierarchy.adjacent_dwas(many)
+    assert found.count() == 1500 * 1499
+    text = hierarchy.does_not_include(many, found, prompt="{unrelated}", criteria="c")
+    sizes = text.select(F.size(F.split(F.trim("does_not_include_prompt"), "- "))).distinct().collect()
+    assert text.count() == 1500 and [r[0] for r in sizes] == [1500]
+    tasks = spark.range(3000).select(F.lit("o").alias("title"), F.col("id").cast("string").alias("task"))
+    rows_ = hierarchy.sibling_tasks(tasks).filter("task IN ('0', '2999')")
+    assert {r["task"]: len(r["others"]) for r in rows_.collect()} == {"0": 2999, "2999": 2999}
+    listed = hierarchy.occupation_tasks(tasks, occ="title", task="task").first()["occupation_tasks"].split("\n")
+    assert listed == [f"- {k}" for k in sorted(str(i) for i in range(3000))]
+
+
+def test_matching_prompt_has_all_tasks(spark):
+    tasks = spark.range(3000).select(F.lit("o").alias("category_occ"), F.col("id").cast("string").alias("category_task"))
+    rows = spark.createDataFrame([(1, "o", "<r>x</r>")], "k int, category_occ string, result string")
+
+    def ask(requests):
+        return requests.select("request_hash", F.size(F.split("prompt", "\n")).cast("string").alias("output"))
+
+    out = interviews.match_activities(rows, tasks, "{occupation_tasks}", "result", ask)
+    assert out.first()["matches"] == "3000"
+    lost = rows.withColumn("category_occ", F.lit("none"))
+    with pytest.raises(Exception, match="no tasks for occupation none"):
+        interviews.match_activities(lost, tasks, "{occupation_tasks}", "result", ask).collect()
 
 
 def test_missing_description_fails(spark):
@@ -189,11 +212,11 @@ def test_pool_needs_all_trials(spark):
         vectors.mean_pool(df, ["c"], n_trials=2).collect()
 
 
-def test_long_conversations_are_paged(spark):
-    rows = [(1, i, "user", f"t{i}") for i in range(25)] + [(2, 0, "user", "x")]
+def test_long_conversations_are_whole(spark):
+    rows = [(1, i, "user", f"t{i}") for i in range(12_000)] + [(2, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    got = {(r["conv_id"], r["page"]): len(r["convo"]) for r in conversations.from_turns(df, page_turns=10).collect()}
-    assert got == {(1, 0): 10, (1, 1): 10, (1, 2): 5, (2, 0): 1}
+    got = {r["conv_id"]: [x["content"] for x in r["convo"]] for r in conversations.from_turns(df).collect()}
+    assert got == {1: [f"t{i}" for i in range(12_000)], 2: ["x"]}
 
 
 def test_retrieval_table_checks(spark):

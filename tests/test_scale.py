@@ -66,15 +66,11 @@ def test_skew_join_null_keys(spark):
         assert join(df, dim, ["k"], "left").filter("name IS NULL").count() == 1
 
 
-def test_pages_keep_everything(spark):
+def test_lists_keep_everything(spark):
     df = hot_table(spark)
-    pages = S.paged_lists(df, ["k"], ["v", "id"], {"ids": F.col("id")}, page_rows=20)
-    rows = pages.collect()
-    assert sorted(i for r in rows for i in r["ids"]) == list(range(400))
-    assert max(len(r["ids"]) for r in rows) < 60
-    assert len([r for r in rows if r["k"] == "hot"]) > 3
-    whole = S.paged_lists(df, ["k"], ["v", "id"], {"ids": F.col("id")}, page_rows=1000).collect()
-    assert {r["page"] for r in whole} == {0}
+    whole = S.ordered_lists(df, ["k"], ["v", "id"], {"ids": F.col("id")}).collect()
+    assert sorted(i for r in whole for i in r["ids"]) == list(range(400))
+    assert len({r["k"] for r in whole}) == len(whole)
     order = {r["id"]: (r["v"], r["id"]) for r in df.collect()}
     assert all(r["ids"] == sorted(r["ids"], key=order.get) for r in whole)
 

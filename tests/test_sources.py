@@ -134,7 +134,10 @@ def test_leaderboard_tables(spark, tmp_path):
     got = R.leaderboard_rows(spark, str(tmp_path))
     assert got.filter("score IS NULL").count() == 1
     assert spark.read.parquet(str(tmp_path / "manifest")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "groups")).first()["group_id"] == "g"
+    W.write_leaderboards(rows, str(tmp_path), group="g")  # a rerun replaces its group
+    W.write_leaderboards(rows, str(tmp_path), group="h")
+    assert {r["group_id"] for r in spark.read.parquet(str(tmp_path / "groups")).collect()} == {"g", "h"}
+    assert R.leaderboard_rows(spark, str(tmp_path)).count() == 4
 
 
 def test_streamed_results(spark, tmp_path):
