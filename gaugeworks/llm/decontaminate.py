@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..session import materialised
 
 WORDS = 5
@@ -34,15 +35,17 @@ def _shingle_rows(df: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.xxhash64(*[F.get("__w", F.col("__i") + k) for k in range(WORDS)]).alias("h"))
 
 
-def _shingle_array(text: Column) -> Column:
-    """Distinct shingles as strings; texts with fewer words have none."""
-    words = _words(text)
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - WORDS + 1),
-            lambda i: F.concat_ws(" ", F.slice(words, i, WORDS)),
-        )
-    )
+def _shingle_array(name: str) -> Column:
+    """Distinct shingles of a text as strings; one with fewer words has none.
+
+    The words are bound once, else they would be cut again for every shingle.
+    """
+    def shingles(w):
+        places = F.sequence(F.lit(1), F.size(w) - WORDS + 1)
+        each = F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.slice(w, i, WORDS))))
+        return F.when(F.size(w) >= WORDS, each).otherwise(F.array().cast("array<string>"))
+
+    return bind(_words(F.col(name)), shingles)
 
 
 def signatures(items: DataFrame) -> DataFrame:
@@ -85,13 +88,13 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     named = items.filter("item_id is not null and text is not null").select("item_id", "text")
     signed = materialised(signatures(named))
     found = materialised(candidates(docs.select("doc_id", "text"), signed))
-    wanted = named.select("item_id", _shingle_array_safe("text").alias("shingles")).filter(F.size("shingles") > 0)
+    wanted = named.select("item_id", _shingle_array("text").alias("shingles")).filter(F.size("shingles") > 0)
     # an item id that repeats gives an entry per text; a document has as many as it has candidates
     lists = found.join(wanted, "item_id").groupBy("doc_id").agg(
         F.collect_set(F.struct("item_id", "shingles")).alias("items")
     )
     pairs = docs.select("doc_id", "text").join(lists, "doc_id").select(
-        "doc_id", _shingle_array_safe("text").alias("own"), "items"
+        "doc_id", _shingle_array("text").alias("own"), "items"
     )
     checked = pairs.select(
         "doc_id",
@@ -111,11 +114,6 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     )
 
 
-def _shingle_array_safe(name: str) -> Column:
-    text = F.col(name)
-    return F.when(F.size(_words(text)) >= WORDS, _shingle_array(text)).otherwise(F.array().cast("array<string>"))
-
-
 def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id) of documents that hold at least one item."""
     return contained_items(docs, items, threshold=threshold).select("doc_id").distinct()
@@ -124,10 +122,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESH
 #: DuckDB twin of ``contained_items`` over documents and benchmark.
 SQL = r"""
 WITH dw AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
     FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 iw AS (
-    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
     FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 ds AS (
     SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
