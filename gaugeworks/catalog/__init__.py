@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from . import (  # noqa: F401
+    composition_queries,
     convo_queries,
     exposure_queries,
     hierarchy_queries,

@@ -377,6 +377,50 @@ def sink_documents(t):
     return t.spark.read.json(f"{place}/responses/g").groupBy("model").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
+@query("leaderboard_document", """
+    WITH full_ AS (SELECT * FROM {judgments} WHERE game1 IS NOT NULL AND game2 IS NOT NULL),
+    once AS (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY uid, model ORDER BY event_id) = 1),
+    u AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS question_idx FROM (SELECT DISTINCT uid FROM full_)), m AS (SELECT DISTINCT model FROM full_)
+    SELECT model, question_idx, u.uid, coalesce('answer ' || event_id, '') AS answer,
+           coalesce('(Judge output 1):' || chr(10) || '[[' || game1 || ']]' || chr(10) || repeat('-', 80) || chr(10) || '(Judge output 2):' || chr(10) || '[[' || game2 || ']]', '') AS judge,
+           coalesce('side B of ' || event_id, '') AS judge_answer
+    FROM u CROSS JOIN m LEFT JOIN once USING (uid, model)""")
+def leaderboard_document(t):
+    """Entries with answers, judge outputs and the answer of side B, for the whole grid."""
+    def game(c, side_b):
+        body = F.concat(
+            F.lit(C.ANSWER_START.format(side="A") + "a" + C.ANSWER_END.format(side="A") + "\n\n" + C.ANSWER_START.format(side="B")),
+            side_b, F.lit(C.ANSWER_END.format(side="B")),
+        )
+        return F.struct(
+            F.struct(F.concat(F.lit("[["), c, F.lit("]]")).alias("answer")).alias("judgment"),
+            F.array(C.turn("system", F.lit("judge")), C.turn("user", body)).alias("prompt"),
+        )
+
+    side_b = F.concat(F.lit("side B of "), F.col("event_id").cast("string"))
+    scored = J.with_scores(t.judgments).withColumn("games", F.array(game("game1", F.lit("x")), game("game2", side_b)))
+    first = J.once_per_answer(scored, ["event_id"])
+    answers = first.select("uid", "model", F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("answer"))
+    out = leaderboards.document_entries(scored, order=["event_id"], answers=answers)
+    return out.select("model", "question_idx", "uid", "answer", "judge", "judge_answer")
+
+
+@query("leaderboard_prompts", """
+    WITH q AS (SELECT DISTINCT uid FROM {judgments} WHERE game1 IS NOT NULL AND game2 IS NOT NULL)
+    SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS question_idx, 'prompt of ' || uid AS convo_text FROM q""")
+def leaderboard_prompts(t):
+    """Question texts, numbered like the entries; all models have as many entries."""
+    scored = J.with_scores(t.judgments)
+    asked = t.judgments.select("uid").distinct().withColumn("convo_text", F.concat(F.lit("prompt of "), F.col("uid").cast("string")))
+    return leaderboards.prompts(scored, asked, "convo_text").select("uid", "question_idx", "convo_text")
+
+
+@query("leaderboard_lengths", "SELECT DISTINCT model, CAST(0 AS BIGINT) AS n FROM {judgments} WHERE false")
+def leaderboard_lengths(t):
+    """Models whose number of entries differs: none."""
+    return leaderboards.unequal_lengths(leaderboards.document_entries(J.with_scores(t.judgments), order=["event_id"]))
+
+
 @query("sink_descriptions", "SELECT s_name AS dwa, upper(s_name) AS dwa_detailed FROM {supplier} UNION ALL SELECT n_name, lower(n_name) FROM {nation}")
 def sink_descriptions(t):
     """Description maps as one table per name."""

@@ -149,11 +149,6 @@ def structured(output, schema: str) -> Column:
     return F.when(parsed["_corrupt"].isNull() & output.isNotNull(), parsed)
 
 
-def per_model(df: DataFrame, models: list[str]) -> DataFrame:
-    """One row per input row and model (the models are a short literal list)."""
-    return df.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-
-
 def model_columns(long: DataFrame, keys: list[str], models: list[str], value: str) -> DataFrame:
     """Long results to one column per model, for export."""
     return long.groupBy(*keys).pivot("model", models).agg(F.first(value))

@@ -13,9 +13,14 @@ SHARD_SIZE = 250_000
 def global_ids(
     corpus: DataFrame, *, dset: str = "dset_name", local: str = "local_idx", out: str = "instance_idx"
 ) -> DataFrame:
-    """Contiguous ids: datasets in name order, rows in local order."""
-    placed = positions(corpus, [dset], [F.col(local)], "__pos")
-    sizes = corpus.groupBy(dset).agg(F.count(F.lit(1)).alias("__n"))
+    """Contiguous ids: datasets in name order, rows in local order.
+
+    Only the dataset and the local index are sorted; other columns are joined
+    back by whoever needs them.
+    """
+    keys = corpus.select(dset, local)
+    placed = positions(keys, [dset], [F.col(local)], "__pos")
+    sizes = keys.groupBy(dset).agg(F.count(F.lit(1)).alias("__n"))
     # one row per dataset
     w = Window.orderBy(dset).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(dset, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))

@@ -214,13 +214,34 @@ def select_turns(
     return skew_join(once, ids, ["dwa"]).drop(answer)
 
 
-def dwa_summary(selected: DataFrame) -> DataFrame:
+def select_kept_turns(pairs: DataFrame, keep: str, columns: list[str], **params) -> DataFrame:
+    """Turn selection of the pairs whose ``keep`` column is true.
+
+    Returns ``columns`` and what the selection adds.
+    """
+    chosen = select_turns(pairs.filter(F.coalesce(F.col(keep), F.lit(False))), **params)
+    return chosen.select(*columns, "category_idx", "picked_turn", "convo_subset")
+
+
+def dwa_summary(selected: DataFrame, *, first: dict[str, str] | None = None, order: list[str] = ()) -> DataFrame:
+    """Per DWA its category id and number of instances.
+
+    ``first`` names columns (output: input) of which the first value in ``order``
+    is kept.
+    """
+    firsts = [F.min_by(c, F.struct(*order)).alias(name) for name, c in (first or {}).items()]
     return selected.groupBy("dwa").agg(
         F.min("category_idx").alias("category_idx"),
         F.count(F.lit(1)).alias("n_instances"),
+        *firsts,
     )
 
 
+def dwa_members(selected: DataFrame, columns: list[str]) -> DataFrame:
+    """The lists per DWA as rows: distinct values of ``columns`` of each category."""
+    return selected.select("dwa", "category_idx", *columns).distinct()
+
+
 def sample_rows(df: DataFrame, n: int, *, seed: int, keys: list[str]) -> DataFrame:
     """``n`` rows in seeded hash order of the key columns."""
     return df.orderBy(stable_order(seed, *keys), *keys).limit(n)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
+from .hierarchy import join_m1
 from .scale import skew_join, stable_order
 
 
@@ -23,7 +24,7 @@ def category_text(task, occupation, mode: str = "headings") -> Column:
 
 
 def truncate_tokens(text, limit: int) -> Column:
-    """First ``limit`` white-space separated tokens of a text, spacing kept."""
+    """First ``limit`` white-space separated words of a text, spacing kept (not a model's tokens)."""
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract(text, rf"(?s)^(\s*(?:\S+\s*){{0,{limit}}})", 1)
 
@@ -82,5 +83,5 @@ def sample_dwas(
 
 
 def attach_iwa(edges: DataFrame, dwa_iwa: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the IWA title of each DWA (m:1)."""
-    return skew_join(edges, dwa_iwa.select(*keys, "iwa_title").dropDuplicates(keys), keys, "left")
+    """Attach the IWA title of each DWA; a DWA with two fails the job."""
+    return join_m1(edges, dwa_iwa.select(*keys, "iwa_title"), keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import conversation as C
 from ..operators import judging as J
 from ..operators.scale import dense_ids, skew_join
 
@@ -15,10 +16,19 @@ def document_entries(
     """One row per (model, question_idx) over the complete question grid.
 
     Entry i of every model belongs to the same question.  A question without a
-    judgment has an empty entry.
+    judgment has an empty entry.  With ``games`` the entry holds the judge's
+    outputs (``judge``) and the answer of side B in the second game
+    (``judge_answer``).
     """
+    texts = ["judge_scores"]
+    if "games" in scored.columns:
+        second = F.get(F.get("games", F.lit(1))["prompt"], F.lit(1))["content"]
+        scored = scored.withColumn("judge", J.judge_outputs_text("games")).withColumn(
+            "judge_answer", C.judge_prompt_answer_b(second)
+        )
+        texts += ["judge", "judge_answer"]
     once = J.score_summary(J.once_per_answer(scored, order)).select(
-        "uid", "model", "avg", "forward_score", "backward_score", "judge_scores"
+        "uid", "model", "avg", "forward_score", "backward_score", *texts
     )
     filled = J.fill_grid(once, scored.select("uid"), scored.select("model"))
     if answers is None:
@@ -30,7 +40,7 @@ def document_entries(
     numbered = skew_join(filled, dense_ids(scored, "uid", "question_idx"), ["uid"])
     return numbered.select(
         "model", "question_idx", "uid", "answer", "avg", "forward_score", "backward_score",
-        F.coalesce("judge_scores", F.lit("")).alias("judge_scores"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in texts],
     )
 
 

@@ -13,13 +13,14 @@ CATEGORY = ["category_task", "category_occ", "dwa"]
 
 def category_vectors(
     categories: DataFrame, ask: Ask, *, examples: DataFrame | None = None, n_trials: int | None = None,
-    mode: str = "concat", text_limit: int = 8191,
+    mode: str = "concat",
 ) -> DataFrame:
     """Vector per category: its text, averaged with the mean of its example vectors.
 
     ``examples`` has the category and ``embedding`` of each generated example.
+    Texts go out whole: the client knows its model's tokens and limit.
     """
-    text = vectors.truncate_tokens(vectors.category_text("category_task", "category_occ", mode), text_limit)
+    text = vectors.category_text("category_task", "category_occ", mode)
     out = embed_column(categories.select(*CATEGORY).distinct(), text, "by_text", ask)
     if examples is None:
         return out.select(*CATEGORY, vectors.normalised("by_text").alias("embedding"))

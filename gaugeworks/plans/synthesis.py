@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import conversation as C
 from ..functions import labels as L
 from ..functions import templates
-from ..operators.scale import first_per_key
+from ..operators.scale import first_per_key, skew_join
 from ..session import materialised
 from .asking import Ask, ask_column
 
@@ -89,6 +89,16 @@ def explode_backgrounds(df: DataFrame) -> DataFrame:
     return rows.select("*", "__b.*").drop("__b")
 
 
+def with_backgrounds(rows: DataFrame, keys: list[str], template: str, ask: Ask, **params) -> DataFrame:
+    """Each row once per background of its task, asked for once per task.
+
+    The template uses the key columns; rows whose task got no background are left
+    out, as there is nobody to interview.
+    """
+    tasks = generate_backgrounds(rows.select(*keys).distinct(), template, ask, **params)
+    return skew_join(rows, explode_backgrounds(tasks), keys)
+
+
 def generate_queries(
     df: DataFrame,
     turns: list[tuple[str, str]],

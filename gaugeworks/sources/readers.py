@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import conversation as C
@@ -59,23 +60,27 @@ def single_corpus(df: DataFrame, name: str, *, column: str = "conversation") ->
 def _corpus(df: DataFrame, name: str, convo: Column) -> DataFrame:
     """Normalised corpus: dataset name, local index, conversation.
 
-    A corpus without ``local_idx`` is numbered from 0 in file order; the numbers
-    are written once so that they stay fixed.
+    A corpus without ``local_idx`` is numbered from 0 in the order of its Parquet
+    files: the place of a row in its file plus the rows of the files before, so
+    only the row counts per file are gathered and no text is moved.  Tables that
+    are no files are written first.
     """
-    out = df.select(
-        F.lit(name).alias("dset_name"),
-        *([F.col("local_idx")] if "local_idx" in df.columns else []),
-        convo.alias("convo"),
-    )
     if "local_idx" in df.columns:
-        return out
-    from ..operators.scale import positions
-
-    located = out.withColumn("__file", F.input_file_name()).withColumn(
-        "__row", F.monotonically_increasing_id()
+        return df.select(F.lit(name).alias("dset_name"), "local_idx", convo.alias("convo"))
+    from ..session import materialised
+
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        located = df.select(convo.alias("convo"), *place)
+    except AnalysisException:
+        located = materialised(df.select(convo.alias("convo"))).select("convo", *place)
+    counts = located.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    firsts = counts.select(
+        F.col("__file").alias("__name"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
     )
-    return positions(located, [], [F.col("__file"), F.col("__row")], "local_idx").select(
-        "dset_name", "local_idx", "convo"
+    return located.join(F.broadcast(firsts), F.col("__file") == F.col("__name")).select(
+        F.lit(name).alias("dset_name"), (F.col("__first") + F.col("__row")).alias("local_idx"), "convo"
     )
 
 

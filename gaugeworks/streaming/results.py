@@ -13,12 +13,20 @@ def responses(spark: SparkSession, folder: str, *, max_files: int = 1_000) -> Da
     return spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def first_results(stream: DataFrame, answered: DataFrame | None = None) -> DataFrame:
-    """Each (request, attempt) once; requests answered before the start are left out."""
+def first_results(
+    stream: DataFrame, answered: DataFrame | None = None, *, arrived: str | None = None, late: str = "7 days"
+) -> DataFrame:
+    """Each (request, attempt) once; requests answered before the start are left out.
+
+    With the time column ``arrived`` a pair is forgotten ``late`` after it came, so
+    the state stays as large as that window.  Without one all pairs are kept.
+    """
     if answered is not None:
         known = answered.select("request_hash").distinct()
         stream = stream.join(known, "request_hash", "left_anti")
-    return stream.dropDuplicates(["request_hash", "attempt"])
+    if arrived is None:
+        return stream.dropDuplicates(["request_hash", "attempt"])
+    return stream.withWatermark(arrived, late).dropDuplicatesWithinWatermark(["request_hash", "attempt"])
 
 
 def running_usage(stream: DataFrame) -> DataFrame:

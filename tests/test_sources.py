@@ -86,6 +86,25 @@ def test_corpora(spark, tmp_path):
     assert "PartitionFilters: [dset_name" in got._jdf.queryExecution().toString()
 
 
+def test_numbering_moves_no_text(spark, tmp_path):
+    raw = spark.range(500).select(F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("conversation"))
+    raw.repartition(7).write.parquet(str(tmp_path / "n"))
+    df = R.single_corpus(spark.read.parquet(str(tmp_path / "n")), "n")
+    assert sorted(r["local_idx"] for r in df.collect()) == list(range(500))
+    assert df.filter("local_idx = 3").collect() == df.filter("local_idx = 3").collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.split("\n") if "Exchange" in line and "convo" in line]
+    assert not texts, texts
+
+
+def test_stream_state_has_a_window(spark, tmp_path):
+    write_lines(tmp_path / "in" / "a.json", [{"request_hash": "h", "attempt": 0, "model": "m"}] * 3)
+    stream = ST.responses(spark, str(tmp_path / "in")).withColumn("at", F.current_timestamp())
+    out = ST.first_results(stream, arrived="at", late="1 hour")
+    ST.collect_results(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
 def test_sided_and_multipart(spark):
     convo = "array<struct<role:string,content:string>>"
     df = spark.createDataFrame([(0, [("user", "a")], [("user", "b")])], f"local_idx bigint, conversation_a {convo}, conversation_b {convo}")
