@@ -15,7 +15,6 @@ occurrence in another one, which makes every line unique, as patience diff needs
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -31,53 +30,82 @@ from .common import slices
 LINE_WORDS = 4  # shorter lines are too common to tell documents apart
 LONG_WORDS = 24
 BLOCK_WORDS = 20
+ROW_BYTES, LINK_BYTES = 64, 48  # of a row of links in a hash table
+BROADCAST_BYTES = 64 * 1024 * 1024
 
-_LINE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)\s*")
-_WORD = re.compile(r"\S+\s*")
+_LINE = re.compile(r"(?:[^.!?\n]++|[.!?]++(?=[^\s.!?]))*+[.!?\n]*\s*")
 
 
-def cut_lines(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the lines, which together are the whole text."""
-    out, start, n = [], 0, 0
-    for m in _LINE.finditer(text):
-        end = m.end()
-        n += len(m[0].split())
-        if start == end or (n < LINE_WORDS and end < len(text) and "\n" not in m[0]):
-            continue  # a short sentence goes with the next one
-        if n <= LONG_WORDS:
-            out.append((start, end, n))
-            start, n = end, 0
-            continue
-        words = n = 0
-        for w in _WORD.finditer(text, start, end):
+def _long_line(line: str) -> list[tuple[str, int]]:
+    """A long line cut behind words whose own length and last letter say so."""
+    out, start, at, words = [], 0, 0, 0
+    for word in line.split(" "):
+        at += len(word) + 1
+        if word:
             words += 1
-            if words >= LINE_WORDS and zlib.crc32(w[0].strip().encode("utf-8", "surrogatepass")) % 8 == 0:
-                out.append((start, w.end(), words))
-                start, words = w.end(), 0
-        if start < end:
-            out.append((start, end, words))
-        start = end
-    if len(out) > 1 and out[-1][2] < LINE_WORDS:  # a short end goes with what is before it
-        (first, _, n), (_, stop, more) = out[-2:]
-        out[-2:] = [(first, stop, n + more)]
+            if words >= LINE_WORDS and (7 * len(word) + ord(word[-1])) % 8 == 0 and at <= len(line):
+                part = line[start:at]
+                out.append((part, len(part.split())))
+                start, words = at, 0
+    if start < len(line):
+        out.append((line[start:], len(line[start:].split())))
     return out
 
 
-def line_keys(text: str) -> list[tuple[int, int, int]]:
-    """(hash, position, words) of the lines that have enough words."""
-    out, seen = [], {}
-    for at, (start, end, words) in enumerate(cut_lines(text)):
-        if words < LINE_WORDS:
+def _lines(text: str) -> list[tuple[str, int]]:
+    """Lines of a text with their words; together they are the whole text."""
+    out: list[tuple[str, int]] = []
+    held, n = "", 0
+    for line in _LINE.findall(text):
+        n += len(line.split())
+        if held:
+            line = held + line
+        if n < LINE_WORDS and "\n" not in line:
+            held = line  # a short sentence goes with the next one
             continue
-        line = " ".join(text[start:end].split()).encode("utf-8", "surrogatepass")
-        key = xxhash.xxh64_intdigest(line)
-        times = seen[key] = seen.get(key, 0) + 1
-        if times > 1:
-            key = xxhash.xxh64_intdigest(line, times)
-        out.append((key, at, words))
+        if line:
+            if n > LONG_WORDS:
+                out += _long_line(line)
+            else:
+                out.append((line, n))
+        held, n = "", 0
+    if held:
+        out.append((held, n))
+    if len(out) > 1 and out[-1][1] < LINE_WORDS:  # a short end goes with what is before it
+        (first, k), (last, more) = out[-2:]
+        out[-2:] = [(first + last, k + more)]
+    return out
+
+
+def cut_lines(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the lines."""
+    out, at = [], 0
+    for line, words in _lines(text):
+        out.append((at, at + len(line), words))
+        at += len(line)
     return out
 
 
+def line_keys(text: str) -> tuple[list[int], list[int], list[int]]:
+    """Hashes, positions and words of the lines that have enough words."""
+    keys, places, counts, seen = [], [], [], {}
+    digest = xxhash.xxh64_intdigest
+    for at, (line, words) in enumerate(_lines(text)):
+        if words < LINE_WORDS:
+            continue
+        line = line.strip().encode("utf-8", "surrogatepass")
+        key = digest(line)
+        if key in seen:
+            times = seen[key] = seen[key] + 1
+            key = digest(line, times)
+        else:
+            seen[key] = 1
+        keys.append(key)
+        places.append(at)
+        counts.append(words)
+    return keys, places, counts
+
+
 def aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest increasing run of matched (later, earlier) positions."""
     pairs = sorted(pairs)
@@ -135,10 +163,14 @@ def line_links(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch, texts in slices(batches):
-            rows = [(i, *r) for i, t in enumerate(texts) for r in line_keys(t)]
-            if not rows:
-                continue
-            owner, key, at, words = (list(c) for c in zip(*rows))
+            key, at, words, sizes = [], [], [], []
+            for t in texts:
+                k, p, n = line_keys(t)
+                key += k
+                at += p
+                words += n
+                sizes.append(len(k))
+            owner = np.repeat(np.arange(len(texts)), sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(owner)),
@@ -179,9 +211,13 @@ def dedup_lines(
     """
     plain = docs.drop(removed, spans)
     # a document with fewer shared words than one block needs can not lose any
-    marks = line_links(docs).groupBy("doc_id").agg(
+    marks = materialised(line_links(docs).groupBy("doc_id").agg(
         F.collect_set(F.struct("partner", "own", "other")).alias("__links"), F.sum("words").alias("words")
-    ).filter(F.col("words") >= block_words).select(F.col("doc_id").alias("__marked"), "__links")
+    ).filter(F.col("words") >= block_words).select(F.col("doc_id").alias("__marked"), "__links"))
+    # links of a known size go to the texts; more of them and the texts are shuffled
+    size = marks.agg(F.sum(ROW_BYTES + LINK_BYTES * F.size("__links"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        marks = F.broadcast(marks)
     joined = plain.join(marks, plain["doc_id"] == marks["__marked"], "left").select(*plain.columns, "__links")
     span = "array<struct<start: bigint, stop: bigint>>"
     schema = plain.withColumn(removed, F.lit(0).cast("bigint")).withColumn(spans, F.lit(None).cast(span)).schema
