@@ -439,11 +439,16 @@ def generated_references(c) -> Column:
     return tags(c, "referenceOutput", ignore_case=True, attributes=False)
 
 
+# fixed value: an ampersand that starts no XML entity is plain text
+BARE_AMPERSAND = r"&(?!(?:lt|gt|quot|apos|amp|#[0-9]+|#x[0-9a-fA-F]+);)"
+
+
 def backgrounds(c) -> Column:
     """Respondent XML to an array of structs, backgrounds joined to summaries.
 
-    One missing field, a bad number or a respondent without summary makes the
-    whole output NULL.
+    One missing field, a bad number, a respondent without summary or XML that is
+    not well-formed makes the whole output NULL.  Of a repeated respondent id the
+    last counts, at the place of the first.
     """
     block = F.coalesce(
         ws_strip(first_group(c, r"(?is)```xml(.*?)```")),
@@ -490,18 +495,24 @@ def _respondent_sections(text) -> Column:
         section("summaries"),
         lambda x: F.struct(ident(x).alias("respondent_id"), field(x, "summary").alias("summary")),
     )
-    return F.struct(text.isNotNull().alias("found"), people.alias("people"), notes.alias("notes"))
+    whole = F.regexp_replace(text, BARE_AMPERSAND, "&amp;")
+    read = F.from_xml(
+        whole, "backgrounds STRING, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+    )
+    found = text.isNotNull() & read["_corrupt"].isNull()
+    return F.struct(found.alias("found"), people.alias("people"), notes.alias("notes"))
 
 
 def _respondents(r) -> Column:
     """Backgrounds with their summaries, NULL when anything is missing."""
 
-    def joined(p):
-        note = F.try_element_at(
-            F.filter(r["notes"], lambda n: n["respondent_id"] == p["respondent_id"]), F.lit(-1)
-        )
+    def last(rows, ident):
+        return F.try_element_at(F.filter(rows, lambda x: x["respondent_id"] == ident), F.lit(-1))
+
+    def joined(ident):
         kept = ("respondent_id", "job_title", "years_experience", "company_description")
-        return F.struct(*[p[f].alias(f) for f in kept], note["summary"].alias("summary"))
+        p = last(r["people"], ident)
+        return F.struct(*[p[f].alias(f) for f in kept], last(r["notes"], ident)["summary"].alias("summary"))
 
     def filled(x, names):
         out = x[names[0]].isNotNull()
@@ -513,10 +524,12 @@ def _respondents(r) -> Column:
     notes_ok = F.forall(r["notes"], lambda n: filled(n, ("respondent_id", "summary")))
 
     def checked(rows):
-        ok = r["found"] & notes_ok & F.forall(rows, lambda x: filled(x, names))
+        people_ok = F.forall(r["people"], lambda p: filled(p, names[:-1]))
+        ok = r["found"] & notes_ok & people_ok & F.forall(rows, lambda x: filled(x, names))
         return F.when(F.coalesce(ok, F.lit(False)), rows)
 
-    return bind(F.transform(r["people"], joined), checked)
+    idents = F.array_distinct(F.transform(r["people"], lambda p: p["respondent_id"]))
+    return bind(F.transform(idents, joined), checked)
 
 
 def keep_votes(votes, allow: str = "ABC", *, missing: str = "E") -> Column:

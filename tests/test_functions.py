@@ -303,6 +303,20 @@ def test_attachments(spark):
     assert one(spark, "none", L.attachments_xml) is None
 
 
+def test_backgrounds_repeats_and_broken_xml(spark):
+    def person(i, title):
+        return (f'<respondent id="{i}"><job_title>{title}</job_title><years_experience>3</years_experience>'
+                "<company_description>c</company_description></respondent>")
+
+    text = ("<responses><backgrounds>" + person(1, "a") + person(2, "b") + person(1, "z") + "</backgrounds><summaries>"
+            '<respondent id="1"><summary>s</summary></respondent><respondent id="2"><summary>t</summary></respondent>'
+            "</summaries></responses>")
+    got = one(spark, text, L.backgrounds)
+    assert [(r["respondent_id"], r["job_title"]) for r in got] == [(1, "z"), (2, "b")]
+    assert one(spark, text.replace("</summaries>", ""), L.backgrounds) is None
+    assert one(spark, text.replace('id="2"><job', "id=2><job"), L.backgrounds) is None
+
+
 def test_backgrounds(spark):
     def person(i, job="nurse"):
         return (
