@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; null and empty texts have fingerprint zero."""
 
     def run(batches):
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, 500_000):
             fp = fingerprint_values(texts, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
