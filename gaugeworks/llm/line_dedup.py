@@ -31,7 +31,7 @@ LINE_WORDS = 4  # shorter lines are too common to tell documents apart
 LONG_WORDS = 24
 BLOCK_WORDS = 20
 
-_LINE = re.compile(r"(?:[^.!?\n]++|[.!?]++(?=[^\s.!?]))*+[.!?\n]*\s*")
+_LINE = re.compile(r"(?:[^.!?\n]++|[.!?]++(?=[^\s.!?]))*+[.!?]*+\s*")
 
 
 def _long_line(line: str) -> list[tuple[str, int]]:
