@@ -76,20 +76,38 @@ class WordEncoder:
             for word, a, b in zip(part, [0, *cuts], cuts):
                 self.known[word] = raw[a:b]
 
+    def _found(self, texts: list[str]) -> list[list[bytes] | None]:
+        """Ids of the pieces of each text; None for a text that goes as a whole."""
+        cut = [None if _OTHER.search(t) else _PIECE.findall(t.lower()) for t in texts]
+        find = self.known.get
+        out = [None if pieces is None else list(map(find, pieces)) for pieces in cut]
+        again = [i for i, found in enumerate(out) if found is not None and None in found]
+        if again:
+            missing = {p for i in again for p, found in zip(cut[i], out[i]) if found is None}
+            if len(self.known) + len(missing) > CACHE_WORDS:
+                self.known.clear()
+                missing = {p for i in again for p in cut[i]}
+            self._learn(sorted(missing))
+            for i in again:
+                out[i] = list(map(find, cut[i]))
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [None if _OTHER.search(t) else _PIECE.findall(t.lower()) for t in texts]
-        wanted = set().union(*(p for p in cut if p is not None))
-        missing = wanted - self.known.keys()
-        if missing and len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = wanted
-        self._learn(sorted(missing))
-        find = self.known.__getitem__
         return [
-            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype) if pieces is None
-            else np.frombuffer(b"".join(map(find, pieces)), self.dtype)
-            for text, pieces in zip(texts, cut)
+            self._whole(text) if found is None else np.frombuffer(b"".join(found), self.dtype)
+            for text, found in zip(texts, self._found(texts))
+        ]
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text."""
+        width = self.dtype.itemsize
+        return [
+            len(self._whole(text)) if found is None else sum(map(len, found)) // width
+            for text, found in zip(texts, self._found(texts))
         ]
 
 
@@ -106,7 +124,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         encoder = encoder_of(tokenizer)
         for batch, texts in slices(batches, 2_000_000):
-            n = [len(x) for x in encoder.encode(texts)]
+            n = encoder.lengths(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "length"]
             )
