@@ -84,13 +84,20 @@ def cut_lines(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def line_keys(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Hashes, positions and words of the lines that have enough words."""
-    keys, places, counts, seen = [], [], [], {}
+def line_keys(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Hashes, positions and words of the lines that have enough words.
+
+    With each the hash of the short lines between it and the one before, 0 if none.
+    """
+    keys, places, counts, gaps, seen = [], [], [], [], {}
     digest = xxhash.xxh64_intdigest
+    short: list[str] = []
     for at, (line, words) in enumerate(_lines(text)):
         if words < LINE_WORDS:
+            short.append(line.strip())
             continue
+        gaps.append(xxhash.xxh32_intdigest("\n".join(short).encode("utf-8", "surrogatepass")) if short else 0)
+        short = []
         line = line.strip().encode("utf-8", "surrogatepass")
         key = digest(line)
         if key in seen:
@@ -101,7 +108,7 @@ def line_keys(text: str) -> tuple[list[int], list[int], list[int]]:
         keys.append(key)
         places.append(at)
         counts.append(words)
-    return keys, places, counts
+    return keys, places, counts, gaps
 
 
 def aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -125,22 +132,28 @@ def aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(lines: list[tuple[int, int, int]], links: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
+def blocks(
+    lines: list[tuple[int, int, int]], links: list[tuple[int, int, int, bool]], least: int
+) -> list[tuple[int, int]]:
     """Character spans of the aligned blocks of one document.
 
-    ``links`` has (partner, own position, partner's position).  A line too short
-    to be hashed belongs to a block if it stands between two aligned lines with
-    the same distance on both sides.
+    ``links`` has (partner, own position, partner's position, whether the short
+    lines before are the partner's too).  Lines too short to be hashed belong to a
+    block if they stand between two aligned lines with the same distance on both
+    sides and are the same there.
     """
     by: dict = {}
-    for partner, own, other in links:
+    same = set()
+    for partner, own, other, alike in links:
         by.setdefault(partner, []).append((own, other))
+        if alike:
+            same.add((partner, own, other))
     gone = set()
-    for pairs in by.values():
+    for partner, pairs in by.items():
         last = None
         for own, other in aligned(pairs):
             gone.add(own)
-            if last and own - last[0] == other - last[1]:
+            if last and own - last[0] == other - last[1] and (partner, own, other) in same:
                 between = range(last[0] + 1, own)
                 if all(lines[i][2] < LINE_WORDS for i in between):
                     gone.update(between)
@@ -156,17 +169,21 @@ def blocks(lines: list[tuple[int, int, int]], links: list[tuple[int, int, int]],
 
 
 def line_links(docs: DataFrame) -> DataFrame:
-    """(doc_id, partner, own, other, words): each shared line and its earliest holder."""
+    """(doc_id, partner, own, other, words, alike): each shared line and its earliest holder.
+
+    ``alike`` says whether the short lines before it are the same in both.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch, texts in slices(batches):
-            key, at, words, sizes = [], [], [], []
+            key, at, words, gap, sizes = [], [], [], [], []
             for t in texts:
-                k, p, n = line_keys(t)
+                k, p, n, g = line_keys(t)
                 key += k
                 at += p
                 words += n
+                gap += g
                 sizes.append(len(k))
             owner = np.repeat(np.arange(len(texts)), sizes)
             yield pa.RecordBatch.from_arrays(
@@ -175,25 +192,28 @@ def line_links(docs: DataFrame) -> DataFrame:
                     pa.array(np.array(key, np.uint64).view(np.int64)),
                     pa.array(at, pa.int32()),
                     pa.array(words, pa.int32()),
+                    pa.array(np.array(gap, np.uint32).view(np.int32)),
                 ],
-                ["doc_id", "line", "at", "words"],
+                ["doc_id", "line", "at", "words", "gap"],
             )
 
     lines = materialised(
         docs.filter("doc_id is not null and text is not null")
         .select("doc_id", "text")
-        .mapInArrow(run, f"doc_id {kind}, line bigint, at int, words int")
+        .mapInArrow(run, f"doc_id {kind}, line bigint, at int, words int, gap int")
     )
     # only lines of several documents; written once, as both the join and its hot keys read it
     first = materialised(
         lines.groupBy("line").agg(
-            F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"),
+            F.min(F.struct("doc_id", "at", "gap")).alias("first"), F.max("doc_id").alias("last"),
             F.count(F.lit(1)).alias("rows"),
         ).filter("last > first.doc_id").drop("last")
     )
-    earliest = first.select("line", F.col("first.doc_id").alias("partner"), F.col("first.at").alias("other"))
+    earliest = first.select("line", F.col("first.doc_id").alias("partner"), F.col("first.at").alias("other"), F.col("first.gap").alias("before"))
     out = skew_join(lines, earliest, ["line"], counts=first.select("line", "rows"))
-    return out.filter("doc_id > partner").select("doc_id", "partner", F.col("at").alias("own"), "other", "words")
+    return out.filter("doc_id > partner").select(
+        "doc_id", "partner", F.col("at").alias("own"), "other", "words", (F.col("gap") == F.col("before")).alias("alike")
+    )
 
 
 def dedup_lines(
@@ -210,7 +230,7 @@ def dedup_lines(
     plain = docs.drop(removed, spans)
     # a document with fewer shared words than one block needs can not lose any
     marks = line_links(docs).groupBy("doc_id").agg(
-        F.collect_set(F.struct("partner", "own", "other")).alias("__links"), F.sum("words").alias("words")
+        F.collect_set(F.struct("partner", "own", "other", "alike")).alias("__links"), F.sum("words").alias("words")
     ).filter(F.col("words") >= block_words).select(F.col("doc_id").alias("__marked"), "__links")
     joined = plain.join(marks, plain["doc_id"] == marks["__marked"], "left").select(*plain.columns, "__links")
     span = "array<struct<start: bigint, stop: bigint>>"
@@ -224,7 +244,7 @@ def dedup_lines(
             for text, links, valid in zip(texts, batch.column("__links").to_pylist(), known):
                 cut = []
                 if links:
-                    cut = blocks(cut_lines(text), [(r["partner"], r["own"], r["other"]) for r in links], block_words)
+                    cut = blocks(cut_lines(text), [(r["partner"], r["own"], r["other"], r["alike"]) for r in links], block_words)
                 kept, at = [], 0
                 for a, b in cut:
                     kept.append(text[at:a])

@@ -49,3 +49,14 @@ def test_copies_and_odd_rows(table, odd_rows):
 
 def test_empty_table(table):
     assert D.dedup_lines(table([])).count() == 0
+
+
+def test_own_short_lines_stay(table):
+    """Short lines between shared ones go only where they are the same."""
+    def form(*answers):
+        return "".join(f"{prose(700 + k, 12)}\nAnswer: {a}\n" for k, a in enumerate(answers)) + prose(710, 12)
+
+    rows = [(1, form("A", "B", "C", "D")), (2, form("A", "X", "C", "Y")), (3, form("A", "B", "C", "D"))]
+    got = {r.doc_id: r.text for r in D.dedup_lines(table(rows)).collect()}
+    assert got[1] == rows[0][1] and got[3] == ""
+    assert "Answer: X" in got[2] and "Answer: Y" in got[2] and "Answer: A" not in got[2]
