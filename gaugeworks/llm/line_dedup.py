@@ -8,8 +8,12 @@ aligned with patience diff; aligned common blocks go from the later document.
 A line is a sentence or the text up to a line break (sentences of fewer than four
 words go with the next one); long ones are cut further
 behind words that their own hash selects, so a passage is cut alike wherever it
-stands.  The k-th occurrence of a line in a document only meets the k-th
-occurrence in another one, which makes every line unique, as patience diff needs.
+stands; runs of lines of fewer than four words are joined to longer ones, cut
+behind lines that their hash selects.  The k-th occurrence of a line in a document
+meets the k-th occurrence in another one, which makes every line unique, as patience
+diff needs, and also the first one, so that a passage repeated within a document
+goes each time.  What the alignment leaves goes where it is a block in itself, so a
+passage that stands elsewhere in the partner goes too.
 """
 
 from __future__ import annotations
@@ -50,6 +54,26 @@ def _long_line(line: str) -> list[tuple[str, int]]:
     return out
 
 
+def _joined(lines: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Runs of short lines joined, and cut behind lines whose own hash says so."""
+    out: list[tuple[str, int]] = []
+    held, n = "", 0
+    for line, words in lines:
+        if words >= LINE_WORDS:
+            if held:
+                out.append((held, n))
+                held, n = "", 0
+            out.append((line, words))
+            continue
+        held, n = held + line, n + words
+        if n >= LINE_WORDS and xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")) & 1:
+            out.append((held, n))
+            held, n = "", 0
+    if held:
+        out.append((held, n))
+    return out
+
+
 def _lines(text: str) -> list[tuple[str, int]]:
     """Lines of a text with their words; together they are the whole text."""
     out: list[tuple[str, int]] = []
@@ -69,6 +93,8 @@ def _lines(text: str) -> list[tuple[str, int]]:
         held, n = "", 0
     if held:
         out.append((held, n))
+    if any(k < LINE_WORDS for _, k in out):
+        out = _joined(out)
     if len(out) > 1 and out[-1][1] < LINE_WORDS:  # a short end goes with what is before it
         (first, k), (last, more) = out[-2:]
         out[-2:] = [(first + last, k + more)]
@@ -87,7 +113,7 @@ def cut_lines(text: str) -> list[tuple[int, int, int]]:
 def line_keys(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
     """Hashes, positions and words of the lines that have enough words.
 
-    With each the hash of the short lines between it and the one before, 0 if none.
+    A line that repeats has a second hash, that of its first occurrence.  With each the hash of the short lines between it and the one before, 0 if none.
     """
     keys, places, counts, gaps, seen = [], [], [], [], {}
     digest = xxhash.xxh64_intdigest
@@ -102,6 +128,10 @@ def line_keys(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
         key = digest(line)
         if key in seen:
             times = seen[key] = seen[key] + 1
+            keys.append(key)
+            places.append(at)
+            counts.append(words)
+            gaps.append(gaps[-1])
             key = digest(line, times)
         else:
             seen[key] = 1
@@ -112,8 +142,8 @@ def line_keys(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
 
 
 def aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest increasing run of matched (later, earlier) positions."""
-    pairs = sorted(pairs)
+    """Longest increasing run of matched (later, earlier) positions, each used once."""
+    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
     tails: list[int] = []
     ends: list[int] = []
     back = [-1] * len(pairs)
@@ -132,6 +162,14 @@ def aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _follows(lines: list[tuple[int, int, int]], last: tuple[int, int], pair: tuple[int, int], alike: bool) -> bool:
+    """Whether both documents have nothing between two matched lines, or the same short lines."""
+    step = pair[0] - last[0]
+    if step < 1 or step != pair[1] - last[1]:
+        return False
+    return step == 1 or alike and all(lines[i][2] < LINE_WORDS for i in range(last[0] + 1, pair[0]))
+
+
 def blocks(
     lines: list[tuple[int, int, int]], links: list[tuple[int, int, int, bool]], least: int
 ) -> list[tuple[int, int]]:
@@ -140,7 +178,8 @@ def blocks(
     ``links`` has (partner, own position, partner's position, whether the short
     lines before are the partner's too).  Lines too short to be hashed belong to a
     block if they stand between two aligned lines with the same distance on both
-    sides and are the same there.
+    sides and are the same there.  Matched lines outside the alignment go where
+    they follow one another in both documents and have enough words by themselves.
     """
     by: dict = {}
     same = set()
@@ -150,14 +189,21 @@ def blocks(
             same.add((partner, own, other))
     gone = set()
     for partner, pairs in by.items():
-        last = None
-        for own, other in aligned(pairs):
+        last, found = None, aligned(pairs)
+        for own, other in found:
             gone.add(own)
-            if last and own - last[0] == other - last[1] and (partner, own, other) in same:
-                between = range(last[0] + 1, own)
-                if all(lines[i][2] < LINE_WORDS for i in between):
-                    gone.update(between)
+            if last and _follows(lines, last, (own, other), (partner, own, other) in same):
+                gone.update(range(last[0] + 1, own))
             last = (own, other)
+        # what is left, by the distance between both places: only whole blocks
+        run: list[tuple[int, int]] = []
+        left = sorted(set(pairs).difference(found), key=lambda p: (p[1] - p[0], p[0]))
+        for pair in [*left, (-1, -1)]:
+            if run and not _follows(lines, run[-1], pair, (partner, *pair) in same):
+                if sum(n for _, _, n in lines[run[0][0]: run[-1][0] + 1]) >= least:
+                    gone.update(range(run[0][0], run[-1][0] + 1))
+                run = []
+            run.append(pair)
     spans, run = [], []
     for at in [*sorted(gone), -1]:
         if run and at != run[-1] + 1:

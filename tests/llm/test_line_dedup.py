@@ -60,3 +60,23 @@ def test_own_short_lines_stay(table):
     got = {r.doc_id: r.text for r in D.dedup_lines(table(rows)).collect()}
     assert got[1] == rows[0][1] and got[3] == ""
     assert "Answer: X" in got[2] and "Answer: Y" in got[2] and "Answer: A" not in got[2]
+
+
+def test_passages_of_short_lines(table):
+    verse = "".join(f"{w}\n" for w in (" ".join(prose(800, 90).replace(".", "").split()[i:i + 2]) for i in range(0, 90, 2)))
+    rows = [(k, f"{prose(810 + k, 40)}\nx{k}\ny{k}\n{verse}{prose(820 + k, 40)}") for k in range(1, 5)]
+    got = {r.doc_id: r for r in D.dedup_lines(table(rows)).collect()}
+    assert got[1].text == rows[0][1]
+    for k in range(2, 5):
+        assert got[k].removed > 0.7 * len(verse)
+        assert prose(810 + k, 40) in got[k].text and prose(820 + k, 40) in got[k].text and f"x{k}\ny{k}" in got[k].text
+
+
+def test_swapped_and_repeated_passages(table):
+    one, two = (prose(k, 80).rsplit(".", 2)[0] for k in (830, 831))  # whole sentences
+    rows = [(1, f"{two}. {one}."), (2, f"{one}. {two}."), (3, f"{one}. {two}."), (4, f"{prose(832, 40)}. {one}. {prose(833, 40)}. {one}.")]
+    got = {r.doc_id: r.text for r in D.dedup_lines(table(rows)).collect()}
+    assert got[1] == rows[0][1] and got[2].strip(" .") == got[3].strip(" .") == ""
+    for sentence in one.split(". "):
+        assert sentence not in got[4]
+    assert prose(832, 40)[:60] in got[4] and prose(833, 40)[:60] in got[4]
