@@ -13,6 +13,7 @@ from . import (
     arrow_tokens,
     decontaminate,
     edit_fingerprint,
+    hyperminhash,
     language_id,
     line_dedup,
     packing,
@@ -121,6 +122,11 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sized)
 
 
+@query
+def op13_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

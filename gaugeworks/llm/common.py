@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import materialised
 
 SLICE_CHARS = 2_000_000
-BROADCAST_IDS = 8_000_000  # 16 bytes each in a hash table
+BROADCAST_IDS = 500_000  # 16 bytes each in a hash table, 8 MB
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS):
