@@ -11,12 +11,11 @@ Four neighbouring registers are one 64-bit band.  Sets at similarity 0.85 agree
 a band with probability 0.52 and in none of the 32 bands once in ten billion.
 
 1. Texts of the same shingle set are one class; the rest works on classes.
-2. Every class meets the hub of each of its bands: the class that holds most of the
-   band's usual registers.  So a group of near copies gives a link per member.
+2. Every class meets the hub of each of its bands: the class whose bands are shared
+   most.  So a group of near copies gives a link per member.
 3. Where the members of a band are not connected by now, those of different
-   components meet too.  Bands of more than ``RUN`` such members are split by a
-   second band first, which sets at the similarity share in all but 1 % of the
-   cases, for each of their common bands.
+   components meet too, but only if they share one of their rarest shingles: no pair
+   at the similarity is without one, and most pairs of a group are.
 
 Candidates whose corrected estimate is too low are dropped, the others are
 verified on the whole shingle sets.
@@ -29,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import first_per_key, skew_join
@@ -41,7 +40,6 @@ LEAST = (85, 100)  # similarity as a fraction
 BUCKETS = 128
 MANTISSA = 10
 BAND = 4  # registers of a band
-RUN = 16
 MARGIN = 0.3  # an estimate may lie so much below the similarity: eight deviations for full buckets
 _REST = 57  # bits of a hash behind those that name the bucket
 _MASK = np.uint64((1 << _REST) - 1)
@@ -247,43 +245,68 @@ def hub_pairs(shared: DataFrame, least: tuple[int, int]) -> DataFrame:
     return met.filter("class <> hub").filter(_alike("n", "m", least)).select(*_ordered("class", "hub")).distinct()
 
 
-def _apart(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of the keys whose members belong to several components."""
-    several = rows.groupBy(key).agg(
-        F.min("component").alias("__lo"), F.max("component").alias("__hi"), F.count(F.lit(1)).alias("__rows")
-    ).filter("__lo <> __hi")
-    several = materialised(several.select(key, "__rows"))
-    return materialised(skew_join(rows, several.select(key), [key], counts=several))
+def open_classes(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, component) of the classes that have a band in common with one of another component."""
+    groups = components(links).withColumnRenamed("node", "class")
+    rows = shared.select("key", "class").join(groups, "class", "left")
+    rows = materialised(rows.withColumn("component", F.coalesce("component", "class")))
+    several = rows.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")
+    ).filter("lo <> hi")
+    return materialised(skew_join(rows, several.select("key"), ["key"], "left_semi", counts=several.select("key", "rows"))
+                        .select("class", "component").distinct())
 
 
-def cross_pairs(shared: DataFrame, links: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b): classes of different components that have a band, or from a long run two, in common."""
-    groups = components(links).withColumnRenamed("node", "class")
-    rows = shared.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_rows = _apart(rows, "key")
-    short = open_rows.filter(F.col("rows") <= RUN).select("key", "class", "n", "component")
-    second = shared.select("class", F.col("key").alias("other"), F.col("band").alias("at"))
-    gap = F.pmod(F.col("at") - F.col("band"), F.lit(BUCKETS // BAND))
-    long = open_rows.filter(F.col("rows") > RUN).join(second, "class").filter(gap.between(1, 5))
-    long = _apart(long.select(F.xxhash64("key", "other").alias("key"), "class", "n", "component"), "key")
+def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(class, hashes): the sorted shingle sets of the wanted classes, cut again from their first document."""
+    named = materialised(classes.select("class", "kind", "first").join(wanted.select("class").distinct(), "class"))
+    texts = semi_join(docs.select("doc_id", "text"), named.select("first"), "doc_id")
 
-    def met(part: DataFrame) -> DataFrame:
-        other = part.toDF("key", "other", "m", "apart")
-        both = part.join(other, "key").filter("class > other and component <> apart").filter(_alike("n", "m", least))
-        return both.select(F.col("class").alias("a"), F.col("other").alias("b"))
+    def cut(batches):
+        for batch, texts in slices(batches, 500_000):
+            sets = shingle_sets(texts, words)
+            kinds = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["kind", "hashes"]
+            )
 
-    return met(short).union(met(long)).distinct()
+    sets = texts.mapInArrow(cut, "kind binary, hashes array<bigint>").join(named.select("kind", "class"), "kind")
+    return materialised(sets.select("class", "hashes").dropDuplicates(["class"]))
 
 
-def verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]
-) -> DataFrame:
-    """(a, b) of the class pairs that have the similarity on their whole shingle sets."""
+def cross_pairs(opened: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b): open classes of different components that can have the similarity.
+
+    Sets of n shingles at similarity t share one of the first n - ceil(t n) + 1 under
+    any order of all shingles; here the rarest come first.  So a copy with changes
+    of its own meets nothing by what is common to its group.
+    """
+    tokens = sets.select("class", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    often = materialised(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    held = materialised(skew_join(tokens, often, ["h"], counts=often))
+    # shingles of one class alone come first and meet nothing
+    common = held.groupBy("class").agg(F.count(F.lit(1)).alias("common"))
+    least_first = F.row_number().over(Window.partitionBy("class").orderBy("rows", "h"))
+    reach = F.col("n") - F.ceil(F.col("n") * least[0] / least[1]) + 1 - (F.col("n") - F.col("common"))
+    first = held.join(common, "class").withColumn("at", least_first).filter(F.col("at") <= reach).select("class", "n", "h")
+    first = first.join(opened, "class")
+    several = first.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    several = materialised(several.filter("lo <> hi").select("h", "rows"))
+    first = materialised(skew_join(first, several.select("h"), ["h"], "left_semi", counts=several))
+    other = first.select("h", F.col("class").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
+    both = first.join(other, "h").filter("class > other and component <> apart").filter(_alike("n", "m", least))
+    return both.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs whose corrected estimate lets the similarity be possible."""
     share = least[0] / least[1] - MARGIN
     regs = classes.select("class", "regs", "n")
     seen = pairs.join(regs.toDF("a", "ra", "na"), "a").join(regs.toDF("b", "rb", "nb"), "b")
 
-    def likely(batches):
+    def run(batches):
         for batch in batches:
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -292,24 +315,12 @@ def verified(
                 keep = (estimate(ra, rb, na, nb) >= share) | (np.minimum(na, nb) < BUCKETS)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    left = materialised(seen.mapInArrow(likely, "a bigint, b bigint"))
-    wanted = left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "class")
-    wanted = materialised(classes.select("class", "kind", "first").join(wanted, "class"))
-    texts = semi_join(docs.select("doc_id", "text"), wanted.select("first"), "doc_id")
+    return materialised(seen.mapInArrow(run, "a bigint, b bigint"))
 
-    def cut(batches):
-        for batch, texts in slices(batches, 500_000):
-            sets = shingle_sets(texts, words)
-            kinds = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["kind", "hashes"]
-            )
 
-    sets = texts.mapInArrow(cut, "kind binary, hashes array<bigint>").join(wanted.select("kind", "class"), "kind")
-    sets = materialised(sets.select("class", "hashes"))
-    both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b) of the class pairs that have the similarity on their whole shingle sets."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def exact(batches):
         for batch in batches:
@@ -321,7 +332,7 @@ def verified(
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
 
-    return materialised(both.mapInArrow(exact, "a bigint, b bigint").distinct())
+    return materialised(both.mapInArrow(exact, "a bigint, b bigint"))
 
 
 def class_components(
@@ -330,11 +341,13 @@ def class_components(
     """(class, component) of the classes that are linked; ``more`` are further candidates (a, b)."""
     shared = shared_bands(classes)
     first = hub_pairs(shared, least)
-    first = materialised(first if more is None else first.union(more).distinct())
-    links = verified(first, classes, docs, words, least)
-    rest = cross_pairs(shared, links, least).join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(materialised(rest), classes, docs, words, least))
-    return components(links).withColumnRenamed("node", "class")
+    first = likely(first if more is None else first.union(more).distinct(), classes, least)
+    either = first.select(F.col("a").alias("class")).union(first.select("b"))
+    links = verified(first, whole_sets(either, classes, docs, words), least)
+    opened = open_classes(shared, links)
+    sets = whole_sets(opened, classes, docs, words)
+    rest = likely(cross_pairs(opened, sets, least), classes, least)
+    return components(links.union(verified(rest, sets, least))).withColumnRenamed("node", "class")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:

@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from gaugeworks.llm import hyperminhash as H
 
 from .conftest import prose
@@ -53,10 +52,8 @@ def test_empty_table_and_only_empty_texts(table):
     assert run(table, [(1, None), (2, " ")]) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-@pytest.mark.parametrize("run_length", [2, 16])
-def test_groups_of_every_similarity(table, monkeypatch, run_length):
-    """Copies with one to four changed words, short texts, a common passage; also through second bands."""
-    monkeypatch.setattr(H, "RUN", run_length)
+def test_groups_of_every_similarity(table):
+    """Copies with one to four changed words, short texts, a common passage."""
     passage = prose(77, 70)
     rows = [(k, prose(k, 110)) for k in range(12)]
     rows += [(100 + 10 * k + n, changed(rows[k][1], 10 * k + n, n)) for k in range(12) for n in range(1, 5)]
