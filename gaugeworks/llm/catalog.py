@@ -11,6 +11,8 @@ import corpus_pipeline
 
 from . import (
     arrow_tokens,
+    collocations,
+    conversation_repair,
     decontaminate,
     edit_fingerprint,
     hyperminhash,
@@ -122,6 +124,22 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sized)
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, folder, "conversations"))
+
+
+LLM_SQL["op11_conversation_repair"] = conversation_repair.SQL
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+LLM_SQL["op12_collocations"] = collocations.SQL
+
+
 @query
 def op13_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
