@@ -2,178 +2,40 @@
 
 The pigeonring filter (``simhash``) sees fingerprints that differ in three bits,
 which most pairs at similarity 0.8 to 0.95 do not.  Here its links are candidates
-only, and a prefix filter completes them: under one order of all shingles, two
-sets at similarity t share one of their first n - ceil(t n) + 1 shingles.  Every
-candidate is verified on the shingle sets themselves.
-
-1. Documents of one fingerprint, linked fingerprints, and documents that meet the
-   earliest holder of a prefix shingle among documents of like size are verified;
-   of each component the smallest doc_id is left.  So a large group of near copies
-   yields as many pairs as it has prefix shingles, never all its pairs.
-2. All pairs of the documents left that share a prefix shingle are verified.
-   Shingles of more than ``RUN`` such documents come last in the order, which moves
-   the prefixes on to rarer ones.
-
-After that no two documents left have the similarity: nothing is capped.  The one
-case in which step 2 compares a long run pairwise is that of documents nearly all
-of whose shingles are common while the documents differ from one another.
+only; bands of compressed registers (``hyperminhash``) complete them: sets at
+similarity 0.8 agree in none of the 32 bands once in twenty million.  Every candidate
+is verified on the whole shingle sets.  No shingle is a key of a join: what is
+shuffled are registers, bands and the texts of candidates.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import first_per_key, skew_join
 from ..session import materialised
-from . import simhash
-from .common import BROADCAST_IDS, components, semi_join, slices
-
-LEAST = 0.8
-RUN = 16
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """Distinct shingle hashes of a text, in order."""
-    return np.unique(np.array(simhash.shingle_hashes(text, words), np.uint64).view(np.int64))
-
-
-def prefix(hashes: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, of which a set at similarity ``least`` has one among its own first."""
-    n = len(hashes)
-    if len(common):
-        late = np.isin(hashes, common)
-        hashes = np.concatenate((hashes[~late], hashes[late]))
-    return hashes[: n - math.ceil(least * n - 1e-9) + 1] if n else hashes
-
+from . import hyperminhash, simhash
 
-def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(doc_id, t, n): prefix shingles of every document and the size of its set."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    # shared with the tasks once, not with every closure
-    held = docs.sparkSession.sparkContext.broadcast(common)
+LEAST = (80, 100)
 
-    def run(batches):
-        for batch, texts in slices(batches, 500_000):
-            sets = [shingle_set(t, words) for t in texts]
-            cut = [prefix(s, least, held.value) for s in sets]
-            sizes = np.array([len(c) for c in cut], np.int64)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            n = np.repeat(np.array([len(s) for s in sets], np.int32), sizes)
-            flat = np.concatenate([np.zeros(0, np.int64), *cut])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner)), pa.array(flat), pa.array(n)], ["doc_id", "t", "n"]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t bigint, n int")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b) of the pairs whose shingle sets have the similarity; two texts without words are alike."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = materialised(pairs.select("a", "b").distinct())
-    # only the texts of candidates are moved
-    left = semi_join(docs, pairs.select("a"), "doc_id").select(F.col("doc_id").alias("a"), F.col("text").alias("own"))
-    right = semi_join(docs, pairs.select("b"), "doc_id").select(F.col("doc_id").alias("b"), F.col("text"))
-    # the many rows of one b are split by adaptive execution; sorted, its set is cut once
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "own", "text")
-
-    def run(batches):
-        last, other = None, None
-        for batch, texts in slices(batches, 500_000):
-            keep = []
-            for text, own in zip(texts, batch.column("own").to_pylist()):
-                if other is None or text != last:
-                    last, other = text, shingle_set(text, words)
-                mine = shingle_set(own or "", words)
-                shared = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(shared >= least * (len(mine) + len(other) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    return materialised(both.mapInArrow(run, f"a {kind}, b {kind}"))
-
-
-def _fingerprint_pairs(docs: DataFrame, words: int) -> DataFrame:
-    """(a, b): documents and the first of their fingerprint, and the first ones of linked fingerprints."""
-    prints = materialised(simhash.fingerprints(docs, words))
-    classes = materialised(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
-    several = classes.filter("rows > 1")
-    same = skew_join(prints, several.select("fp", "first"), ["fp"], counts=several.select("fp", "rows"))
-    first_a = classes.select(F.col("fp").alias("a"), F.col("first").alias("x"))
-    first_b = classes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    linked = simhash.fingerprint_links(classes).join(first_a, "a").join(first_b, "b").select("x", "y")
-    return same.select("doc_id", "first").toDF("x", "y").union(linked).filter("x <> y").select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    )
 
+def _fingerprint_pairs(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(a, b): classes and the first of their fingerprint, and the first ones of linked fingerprints."""
+    # a class is seen through its first document
+    prints = simhash.fingerprints(docs, words).withColumnRenamed("doc_id", "first")
+    held = materialised(classes.select("class", "first").join(prints, "first").select("class", "fp"))
+    groups = materialised(held.groupBy("fp").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("rows")))
+    several = groups.filter("rows > 1")
+    same = skew_join(held, several.select("fp", "least"), ["fp"], counts=several.select("fp", "rows"))
+    least_a = groups.select(F.col("fp").alias("a"), F.col("least").alias("x"))
+    least_b = groups.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    linked = simhash.fingerprint_links(groups).join(least_a, "a").join(least_b, "b").select("x", "y")
+    pairs = same.select("class", "least").toDF("x", "y").union(linked).filter("x <> y")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
-def _shared(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of shingles that several documents have, and (t, rows) of these."""
-    runs = materialised(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
-    return materialised(skew_join(tokens, runs.select("t"), ["t"], "left_semi", counts=runs)), runs
 
-
-def _holder_pairs(shared: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """(a, b): documents and the earliest holders of their prefix shingles among those of like size."""
-    shared = shared.withColumn("c", F.floor(F.log("n") / math.log(1 / least)).cast("int"))
-    firsts = shared.groupBy("t", "c").agg(F.min(F.struct("doc_id", "n")).alias("first"))
-    holders = firsts.groupBy("t").agg(F.collect_list("first").alias("firsts"))  # one per size class
-    met = skew_join(shared.select("doc_id", "t", "n"), holders, ["t"], counts=runs)
-    met = met.select("doc_id", "n", F.explode("firsts").alias("f")).select("doc_id", "n", "f.doc_id", "f.n").toDF("x", "n", "y", "m")
-    return met.filter("x <> y").filter(_like("n", "m", least)).select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    ).distinct()
-
-
-def _like(n: str, m: str, least: float):
-    """Sets of such sizes can have the similarity."""
-    return F.least(n, m) >= F.greatest(n, m) * least - 1e-9
-
-
-def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return rows.join(ids.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
-def _later(links: DataFrame) -> DataFrame:
-    """(doc_id) of linked documents other than the first of their component."""
-    return materialised(components(links).filter("node <> component").select(F.col("node").alias("doc_id")))
-
-
-def _rare_first(
-    shared: DataFrame, tokens: DataFrame, gone: DataFrame, docs: DataFrame, words: int, least: float
-) -> DataFrame:
-    """Prefix rows of the documents left under an order in which the shingles of long runs come last.
-
-    ``shared`` has those of several documents, ``tokens`` all; rows of one document
-    matter only once another one moves on to their shingle.
-    """
-    common, longest = np.zeros(0, np.int64), RUN
-    spark, pool, all_moved = docs.sparkSession, materialised(_without(shared, gone)), gone
-    while True:
-        runs = pool.groupBy("t").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > longest)
-        known = spark.createDataFrame(pa.table({"known": pa.array(common, pa.int64())}))
-        found = materialised(runs.join(known, runs["t"] == known["known"], "left_anti"))
-        n = found.count()
-        if not n:
-            return pool
-        if len(common) + n > BROADCAST_IDS:  # longer runs instead; the result is the same
-            longest *= 2
-            continue
-        common = np.union1d(common, found.select("t").toArrow().column("t").to_numpy())
-        # documents with a common shingle in the prefix take the next ones
-        moved = semi_join(pool, found.select("t"), "t").select("doc_id")
-        moved = materialised(moved.distinct())
-        fresh = materialised(prefixes(semi_join(docs, moved, "doc_id"), words, least, common))
-        all_moved = materialised(all_moved.union(moved).distinct())
-        met = _without(semi_join(tokens, fresh.select("t"), "t"), all_moved)
-        pool = materialised(_without(pool, moved).union(fresh).union(met).distinct())
-
-
-def near_copies(docs: DataFrame, *, words: int = 5, least: float = LEAST) -> DataFrame:
+def near_copies(docs: DataFrame, *, words: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id) of the documents that a smaller doc_id makes superfluous.
 
     Such a document is joined to a smaller doc_id by a chain of documents whose
@@ -182,18 +44,25 @@ def near_copies(docs: DataFrame, *, words: int = 5, least: float = LEAST) -> Dat
     shingle; null, empty and blank texts are alike.  ``docs`` has one row per doc_id
     and none without.
     """
-    none = np.zeros(0, np.int64)
-    tokens = materialised(prefixes(docs, words, least, none))
-    shared, runs = _shared(tokens)
-    tested = materialised(_fingerprint_pairs(docs, words).union(_holder_pairs(shared, runs, least)).distinct())
-    links = verified(tested, docs, words, least)
-    gone = _later(links)
-    shared, _ = _shared(_rare_first(shared, tokens, gone, docs, words, least))
-    x = shared.select("t", F.col("doc_id").alias("a"), "n")
-    y = shared.select("t", F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    pairs = x.join(y, "t").filter("a > b").filter(_like("n", "m", least)).select("a", "b").distinct()
-    more = verified(pairs.join(tested, ["a", "b"], "left_anti"), docs, words, least)
-    return _later(links.union(more))
+    prints = materialised(hyperminhash.signed(docs, words))
+    classes = hyperminhash.classes_of(prints)
+    candidates = _fingerprint_pairs(docs, classes, words)
+    groups = hyperminhash.class_components(classes, docs, words, least, candidates)
+    named = materialised(
+        classes.select("class", "kind", "first", "rows").join(groups, "class", "left")
+        .withColumn("component", F.coalesce("component", "class"))
+    )
+    stays = named.groupBy("component").agg(F.min("first").alias("stays"))
+    kinds = named.select("kind", "component", "rows").join(stays, "component")
+    full = skew_join(
+        prints.filter("n > 0").select("doc_id", "kind"), kinds.select("kind", "stays"), ["kind"],
+        counts=kinds.select("kind", "rows"),
+    )
+    blank = prints.filter("n = 0").select("doc_id")
+    first_blank = blank.agg(F.min("doc_id").alias("stays"))  # one row
+    return full.filter("doc_id <> stays").select("doc_id").union(
+        blank.join(F.broadcast(first_blank), F.col("doc_id") > F.col("stays"), "left_semi")
+    )
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:

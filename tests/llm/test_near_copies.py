@@ -70,3 +70,9 @@ def test_stage_takes_lightly_edited_copies(table):
     rows = [(4000 + k, " ".join(near[:30 + k] + ["dil"] + near[31 + k:])) for k in range(4)] + [(1, prose(1, 90))] * 2
     out = corpus_pipeline.near_duplicate_stage(None, table([*rows, (None, prose(1, 90))]), "")
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "4000", "None"]
+
+
+def test_empty_tables(table):
+    assert gone(table, []) == set()
+    assert gone(table, [(2, ""), (1, None)]) == {2}
+    assert N.one_row_per_id(table([])).count() == 0
