@@ -392,6 +392,59 @@ def bt_style(t):
     )
 
 
+@query("binary_bootstrap", """
+    SELECT n AS name, CAST(0 AS DOUBLE) AS gradient, true AS converged, true AS ordered
+    FROM (SELECT unnest(['f_length', 'f_headers', 'f_lists', 'intercept']) AS n)""")
+def binary_bootstrap(t):
+    """Win or not by style alone: intercept, l2 penalty of 1 and 100 exact resamples.
+
+    The penalised fit is stationary in every coefficient, the quantiles are in order.
+    """
+    rows, meta, counts = _style_inputs(t)
+    featured = materialised(W.style_features(rows, meta, "m0", counts))
+    features = ["f_length", *[f"f_{c}" for c in counts]]
+    design = featured.select(F.array(*features).alias("x"), (F.col("scores") > 0.5).cast("double").alias("y"))
+    design = design.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    fits = t.spark.createDataFrame(
+        W.logistic_bootstrap(design, features, n_bootstrap=100, intercept=True, l2=1.0),
+        "replicate INT, name STRING, coef DOUBLE, converged BOOLEAN",
+    )
+    fit = {r["name"]: r["coef"] for r in fits.filter("replicate = 0").collect()}  # four coefficients
+    z = F.lit(fit["intercept"])
+    for f in features:
+        z = z + F.col(f) * F.lit(fit[f])
+    gap = 1 / (1 + F.exp(-z)) - (F.col("scores") > 0.5).cast("double")
+    slopes = featured.select(gap.alias("gap"), *features, F.lit(1.0).alias("intercept")).agg(*[
+        ((F.sum(F.col("gap") * F.col(c)) + F.lit(fit[c] if c != "intercept" else 0.0)) / F.count(F.lit(1))).alias(c)
+        for c in [*features, "intercept"]
+    ])
+    long = slopes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("g")) for c in slopes.columns])).alias("s"))
+    ranges = fits.filter("replicate > 0").groupBy("name").agg(
+        F.percentile("coef", F.lit(0.5)).alias("score"), F.percentile("coef", F.lit(0.05)).alias("lower"),
+        F.percentile("coef", F.lit(0.95)).alias("upper"), F.bool_and("converged").alias("converged"),
+    )
+    return long.select("s.name", "s.g").join(ranges, "name").select(
+        "name", (F.round("g", 6) + F.lit(0.0)).alias("gradient"), "converged",
+        ((F.col("lower") < F.col("score")) & (F.col("score") < F.col("upper"))).alias("ordered"),
+    )
+
+
+@query("style_metadata", """
+    SELECT event_id, CAST(event_id % 900 + 100 AS DOUBLE) AS token_len, CAST(event_id % 4 + event_id % 3 AS DOUBLE) AS header_count,
+           CAST(CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 7 END AS DOUBLE) AS bold_count
+    FROM {judgments}""")
+def style_metadata(t):
+    """Numbers out of an answer's metadata: plain ones and sums over maps of counts."""
+    e = F.col("event_id")
+    metadata = F.create_map(
+        F.lit("token_len"), (e % 900 + 100).cast("string"),
+        F.lit("header_count"), F.format_string('{"h1": %d, "h2": %d}', e % 4, e % 3),
+        F.lit("bold_count"), F.when(e % 10 == 0, F.lit("{}")).otherwise(F.format_string('{"**": %d, "__": 0}', e % 7)),
+    )
+    rows = t.judgments.select("event_id", metadata.alias("metadata"))
+    return rows.select("event_id", *W.metadata_counts(F.col("metadata"), ["token_len", "header_count", "bold_count"]))
+
+
 # ---- comparisons -------------------------------------------------------------
 
 # leaderboards: a nation per board, a segment per model

@@ -203,9 +203,10 @@ _FIRST = "first AS (SELECT user_id AS idx, event_type AS model, min(event_id) AS
     SELECT idx, model, md5(CAST(idx AS VARCHAR)) AS convo_hash, 'r' || e AS request_hash, CASE WHEN e % 4 > 0 THEN 'answer' || chr(10) || e END AS response,
            CASE WHEN e % 4 = 0 THEN 'timeout' END AS error FROM first""")
 def sink_predictions(t):
-    """Predictions by model, written and read with the model of their folder."""
-    place = _place(t)
-    W.write_predictions(_predictions(t), place)
+    """Predictions by model in two runs, one of them repeated, read with the model of their folder."""
+    place, rows = _place(t), _predictions(t)
+    for run, part in (("0", "idx % 3 > 0"), ("1", "idx % 3 = 0"), ("0", "idx % 3 > 0")):
+        W.write_predictions(rows.filter(part), place, run=run)
     return R.predictions(t.spark, f"{place}/predictions").select("idx", "model", "convo_hash", "request_hash", "response", "error")
 
 
@@ -295,9 +296,10 @@ def source_judgments(t):
 
 @query("sink_judgments", _JUDGED)
 def sink_judgments(t):
-    """Judgments as the sink partitions them."""
+    """Judgments as the sink partitions them, written twice."""
     place = _place(t)
-    W.write_judgments(_judgment_rows(t), place)
+    for _ in range(2):
+        W.write_judgments(_judgment_rows(t), place)
     return _games(R.written_judgments(t.spark, place, ["judge_0", "judge_1"]))
 
 

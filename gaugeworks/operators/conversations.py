@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import conversation as C
+from .scale import distinct_texts
 
 _COUNTS = ("n", "n_instances", "n_texts")
 
@@ -47,13 +48,15 @@ def lint_convos(df: DataFrame, convo: str) -> tuple[DataFrame, DataFrame]:
 def dedupe_counts(pairs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """Number of pairs, of distinct conversations and of distinct texts."""
     ids = pairs.select(key).distinct()
-    found = ids.join(texts.select(key, text), key).select(text).distinct()
+    found = distinct_texts(ids, texts, [], key, text, "__n")
 
     def counted(df, name):
         return df.select(
             *[F.lit(1 if n == name else None).cast("long").alias(n) for n in _COUNTS]
         )
 
-    parts = zip((pairs, ids, found), _COUNTS)
+    parts = zip((pairs, ids), _COUNTS)
     rows = reduce(DataFrame.unionAll, [counted(df, n) for df, n in parts])
-    return rows.agg(*[F.count(n).alias(n) for n in _COUNTS])
+    sums = rows.agg(*[F.count(n).alias(n) for n in _COUNTS[:2]])
+    # one row on each side
+    return sums.select(*_COUNTS[:2], F.lit(found.first()[0]).cast("long").alias(_COUNTS[2]))

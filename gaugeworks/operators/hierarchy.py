@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .scale import first_per_key, null_safe, ordered_lists, skew_join
+from ..session import materialised
+from .scale import dense_ids, first_per_key, null_safe, ordered_lists, skew_join
 
 HOT_MEMBERS = 1_000  # members of a group per salt, where each meets all others
+SMALL_TASK = 64  # DWAs of a task that meet as rows, beyond it as bitmaps
 
 NO_SIBLINGS = "- (no other tasks provided)"
 
@@ -31,13 +37,57 @@ def dwa_task_lists(edges: DataFrame, *, dwa: str = "dwa") -> DataFrame:
 def adjacent_dwas(edges: DataFrame, *, dwa: str = "dwa") -> DataFrame:
     """(dwa, adjacent): every other DWA that shares a task, as rows.
 
-    Each (title, task) joins its own DWAs; a task with very many is salted.
+    The DWAs of a (title, task) with up to ``SMALL_TASK`` of them meet as rows.  Those
+    of a larger one are a bitmap over dense ids in blocks of 32,768; equal bitmaps of
+    several tasks are one, and the adjacency of a DWA is the union of the bitmaps
+    it is in, so a pair becomes a row once however many large tasks share it.
     """
     keys = ["title", "task"]
-    distinct = edges.select(*keys, dwa).distinct()
-    other = distinct.withColumnRenamed(dwa, "adjacent")
-    pairs = skew_join(distinct, other, keys, hot_rows=HOT_MEMBERS, null_equal=True)
-    return pairs.filter(F.col(dwa) != F.col("adjacent")).select(dwa, "adjacent").distinct()
+    distinct = edges.filter(F.col(dwa).isNotNull()).select(*keys, dwa).distinct()
+    sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sized = materialised(skew_join(distinct, sizes, keys, null_equal=True, counts=sizes))
+    small = sized.filter(F.col("__n") <= SMALL_TASK).drop("__n")
+    other = small.toDF("__title", "__task", "adjacent")
+    met = small.join(other, null_safe_on(keys) & (F.col(dwa) != F.col("adjacent")))
+    pairs = met.select(dwa, "adjacent").distinct()
+    large = sized.filter(F.col("__n") > SMALL_TASK).drop("__n")
+    if large.isEmpty():
+        return pairs
+    return pairs.union(_bitmap_pairs(large, keys, dwa)).distinct()
+
+
+def null_safe_on(keys: list[str]) -> Column:
+    """Equality of the keys with their copies that are named with two underscores."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+
+def _bitmap_pairs(members: DataFrame, keys: list[str], dwa: str) -> DataFrame:
+    """(dwa, adjacent) of tasks with many DWAs, through bitmaps of dense ids."""
+    numbered = materialised(dense_ids(members, dwa, "__id"))
+    ids = members.join(numbered, dwa).withColumn("__at", F.col("__id") + 1)
+    block, bit = F.bitmap_bucket_number("__at"), F.bitmap_bit_position("__at")
+    maps = ids.groupBy(*keys, block.alias("__block")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    # a set of DWAs is named by the blocks of its bitmap; tasks with the same set are one
+    named = maps.groupBy(*keys).agg(
+        F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat(F.col("__block").cast("string"), F.lit(":"), F.hex("__bits"))))), 256).alias("__set")
+    )
+    named = materialised(named)
+    sets = skew_join(maps, named, keys, null_equal=True).select("__set", "__block", "__bits").dropDuplicates(["__set", "__block"])
+    own = skew_join(ids, named, keys, null_equal=True).select("__id", "__set").distinct()
+    union = skew_join(own, sets, ["__set"], hot_rows=HOT_MEMBERS).groupBy("__id", "__block").agg(F.bitmap_or_agg("__bits").alias("__bits"))
+
+    def unpack(batches):
+        for batch in batches:
+            for i, block_, bits in zip(*[batch.column(c).to_pylist() for c in ("__id", "__block", "__bits")]):
+                places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+                found = places + (block_ - 1) * len(bits) * 8
+                found = found[found != i]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(found)], ["__id", "__other"])
+
+    rows = union.mapInArrow(unpack, "__id bigint, __other bigint")
+    left = numbered.select("__id", dwa)
+    right = numbered.select(F.col("__id").alias("__other"), F.col(dwa).alias("adjacent"))
+    return rows.join(left, "__id").join(right, "__other").select(dwa, "adjacent")
 
 
 def does_not_include(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scale import positions, skew_join
 
 SHARD_SIZE = 250_000
+BUCKET_IDS = 1 << 16  # local indices counted together
 
 
 def global_ids(
@@ -15,20 +17,39 @@ def global_ids(
 ) -> DataFrame:
     """Contiguous ids: datasets in name order, rows in local order.
 
-    Only the dataset and the local index are sorted; other columns are joined
-    back by whoever needs them.
+    Nothing is sorted as a whole: integer local indices fall into buckets of
+    ``BUCKET_IDS`` values, a row's id is the number of rows in earlier datasets and
+    buckets plus its place in its own bucket.  Only the dataset and the local index
+    are moved; other columns are joined back by whoever needs them.  Local indices of
+    another type are sorted.
     """
     keys = corpus.select(dset, local)
-    placed = positions(keys, [dset], [F.col(local)], "__pos")
-    sizes = keys.groupBy(dset).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per dataset
-    w = Window.orderBy(dset).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(dset, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
-    return (
-        skew_join(placed, offsets, [dset], counts=sizes)
-        .withColumn(out, F.col("__offset") + F.col("__pos"))
-        .drop("__offset", "__pos")
+    if not isinstance(keys.schema[local].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        placed = positions(keys, [dset], [F.col(local)], "__pos")
+        sizes = keys.groupBy(dset).agg(F.count(F.lit(1)).alias("__n"))
+        # one row per dataset
+        w = Window.orderBy(dset).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(dset, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
+        return (
+            skew_join(placed, offsets, [dset], counts=sizes)
+            .withColumn(out, F.col("__offset") + F.col("__pos"))
+            .drop("__offset", "__pos")
+        )
+    keys = keys.withColumn("__bucket", F.floor(F.col(local) / F.lit(BUCKET_IDS)))
+    sizes = keys.groupBy(dset, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(dset).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.select(dset, "__bucket", "__n", F.coalesce(F.sum("__n").over(own), F.lit(0)).alias("__before"))
+    totals = sizes.groupBy(dset).agg(F.sum("__n").alias("__all"))
+    earlier = Window.orderBy(dset).rowsBetween(Window.unboundedPreceding, -1)  # one row per dataset
+    starts = totals.select(F.col(dset).alias("__d"), F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__start"))
+    offsets = inside.join(starts, inside[dset].eqNullSafe(starts["__d"])).select(
+        F.col(dset).alias("__d"), F.col("__bucket").alias("__b"), (F.col("__start") + F.col("__before")).alias("__offset")
     )
+    place = F.row_number().over(Window.partitionBy(dset, "__bucket").orderBy(local)) - 1
+    placed = keys.withColumn("__pos", place)
+    return placed.join(
+        offsets, placed[dset].eqNullSafe(offsets["__d"]) & placed["__bucket"].eqNullSafe(offsets["__b"])
+    ).select(dset, local, (F.col("__offset") + F.col("__pos")).alias(out))
 
 
 def id_ranges(

@@ -2,15 +2,19 @@
 
 Without covariates a fit needs only the number of battles per model and score,
 so replicates are multinomial draws over those cells.  With covariates the
-design rows stay distributed: each Newton step is one pass in which every task
-adds up gradient and curvature for all replicates, and only those sums (models
-squared per replicate) come back to the driver.
+design rows stay distributed and hold a model name and a few dense columns, never
+a column per model.  The curvature of such a fit is an arrowhead: a diagonal over
+the models, a border of models by dense columns and a small dense block.  Each
+Newton step is one pass in which every task adds up these parts for all
+replicates; the parts meet per replicate, where the step is solved by the Schur
+complement of the diagonal.  Only the steps come back to the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ _MAX_STEPS = 50
 _TOLERANCE = 1e-9
 _CLIP = 1e-12
 _FLAT = 1e-6
-_BUCKETS, _BUCKET_ROWS = 1_024, 50_000
+_BUCKETS, _CHUNK = 1_024, 20_000  # of the rows by their hash; rows weighed at once
 
 
 # ---- without covariates ------------------------------------------------------
@@ -185,20 +189,80 @@ def design_columns(models: list[str], baseline: str) -> list[Column]:
 def design(
     battles: DataFrame, features: list[str], baseline: str, *, outcome: str = "scores"
 ) -> tuple[DataFrame, list[str]]:
-    """Design rows with equal ones counted together, and the column names.
+    """Design rows with equal ones counted together, and the names of the coefficients.
 
-    All model columns are kept next to the chosen style columns.
+    A row names its model in ``m``; ``x`` has the style columns only.  All models keep
+    a coefficient of their own next to the chosen style columns.
     """
     found = sorted({r[0] for r in battles.select("model").distinct().collect()} | {baseline})
-    x = F.array(*design_columns(found, baseline), *[F.col(f).cast("double") for f in features])
-    rows = battles.select(x.alias("x"), F.col(outcome).cast("double").alias("y"))
-    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), [*found, *features]
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    rows = battles.select(F.col("model").alias("m"), x.alias("x"), F.col(outcome).cast("double").alias("y"))
+    return rows.groupBy("m", "x", "y").agg(F.count(F.lit(1)).alias("n")), [*found, *features]
+
+
+class _Sums:
+    """Gradient and arrowhead curvature of all replicates over the rows of a task.
+
+    Kept per replicate in one row: gradient (models, then dense columns), diagonal,
+    border (models by dense columns) and dense block.
+    """
+
+    def __init__(self, fits: int, models: int, dense: int):
+        self.models, self.dense = models, dense
+        self.bounds = np.cumsum([models + dense, models, models * dense, dense * dense])
+        self.total = np.zeros((fits, self.bounds[-1]))
+
+    def parts(self):
+        """Views of gradient, diagonal, border and block."""
+        g, d, border, block = np.split(self.total, self.bounds[:-1], axis=1)
+        fits = len(self.total)
+        return g, d, border.reshape(fits, self.models, self.dense), block.reshape(fits, self.dense, self.dense)
+
+    def add(self, m, x, y, w, beta) -> None:
+        """Rows with model index ``m`` (-1: none), dense columns, outcome and a weight per fit."""
+        g, diagonal, border, block = self.parts()
+        z = x @ beta[:, self.models:].T
+        own = m >= 0
+        z[own] += beta[:, m[own]].T
+        p = 1 / (1 + np.exp(-z))
+        gap, curve = w * (p - y[:, None]), w * p * (1 - p)
+        g[:, self.models:] += gap.T @ x
+        block += (curve.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)).reshape(block.shape)
+        if own.any():
+            order = np.flatnonzero(own)[np.argsort(m[own], kind="stable")]
+            ids, starts = np.unique(m[order], return_index=True)
+            g[:, ids] += np.add.reduceat(gap[order], starts).T
+            diagonal[:, ids] += np.add.reduceat(curve[order], starts).T
+            for c in range(self.dense):
+                border[:, ids, c] += np.add.reduceat(curve[order] * x[order, c: c + 1], starts).T
+
+    def steps(self, beta: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        """Newton step per fit; models without a row in a resample stay where they are."""
+        g, diagonal, border, block = self.parts()
+        g = g + penalty * beta
+        diagonal = diagonal + penalty[: self.models]
+        block = block + np.diag(penalty[self.models:])
+        with np.errstate(divide="ignore"):
+            inverse = np.where(diagonal > 0, 1 / diagonal, 0.0)
+        g_models, g_dense = g[:, : self.models], g[:, self.models:]
+        scaled = border * inverse[:, :, None]
+        left = block - np.einsum("bmi,bmj->bij", border, scaled)
+        right = g_dense - np.einsum("bmi,bm->bi", scaled, g_models)
+        dense = np.einsum("bij,bj->bi", np.linalg.pinv(left, hermitian=True, rcond=1e-12), right)
+        models = inverse * (g_models - np.einsum("bmi,bi->bm", border, dense))
+        return np.hstack([models, dense])
+
+
+def _draws(sizes: np.ndarray, left: np.ndarray, weight: int, rng) -> np.ndarray:
+    """Share of every fit's draws that falls to the next rows, of ``weight`` rows that are left in a bucket."""
+    return rng.binomial(left, min(1.0, sizes.sum() / weight)) if weight > sizes.sum() else left.copy()
 
 
 def logistic_bootstrap(
     rows: DataFrame,
     names: list[str],
     *,
+    baseline: str | None = None,
     n_bootstrap: int = 100,
     seed: int = 0,
     intercept: bool = False,
@@ -207,66 +271,106 @@ def logistic_bootstrap(
 ) -> pd.DataFrame:
     """Logistic fits on all rows (replicate 0) and on exact resamples.
 
-    ``rows`` has ``x`` (array), ``y`` in [0, 1] and ``n``.  The result is bounded
-    by replicates times columns.  ``l2`` penalises all but the intercept.  A
-    resample is drawn per bucket of the rows' hash, so it depends on the rows and
-    the seed alone, never on partitions or batches.  ``converged`` tells whether
-    the last step of a replicate was below the tolerance.
+    ``rows`` has ``x`` (array), ``y`` in [0, 1] and ``n``, and with a ``baseline`` the
+    model ``m``: then ``names`` lists the models before the columns of ``x``, a row has
+    +1 for its model and -1 for the baseline, and strengths are given with mean zero
+    unless they are penalised.  The result is bounded by replicates times
+    coefficients.  ``l2`` penalises all but the intercept.  A resample is drawn per
+    bucket of the rows' hash, in the order of the rows, so it depends on the rows and
+    the seed alone, never on partitions or batches.  ``converged`` tells whether the
+    last step of a replicate was below the tolerance.
     """
     spark = rows.sparkSession
-    buckets = max(_BUCKETS, -(-rows.count() // _BUCKET_ROWS))
-    table = materialised(rows.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(buckets)).cast("int")))
-    dim = len(names) + int(intercept)
-    parts = table.groupBy("__part").agg(F.sum("n").alias("w")).collect()  # one row per bucket
-    ids = sorted(r["__part"] for r in parts)
-    weight_of = {r["__part"]: r["w"] for r in parts}
-    sizes = np.array([weight_of[i] for i in ids], np.int64)
+    if "m" not in rows.columns:
+        rows = rows.withColumn("m", F.lit(None).cast("string"))
+    rows = rows.select("m", "x", "y", "n", F.pmod(F.xxhash64("m", "x", "y"), F.lit(_BUCKETS)).cast("int").alias("__part"))
+    table = materialised(rows)
+    width = table.agg(F.max(F.size("x"))).first()[0] or 0
+    models = [m for m in names[: len(names) - width] if m != baseline]
+    dense = width + int(baseline is not None) + int(intercept)
+    order = [*models, *([baseline] if baseline is not None else []), *names[len(names) - width:], *(["intercept"] if intercept else [])]
+    place = {m: i for i, m in enumerate(models)}
+    weights = {r["__part"]: r["w"] for r in table.groupBy("__part").agg(F.sum("n").alias("w")).collect()}  # _BUCKETS at most
+    ids = sorted(weights)
+    sizes = np.array([weights[i] for i in ids], np.int64)
     rng = np.random.default_rng(seed)
-    per_part = rng.multinomial(sizes.sum(), sizes / sizes.sum(), size=n_bootstrap)
-    shared_plan = spark.sparkContext.broadcast({i: per_part[:, j].copy() for j, i in enumerate(ids)})
-    fixed = table.repartition("__part").sortWithinPartitions("__part", "y", F.xxhash64("x"), "x")
-    n_fits = n_bootstrap + 1
-    schema = "replicate INT, g ARRAY<DOUBLE>, h ARRAY<DOUBLE>"
-
-    def one_pass(beta: np.ndarray) -> list:
-        def run(batches):
-            grad, curv = np.zeros((n_fits, dim)), np.zeros((n_fits, dim, dim))
-
-            def add(part, rows_):
-                x = np.stack(rows_["x"].to_numpy())
+    per_part = rng.multinomial(sizes.sum(), sizes / max(1, sizes.sum()), size=n_bootstrap) if len(ids) else np.zeros((n_bootstrap, 0))
+    shared_plan = spark.sparkContext.broadcast(
+        ({i: (weights[i], per_part[:, j].copy()) for j, i in enumerate(ids)}, place)
+    )
+    fixed = table.repartition("__part").sortWithinPartitions("__part", "y", F.xxhash64("m", "x"), "m", "x").persist()
+    n_fits, dim = n_bootstrap + 1, len(models) + dense
+
+    def chunks(batches):
+        """Rows of one bucket, cut every _CHUNK rows of it whatever the batches are."""
+        held, part = [], None
+        for batch in batches:
+            own = batch.column("__part").to_numpy()
+            edges = np.flatnonzero(np.diff(own)) + 1
+            for a, b in zip([0, *edges], [*edges, len(own)]):
+                if a == b:
+                    continue
+                if own[a] != part:
+                    yield from _cut(held, part, True)
+                    held, part = [], own[a]
+                held.append(batch.slice(a, b - a))
+                if sum(map(len, held)) >= _CHUNK:
+                    yield from _cut(held, part, False)
+        yield from _cut(held, part, True)
+
+    def one_pass(beta: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(beta)
+
+        def add_up(batches):
+            plan, index = shared_plan.value
+            sums = _Sums(n_fits, len(models), dense)
+            last, draw, left, weight = None, None, None, 0
+            for part, batch in chunks(batches):
+                if part != last:
+                    last, draw = part, np.random.default_rng([seed, int(part)])
+                    weight, left = plan[int(part)]
+                    left = left.copy()
+                x = np.array(batch.column("x").to_pylist(), float).reshape(len(batch), -1)
+                if baseline is not None:
+                    x = np.hstack([np.full((len(x), 1), -1.0), x])
                 if intercept:
                     x = np.hstack([x, np.ones((len(x), 1))])
-                y, n = rows_["y"].to_numpy(float), rows_["n"].to_numpy(np.int64)
+                y, n = batch.column("y").to_numpy(), batch.column("n").to_numpy()
+                m = np.array([index.get(v, -1) for v in batch.column("m").to_pylist()], np.int64)
                 w = n[:, None].astype(float)
                 if n_bootstrap:
-                    draw, share = np.random.default_rng([seed, int(part)]), n / n.sum()
-                    w = np.hstack([w, np.stack([draw.multinomial(k, share) for k in shared_plan.value[part]], axis=1)])
-                p = 1 / (1 + np.exp(-(x @ beta.T)))
-                grad[:] += (w * (p - y[:, None])).T @ x
-                curv[:] += np.einsum("rb,ri,rj->bij", w * p * (1 - p), x, x, optimize=True)
-
-            held, part = [], None  # rows of one bucket, which batches may cut
-            for pdf in batches:
-                for own, rows_ in pdf.groupby("__part", sort=True):
-                    if own != part and held:
-                        add(part, pd.concat(held))
-                        held = []
-                    part = own
-                    held.append(rows_)
-            if held:
-                add(part, pd.concat(held))
-            yield pd.DataFrame({
-                "replicate": np.arange(n_fits, dtype=np.int32),
-                "g": list(grad), "h": [c.ravel() for c in curv],
-            })
-
-        sums = fixed.select("__part", "x", "y", "n").mapInPandas(run, schema)
-        position = F.posexplode(F.concat("g", "h")).alias("i", "v")
-        long = sums.select("replicate", position).groupBy("replicate", "i").agg(F.sum("v").alias("v"))
-        out = np.zeros((n_fits, dim + dim * dim))
-        for r in long.collect():  # replicates x (columns + columns squared)
-            out[r["replicate"], r["i"]] = r["v"]
-        return out[:, :dim], out[:, dim:].reshape(n_fits, dim, dim)
+                    here = _draws(n, left, weight, draw)
+                    left, weight = left - here, weight - int(n.sum())
+                    share = n / n.sum()
+                    w = np.hstack([w, np.stack([draw.multinomial(k, share) for k in here], axis=1)])
+                sums.add(m, x, y, w, shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(n_fits, dtype=np.int32)), pa.array([r.tobytes() for r in sums.total], pa.binary())],
+                ["replicate", "sums"],
+            )
+
+        def solve(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for r, v in zip(batch.column("replicate").to_pylist(), batch.column("sums").to_pylist()):
+                    v = np.frombuffer(v)
+                    total[r] = total[r] + v if r in total else v
+            if total:
+                some = sorted(total)
+                sums = _Sums(len(some), len(models), dense)
+                sums.total[:] = [total[r] for r in some]
+                step = sums.steps(shared.value[some], penalty)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([s.tobytes() for s in step], pa.binary())], ["replicate", "step"]
+                )
+
+        sums = fixed.mapInArrow(add_up, "replicate INT, sums BINARY")
+        solved = sums.repartition("replicate").mapInArrow(solve, "replicate INT, step BINARY")
+        out = np.zeros((n_fits, dim))
+        for r in solved.collect():  # replicates x coefficients, the size of the result
+            out[r["replicate"]] = np.frombuffer(r["step"])
+        shared.destroy()
+        return out
 
     penalty = np.full(dim, l2)
     if intercept:
@@ -274,17 +378,15 @@ def logistic_bootstrap(
     beta = np.zeros((n_fits, dim))
     converged = np.zeros(n_fits, bool)
     for _ in range(max_steps):
-        g, h = one_pass(beta)
-        g = g + penalty * beta
-        h = h + np.diag(penalty)
-        # the smallest step: a common shift of all strengths changes nothing
-        step = np.stack([np.linalg.pinv(h[b], hermitian=True) @ g[b] for b in range(n_fits)])
+        step = one_pass(beta)
         beta = beta - np.clip(step, -4, 4)  # damped far from the optimum
-        converged = np.abs(step).max(axis=1) < _TOLERANCE
+        converged = np.abs(step).max(axis=1, initial=0) < _TOLERANCE
         if converged.all():
             break
-    columns = [*names, *(["intercept"] if intercept else [])]
-    out = pd.DataFrame(beta, columns=columns)
+    fixed.unpersist()
+    if baseline is not None and not l2:  # a common shift of all strengths changes nothing
+        beta[:, : len(models) + 1] -= beta[:, : len(models) + 1].mean(axis=1, keepdims=True)
+    out = pd.DataFrame(beta, columns=order)[[*names, *(["intercept"] if intercept else [])]]
     out.insert(0, "replicate", np.arange(n_fits, dtype=np.int32))
     out.insert(1, "converged", converged)
     return out.melt(["replicate", "converged"], var_name="name", value_name="coef")[
@@ -292,12 +394,24 @@ def logistic_bootstrap(
     ]
 
 
+def _cut(held: list, part, whole: bool):
+    """Whole chunks out of the rows of one bucket; what is left stays in ``held``."""
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    at = 0
+    while len(table) - at >= _CHUNK or whole and at < len(table):
+        yield part, table.slice(at, _CHUNK).combine_chunks()
+        at += _CHUNK
+    held[:] = table.slice(at).to_batches() if at < len(table) else []
+
+
 def style_fits(
     battles: DataFrame, features: list[str], baseline: str, *, n_bootstrap: int = 100, seed: int = 0
 ) -> DataFrame:
     """Coefficients of models and style columns per replicate (0: the data itself)."""
     rows, names = design(battles, features, baseline)
-    fits = logistic_bootstrap(rows, names, n_bootstrap=n_bootstrap, seed=seed)
+    fits = logistic_bootstrap(rows, names, baseline=baseline, n_bootstrap=n_bootstrap, seed=seed)
     return battles.sparkSession.createDataFrame(
         fits, "replicate INT, name STRING, coef DOUBLE, converged BOOLEAN"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import conversation as C
 from ..functions import labels as L
 from ..session import materialised
-from .scale import dense_ids, first_per_key, positions, skew_join, stable_order
+from .scale import dense_ids, distinct_texts, first_per_key, positions, skew_join, stable_order
 
 PAIR_KEY = ["category_task", "category_occ", "dwa", "instance_idx"]
 CATEGORY = ["category_task", "category_occ", "dwa"]
@@ -151,13 +151,7 @@ def deficient(
     # two narrow columns, needed three times: written once instead of joined again
     kept = materialised(kept.select(dwa, "instance_idx"))
     counts = kept.groupBy(dwa).agg(F.count(F.lit(1)).alias("n"))
-    distinct = (
-        skew_join(kept.distinct(), texts, ["instance_idx"])
-        .select(dwa, text)
-        .distinct()
-        .groupBy(dwa)
-        .agg(F.count(F.lit(1)).alias("n_inst_dedup"))
-    )
+    distinct = distinct_texts(kept.distinct(), texts, [dwa], "instance_idx", text, "n_inst_dedup")
     return (
         pairs.select(dwa)
         .distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialised
 
 HOT_ROWS = 1_000_000
+_SECOND = "second"  # sets the second hash of a text apart
 _PID_SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -93,6 +94,36 @@ def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> Data
     )
 
 
+def text_hashes(text) -> list[Column]:
+    """Two independent 64-bit hashes of a text."""
+    text = F.col(text) if isinstance(text, str) else text
+    return [F.xxhash64(text).alias("__h"), F.xxhash64(F.lit(_SECOND), text).alias("__g")]
+
+
+def distinct_texts(rows: DataFrame, texts: DataFrame, keys: list[str], key: str, text: str, out: str) -> DataFrame:
+    """Number of distinct texts per ``keys`` of the rows, which name their text by ``key``.
+
+    Exact, and no text is moved: a text is hashed where it is read and stands for its
+    first hash as long as all its rows agree in the second.  Only if some do not, the
+    texts of those hashes are fetched and compared.
+    """
+    hashed = texts.select(key, *text_hashes(text))
+    pairs = skew_join(rows.select(*keys, key), hashed, [key])
+    seen = materialised(
+        pairs.groupBy(*keys, "__h").agg(F.min("__g").alias("__lo"), F.max("__g").alias("__hi"))
+    )
+    clear = seen.filter("__lo = __hi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if keys else (
+        seen.filter("__lo = __hi").agg(F.count(F.lit(1)).alias("__n")))
+    unclear = seen.filter("__lo <> __hi")
+    if not unclear.isEmpty():
+        again = pairs.join(unclear.select(*keys, "__h"), [*keys, "__h"], "left_semi")
+        full = again.join(texts.select(key, F.col(text).alias("__t")), key).select(*keys, "__t").distinct()
+        more = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        clear = clear.unionByName(more)
+        return clear.groupBy(*keys).agg(F.sum("__n").alias(out))
+    return clear.withColumnRenamed("__n", out)
+
+
 def hot_keys(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of salts they need.
 

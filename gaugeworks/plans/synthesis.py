@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import conversation as C
 from ..functions import labels as L
 from ..functions import templates
-from ..operators.scale import first_per_key, skew_join
+from ..operators.scale import skew_join
 from ..session import materialised
 from .asking import Ask, ask_column
 
@@ -37,34 +37,28 @@ def search(
 
     On each level queries are generated for the pending rows only and verified;
     the first passing one per row (by ``order``) is kept and the row leaves the
-    pool.  Each level is written once, so a level is never generated twice.
-    A verifier adds the boolean column it is told to.
+    pool.  Each level is one written table in which the kept rows are marked, so a
+    level is never generated twice; what is kept and what is pending are read off
+    these tables.  A verifier adds the boolean column it is told to.
     """
     if not verifiers:
         raise ValueError("the search needs a verifier")
-    pending = base
-    chosen, seen = [], []
+    base = materialised(base)
+    columns = [f"pass_{i}" for i in range(len(verifiers))]
+    first = F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc("passed_all"), *[F.col(o) for o in order]))
+    pending, seen = base, []
     for level in levels:
-        if pending.isEmpty():
-            break
-        made = generate(pending.withColumn("time_savings", F.lit(level)))
-        made = made.filter(F.col("query").isNotNull())
-        columns = [f"pass_{i}" for i in range(len(verifiers))]
+        made = generate(pending.withColumn("time_savings", F.lit(level))).filter(F.col("query").isNotNull())
         for verify, column in zip(verifiers, columns):
             made = verify(made, column)
         both = reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit(False)) for c in columns])
-        checked = materialised(made.withColumn("passed_all", both))
-        seen.append(checked)
-        good = materialised(
-            first_per_key(checked.filter("passed_all"), [row_id], [F.col(o) for o in order])
-        )
-        chosen.append(good)
-        pending = materialised(pending.join(good.select(row_id), row_id, "left_anti"))
-
-    def union(parts):
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        marked = made.withColumn("passed_all", both).withColumn("__kept", F.col("passed_all") & (first == 1))
+        seen.append(materialised(marked))
+        done = reduce(DataFrame.union, [part.filter("__kept").select(row_id) for part in seen])
+        pending = base.join(done, row_id, "left_anti")
 
-    return union(chosen), pending, union(seen)
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), seen)
+    return every.filter("__kept").drop("__kept"), pending, every.drop("__kept")
 
 
 def generate_backgrounds(

@@ -10,13 +10,16 @@ from ..operators.scale import first_per_key
 from ..session import materialised
 
 
-def write_predictions(df: DataFrame, base: str, *, mode: str = "append") -> None:
-    """Predictions by model, with the token log next to them."""
+def write_predictions(df: DataFrame, base: str, *, run: str = "0") -> None:
+    """Predictions by model, with the token log next to them.
+
+    A resumed job adds another ``run``; writing the same run again replaces it, so a
+    job that failed half way can simply be repeated.
+    """
     df = materialised(df)
-    df.select("idx", "convo_hash", "request_hash", "response", "error", "model").write.mode(mode).partitionBy(
-        "model"
-    ).json(f"{base}/predictions")
-    exchange.token_log(df).write.mode(mode).json(f"{base}/tokens")
+    lines = df.select("idx", "convo_hash", "request_hash", "response", "error", "model").withColumn("run", F.lit(run))
+    _replace(lines, ["model", "run"]).json(f"{base}/predictions")
+    _replace(exchange.token_log(df).withColumn("run", F.lit(run)), ["run"]).json(f"{base}/tokens")
 
 
 def write_export(merged: DataFrame, base: str, *, mode: str = "overwrite") -> None:
@@ -28,8 +31,9 @@ def write_export(merged: DataFrame, base: str, *, mode: str = "overwrite") -> No
     predictions.category_first(merged).write.mode(mode).json(f"{base}/categories")
 
 
-def write_judgments(df: DataFrame, base: str, *, mode: str = "append") -> None:
-    df.write.mode(mode).partitionBy("judge", "model").json(base)
+def write_judgments(df: DataFrame, base: str, *, run: str = "0") -> None:
+    """Judgments by judge and model; the same ``run`` written again replaces its rows."""
+    _replace(df.withColumn("run", F.lit(run)), ["judge", "model", "run"]).json(base)
 
 
 def write_round(df: DataFrame, base: str, *, round_idx: int, step: str) -> None:

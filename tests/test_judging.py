@@ -103,14 +103,14 @@ def test_logistic_matches_numpy(spark):
     df = spark.createDataFrame(data, "model string, scores double, f_length double").repartition(4)
     rows, names = W.design(df, ["f_length"], "base")
     assert names == ["a", "b", "base", "c", "f_length"]
-    fit = W.logistic_bootstrap(rows, names, n_bootstrap=3, seed=5)
+    fit = W.logistic_bootstrap(rows, names, baseline="base", n_bootstrap=3, seed=5)
     got = fit[fit["replicate"] == 0].set_index("name")["coef"]
     x = np.array([[m == "a", m == "b", -1, m == "c", f] for m, _, f in data], float)
     want = numpy_logit(x, np.array([s for _, s, _ in data]), np.ones(n))
     for i, m in enumerate(["a", "b", "base", "c"]):
         assert abs((got[m] - got["base"]) - (want[i] - want[2])) < 1e-6
     assert abs(got["f_length"] - want[4]) < 1e-6
-    again = W.logistic_bootstrap(rows, names, n_bootstrap=3, seed=5)
+    again = W.logistic_bootstrap(rows, names, baseline="base", n_bootstrap=3, seed=5)
     assert len(again) == 4 * 5 and fit[fit["replicate"] > 0]["coef"].std() > 0
 
 
