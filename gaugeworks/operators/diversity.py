@@ -1,8 +1,11 @@
 """Diverse rows of a group: TF-IDF vectors and farthest-first picks.
 
-Each pick is one distributed step for all groups together: every row keeps its
-smallest distance to the picks so far, the row with the largest one is the next
-pick.  No distance matrix is formed and no group has to fit into one task.
+Every row carries its smallest distance to the picks so far, the row with the
+largest one is the next pick, and a pick costs one distance per row: to the new pick
+alone.  Groups of up to ``GROUP_TERMS`` terms are picked in one task each, where an
+inverted index leads from the terms of the new pick to the rows that have them.
+Larger groups are picked in distributed steps, all together.  No distance matrix is
+formed and no group has to fit into one task.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +28,7 @@ from .scale import first_per_key, positions, skew_join, spread
 TOKEN = r"(?U)\b\w\w+\b"
 _DIGITS = 9  # equal texts must tie, whatever order their terms are summed in
 _SLICE_ROWS = 20_000
+GROUP_TERMS = 4_000_000  # terms of all rows of a group that one task holds
 
 
 def ngrams(text) -> Column:
@@ -167,65 +173,139 @@ def diverse_rows(
     whole = sized.filter(F.col("__n") <= k).withColumn("pick", F.lit(None).cast("int"))
     large = sized.filter((F.col("__n") > k) & ~F.col("__same"))
 
-    vectors = tfidf(
-        rows if fit == "corpus" else large, key, text, within=group if fit == "group" else ()
+    if fit == "group":  # counts are enough where the task sees the whole group
+        v = spread(large).select(key, *group, "__n", _count_terms(_term_ids(text)).alias("__c"))
+        v = v.select(key, *group, "__n", F.col("__c.terms").alias("terms"), F.col("__c.tf").cast("array<double>").alias("weights"))
+    else:
+        v = large.select(key, *group, "__n").join(tfidf(rows, key, text), key, "left")
+    v = materialised(v)
+    sizes = v.groupBy(*group).agg(
+        F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("__terms"), F.count(F.lit(1)).alias("__rows")
     )
-    # a large group is held in slices, each pick is sent to all of them
+    v = skew_join(v, sizes.drop("__rows"), group, null_equal=True, counts=sizes.select(*group, "__rows"))
+    picks = _picks_in_tasks(v.filter(F.col("__terms") <= GROUP_TERMS), group, key, k, fit == "group")
+    huge = v.filter(F.col("__terms") > GROUP_TERMS).drop("__terms")
+    if not huge.isEmpty():
+        if fit == "group":
+            texts = large.join(huge.select(key), key, "left_semi")
+            huge = texts.select(key, *group, "__n").join(tfidf(texts, key, text, within=group), key, "left")
+        picks = picks.union(_picks_in_steps(huge, group, key, k))
+    out = whole.unionByName(large.join(picks, key))
+    if fit == "group":
+        same = sized.filter((F.col("__n") > k) & F.col("__same"))
+        same = positions(same, group, [F.col(key)], "pick").filter(F.col("pick") < k)
+        out = out.unionByName(same.withColumn("pick", F.col("pick").cast("int")))
+    return out.drop("__n", "__same")
+
+
+def farthest_first(ids: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int) -> list[int]:
+    """Rows picked out of one group: unit vectors as (term, weight) between successive bounds.
+
+    Ties go to the first row.  Only rows that share a term with the new pick are
+    looked at; all others are at distance 1 of it.
+    """
+    n = len(bounds) - 1
+    terms, ids = np.unique(ids, return_inverse=True)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    all_rows = np.bincount(ids, weights, len(terms))
+    total = np.bincount(row, weights * all_rows[ids], n)
+    # a row without terms is at distance 1 of all others and 0 of itself
+    mean = np.where(np.diff(bounds) == 0, 1 - 1 / n, 1 - total / n)
+    by_term = np.argsort(ids, kind="stable")
+    starts = np.searchsorted(ids[by_term], np.arange(len(terms) + 1))
+    least, picks = np.full(n, np.inf), [int(np.round(mean, _DIGITS).argmax())]
+    while len(picks) < min(k, n):
+        new = slice(bounds[picks[-1]], bounds[picks[-1] + 1])
+        first, size = starts[ids[new]], np.diff(starts)[ids[new]]
+        met = by_term[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        likeness = np.bincount(row[met], weights[met] * np.repeat(weights[new], size), n)
+        least = np.minimum(least, np.round(1 - likeness, _DIGITS))
+        least[picks[-1]] = -np.inf
+        picks.append(int(least.argmax()))
+    return picks
+
+
+def _weighed(ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF weights within one group from the counts of its rows."""
+    n = len(bounds) - 1
+    _, inverse, found = np.unique(ids, return_inverse=True, return_counts=True)
+    weights = counts * (np.log((1 + n) / (1 + found[inverse])) + 1)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    return weights / np.sqrt(np.bincount(row, weights * weights, n))[row]
+
+
+def _picks_in_tasks(v: DataFrame, group: list[str], key: str, k: int, counted: bool) -> DataFrame:
+    """(key, pick) of groups whose rows one task holds."""
+    kind = v.schema[key].dataType.simpleString()
+    name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    rows = v.select(name.alias("__g"), key, "terms", "weights").repartition("__g").sortWithinPartitions("__g", key)
+
+    def chosen(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        sizes = np.array(pc.fill_null(pc.list_value_length(table["terms"]), 0))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        ids, weights = (np.asarray(pc.list_flatten(table[c])) for c in ("terms", "weights"))
+        if counted:
+            weights = _weighed(ids, weights, bounds)
+        at = farthest_first(ids, weights, bounds, k)
+        keys = table[key].combine_chunks().take(pa.array(at))
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.arange(len(at), dtype=np.int32))], [key, "pick"])
+
+    def run(batches):
+        held, own = [], None
+        for batch in batches:
+            names = batch.column("__g")
+            change = np.flatnonzero(~np.asarray(pc.equal(names[1:], names[:-1]))) + 1 if len(batch) > 1 else []
+            for a, b in zip([0, *change], [*change, len(batch)]):
+                if a == b:
+                    continue
+                if held and names[a].as_py() != own:
+                    yield chosen(held)
+                    held = []
+                own = names[a].as_py()
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield chosen(held)
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, pick int")
+
+
+def _picks_in_steps(v: DataFrame, group: list[str], key: str, k: int) -> DataFrame:
+    """(key, pick) of groups of any size, one distributed step per pick for all groups.
+
+    The smallest distances are carried from step to step in a narrow table; a group is
+    held in slices and the new pick is sent to all of them.
+    """
     slices = F.ceil(F.col("__n") / _SLICE_ROWS).cast("int")
-    v = large.select(
-        key, *group, "__n", slices.alias("__slices"),
-        F.pmod(F.xxhash64(key), slices).cast("int").alias("__slice"),
-    ).join(vectors, key, "left")
+    v = v.withColumn("__slices", slices).withColumn("__slice", F.pmod(F.xxhash64(key), slices).cast("int"))
     # partitioned once; the cache can be rebuilt from the written table
     held = (
         materialised(_mean_distance(materialised(v), group, key))
         .repartition(*group, "__slice")
         .persist()
     )
-    chosen, found = None, []
+    state, found = held.select(*group, key, F.round("__mean", _DIGITS).alias("__d")), []
     for i in range(k):
-        if chosen is None:
-            ranked = held.withColumn("__d", F.round("__mean", _DIGITS))
-        else:
-            cond = F.col("__slice") == F.col("__s")
-            for g in group:
-                cond = cond & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-            distances = [
-                F.round(1 - _dot("terms", "weights", f"__t{j}", f"__w{j}"), _DIGITS) for j in range(i)
-            ]
-            picked = F.array(*[F.col(f"__k{j}") for j in range(i)])
-            ranked = (
-                held.join(chosen, cond)
-                .filter(~F.array_contains(picked, F.col(key)))
-                .withColumn("__d", F.least(*distances) if i > 1 else distances[0])
-            )
         best = materialised(
-            first_per_key(
-                ranked.select(*group, key, "__slices", "terms", "weights", "__d"),
-                group, [F.desc("__d"), F.asc(key)],
-            )
+            first_per_key(state, group, [F.desc("__d"), F.asc(key)]).select(key, F.lit(i).alias("pick"))
         )
-        found.append(best.select(key, F.lit(i).alias("pick")))
-        one = best.select(
+        found.append(best)
+        if i == k - 1:
+            break
+        new = held.join(best.select(key), key, "left_semi")
+        new = new.select(
             *[F.col(g).alias(f"__g_{g}") for g in group],
             F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)).alias("__s"),
-            F.col(key).alias(f"__k{i}"),
-            F.col("terms").alias(f"__t{i}"),
-            F.col("weights").alias(f"__w{i}"),
+            F.col(key).alias("__pick"), F.col("terms").alias("__t"), F.col("weights").alias("__w"),
         )
-        on = [*[f"__g_{g}" for g in group], "__s"]
-        chosen = one if chosen is None else _join_null_safe(chosen, one, on)
+        cond = F.col("__slice") == F.col("__s")
+        for g in group:
+            cond = cond & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+        distance = F.round(1 - _dot("terms", "weights", "__t", "__w"), _DIGITS)
+        near = held.join(new, cond).filter(F.col(key) != F.col("__pick")).select(*group, key, distance.alias("__d"))
+        if i:
+            before = state.select(F.col(key).alias("__key"), F.col("__d").alias("__before"))
+            near = near.join(before, F.col(key) == F.col("__key")).select(*group, key, F.least("__d", "__before").alias("__d"))
+        state = materialised(near)
     held.unpersist()
-    picks = reduce(DataFrame.unionAll, found)
-    out = whole.unionByName(large.join(picks, key))
-    if fit == "group":
-        same = sized.filter((F.col("__n") > k) & F.col("__same"))
-        same = positions(same, group, [F.col(key)], "pick").filter(F.col("pick") < k)
-        out = out.unionByName(same.withColumn("pick", F.col("pick").cast("int")))
-    return out.drop("__n", "__same")
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({c: f"__x{c}" for c in on})
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__x{c}")) for c in on])
-    return left.join(renamed, cond).drop(*[f"__x{c}" for c in on])
+    return reduce(DataFrame.unionAll, found)
