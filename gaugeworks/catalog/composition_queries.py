@@ -8,7 +8,7 @@ from ..functions import conversation as C
 from ..operators import predictions as P
 from ..operators import rounds
 from ..operators.scale import positions
-from ..plans import asking, retrieval, scoring, synthesis
+from ..plans import asking, interviews, retrieval, scoring, synthesis
 from .exposure_queries import _EX, _EXAMPLE, examples
 from .plan_queries import _SEARCH, _people_xml
 from .registry import query
@@ -85,10 +85,40 @@ def search_by_prompts(t):
 
 
 @query("background_interviews", """
-    SELECT p_partkey, i AS respondent_pos, 'work of ' || p_brand || ' ' || (i + 1) AS job_title, i + 1 AS years_experience
+    SELECT p_partkey, i AS respondent_pos, 'work of ' || p_brand || ' ' || (i + 1) AS job_title, i + 1 AS years_experience,
+           'said ' || CASE WHEN (i + 1 + p_size) % 2 = 0 THEN 'Yes' ELSE 'no' END || ' by work of ' || p_brand || ' ' || (i + 1) AS result,
+           CASE WHEN (i + 1 + p_size) % 2 = 0 THEN 'yes' ELSE 'no' END AS score, CASE WHEN (i + 1 + p_size) % 2 = 0 THEN 1.0 ELSE CAST(0 AS DOUBLE) END AS beta
     FROM {part}, (SELECT unnest([0, 1]) AS i) WHERE p_brand NOT LIKE '%3'""")
 def background_interviews(t):
-    """Backgrounds asked once per brand and joined to all rows before the interview."""
+    """Backgrounds asked once per brand and joined to all rows, each of which is then interviewed and labelled."""
+    rows = t.part.filter("p_brand NOT LIKE '%3'").select("p_partkey", "p_brand", "p_size")
+    messages = [
+        {"role": "user", "content": "{job_title} for {years_experience} years, size {p_size}"},
+        {"role": "assistant", "content": {"system": "about {p_brand}"}},
+    ]
+
+    def ask(requests):
+        if requests.schema["prompt"].dataType.simpleString() == "string":
+            word = F.regexp_extract("prompt", "said ([A-Za-z]+)", 1)
+            return requests.select("request_hash", F.concat(F.lit("<answer>"), word, F.lit("</answer>")).alias("output"))
+        said = C.last_content("prompt")
+        number = lambda pattern: F.regexp_extract(said, pattern, 1).try_cast("int")
+        even = (number(r" for (\d+) years") + number(r"size (\d+)$")) % 2 == 0
+        text = F.concat(F.lit("said "), F.when(even, "Yes").otherwise("no"), F.lit(" by "), F.regexp_extract(said, "^(.*) for", 1))
+        return requests.select("request_hash", text.alias("output"))
+
+    out = interviews.score_backgrounds(
+        rows, ["p_brand"], "work of {p_brand}", asking.from_column(_people_xml), messages, ask, key="p_partkey",
+        categorise_template="label: {result}", taxonomy="interview_binary",
+    )
+    return out.select("p_partkey", "respondent_pos", "job_title", "years_experience", F.col("_result_1").alias("result"), "score", "beta")
+
+
+@query("background_rows_joined", """
+    SELECT p_partkey, i AS respondent_pos, 'work of ' || p_brand || ' ' || (i + 1) AS job_title, i + 1 AS years_experience
+    FROM {part}, (SELECT unnest([0, 1]) AS i) WHERE p_brand NOT LIKE '%3'""")
+def background_rows_joined(t):
+    """Backgrounds asked once per brand and joined to all rows; brands without one drop out."""
     rows = t.part.select("p_partkey", "p_brand", "p_size")
     out = synthesis.with_backgrounds(rows, ["p_brand"], "work of {p_brand}", asking.from_column(_people_xml))
     return out.select("p_partkey", "respondent_pos", "job_title", "years_experience")

@@ -9,8 +9,10 @@ from ..functions import conversation as C
 from ..functions import labels as L
 from ..functions import templates
 from ..operators import hierarchy as H
+from ..operators.scale import skew_join
 from ..session import materialised
 from .asking import Ask, ask_column
+from .synthesis import explode_backgrounds, generate_backgrounds
 
 RETRIES = 4
 
@@ -146,6 +148,26 @@ def run_interview_scoring(
     return categorise_result(df.drop("__base"), categorise_template, result, ask, taxonomy=taxonomy)
 
 
+def score_backgrounds(
+    rows: DataFrame, keys: list[str], template: str, background_ask: Ask, messages: list[dict], ask: Ask, *,
+    key: str, loops: int = 1, first_k: int | None = None, **options,
+) -> DataFrame:
+    """Interview and score every row once per respondent background of its task.
+
+    Backgrounds are asked for once per task.  A task without any is an error, since
+    its rows would be missing from the scores.
+    """
+    tasks = generate_backgrounds(rows.select(*keys).distinct(), template, background_ask, loops=loops, first_k=first_k)
+    people = tasks.withColumn(
+        "backgrounds",
+        F.when(F.size("backgrounds") > 0, F.col("backgrounds")).otherwise(
+            F.raise_error(F.concat(F.lit("no background for "), F.to_json(F.struct(*keys))))
+        ),
+    )
+    asked = skew_join(rows, explode_backgrounds(people), keys)
+    return run_interview_scoring(asked, messages, ask, key=key, **options)
+
+
 def responses_per_model(df: DataFrame, models: list[str], ask: Ask, convo: str = "convo_subset") -> DataFrame:
     """Response of every model to each conversation, one row per model."""
     rows = df.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
