@@ -14,8 +14,9 @@ a band with probability 0.52 and in none of the 32 bands once in ten billion.
 2. Every class meets the hub of each of its bands: the class whose bands are shared
    most.  So a group of near copies gives a link per member.
 3. Where the members of a band are not connected by now, those of different
-   components meet too, but only if they share one of their rarest shingles: no pair
-   at the similarity is without one, and most pairs of a group are.
+   components meet too, but only if they share one of the rarest shingles in which
+   they differ from the hub: no pair at the similarity is without one (see
+   ``differences``), and nearly all other pairs of a group are.
 
 Candidates whose corrected estimate is too low are dropped, the others are
 verified on the whole shingle sets.
@@ -229,8 +230,8 @@ def _ordered(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def hub_pairs(shared: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b): every class and the hubs of its bands.
+def met_hubs(shared: DataFrame) -> DataFrame:
+    """(key, class, n, hub, m, rows): every class and the hub of each of its bands.
 
     The hub of a band is the class whose bands are shared most, the one that a group
     of near copies comes from or the copy closest to it.
@@ -241,20 +242,22 @@ def hub_pairs(shared: DataFrame, least: tuple[int, int]) -> DataFrame:
         "key", F.col("class").alias("hub"), F.col("n").alias("m")
     )
     runs = shared.groupBy("key").agg(F.first("rows").alias("rows"))
-    met = skew_join(shared.select("key", "class", "n"), hubs, ["key"], counts=runs)
-    return met.filter("class <> hub").filter(_alike("n", "m", least)).select(*_ordered("class", "hub")).distinct()
+    met = skew_join(shared.select("key", "class", "n", "rows"), hubs, ["key"], counts=runs)
+    return materialised(met.filter("class <> hub"))
 
 
-def open_classes(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(class, component) of the classes that have a band in common with one of another component."""
+def open_groups(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, hub, component): classes that met a hub in a band whose other members are not all connected."""
     groups = components(links).withColumnRenamed("node", "class")
-    rows = shared.select("key", "class").join(groups, "class", "left")
+    # a band of two has nothing left to test
+    rows = met.filter("rows > 2").select("key", "class", "hub").join(groups, "class", "left")
     rows = materialised(rows.withColumn("component", F.coalesce("component", "class")))
     several = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")
     ).filter("lo <> hi")
-    return materialised(skew_join(rows, several.select("key"), ["key"], "left_semi", counts=several.select("key", "rows"))
-                        .select("class", "component").distinct())
+    several = materialised(several.select("key", "rows"))
+    kept = skew_join(rows, several.select("key"), ["key"], "left_semi", counts=several)
+    return materialised(kept.select("class", "hub", "component").distinct())
 
 
 def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -276,28 +279,70 @@ def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: in
     return materialised(sets.select("class", "hashes").dropDuplicates(["class"]))
 
 
+def differences(opened: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(hub, class, component, linked, short, long, h): how each class differs from its hub, in few shingles.
+
+    Let e be the shingles that only one of class and hub has, and c = (1 - t) / (1 + t):
+    two sets have similarity t if they differ in c of their sizes or less, so what they
+    differ from the hub in must overlap.  If one of them is not linked to the hub,
+    more than (e + c (hub - own)) / 2 of the other's differences are shared; if the
+    other is linked, so are e - c (1 + 1/t) own of its own.  As in every prefix filter
+    the first e - overlap + 1 differences under a common order then have one in common.
+    ``short`` and ``long`` are these lengths for the two cases.
+    """
+    t = least[0] / least[1]
+    c = (1 - t) / (1 + t)
+    both = opened.join(sets.toDF("class", "x"), "class").join(sets.toDF("hub", "y"), "hub")
+
+    def run(batches):
+        for batch in batches:
+            linked, short, long, found = [], [], [], []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                own = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(own)) // 2
+                linked.append(common * least[1] >= (len(x) + len(y) - common) * least[0])
+                strict = np.floor((len(own) + c * (len(y) - len(x))) / 2 - 1e-9) + 1
+                loose = np.ceil(len(own) - c * (1 + 1 / t) * len(x) - 1e-9)
+                short.append(len(own) - int(max(1, strict)) + 1)
+                long.append(len(own) - int(max(1, loose)) + 1)
+                found.append(own)
+            offsets = np.concatenate(([0], np.cumsum([len(o) for o in found]))).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in ("hub", "class", "component", "n")], pa.array(linked, pa.bool_()),
+                 pa.array(short, pa.int64()), pa.array(long, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                ["hub", "class", "component", "n", "linked", "short", "long", "own"],
+            )
+
+    schema = "hub bigint, class bigint, component bigint, n bigint, linked boolean, short bigint, long bigint, own array<bigint>"
+    rows = both.withColumn("n", F.size("x").cast("bigint")).mapInArrow(run, schema)
+    return rows.withColumn("size", F.size("own")).withColumn("h", F.explode("own")).drop("own")
+
+
 def cross_pairs(opened: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b): open classes of different components that can have the similarity.
+    """(a, b): classes of different components that met one hub and can have the similarity.
 
-    Sets of n shingles at similarity t share one of the first n - ceil(t n) + 1 under
-    any order of all shingles; here the rarest come first.  So a copy with changes
-    of its own meets nothing by what is common to its group.
+    They share one of their first differences from the hub, the rarest first.  So a
+    copy with changes of its own meets nothing by what is common to its group.
     """
-    tokens = sets.select("class", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    often = materialised(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
-    held = materialised(skew_join(tokens, often, ["h"], counts=often))
-    # shingles of one class alone come first and meet nothing
-    common = held.groupBy("class").agg(F.count(F.lit(1)).alias("common"))
-    least_first = F.row_number().over(Window.partitionBy("class").orderBy("rows", "h"))
-    reach = F.col("n") - F.ceil(F.col("n") * least[0] / least[1]) + 1 - (F.col("n") - F.col("common"))
-    first = held.join(common, "class").withColumn("at", least_first).filter(F.col("at") <= reach).select("class", "n", "h")
-    first = first.join(opened, "class")
-    several = first.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    several = materialised(several.filter("lo <> hi").select("h", "rows"))
-    first = materialised(skew_join(first, several.select("h"), ["h"], "left_semi", counts=several))
-    other = first.select("h", F.col("class").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    both = first.join(other, "h").filter("class > other and component <> apart").filter(_alike("n", "m", least))
-    return both.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
+    tokens = materialised(differences(opened, sets, least))
+    often = materialised(tokens.groupBy("hub", "h").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).filter("rows > 1"))
+    held = skew_join(tokens, often, ["hub", "h"], counts=often.select("hub", "h", "rows"))
+    own = Window.partitionBy("hub", "class")
+    # differences of one class alone come first and meet nothing
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    at = F.row_number().over(own.orderBy("rows", "h")) + alone
+    first = held.withColumn("at", at).filter("at <= IF(linked, short, long) and lo <> hi")
+    first = materialised(first.select("hub", "h", "class", "component", "n", "linked", "at", "short"))
+    other = first.toDF("hub", "h", "other", "apart", "m", "linked_too", "at_too", "short_too")
+    two_free = "not linked and not linked_too and class > other and at <= short and at_too <= short_too"
+    both = first.join(other, ["hub", "h"]).filter(
+        (F.col("component") != F.col("apart")) & F.expr(f"(({two_free}) or (linked and not linked_too))")
+    ).filter(_alike("n", "m", least))
+    return both.select(*_ordered("class", "other")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -339,13 +384,14 @@ def class_components(
     classes: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], more: DataFrame | None = None
 ) -> DataFrame:
     """(class, component) of the classes that are linked; ``more`` are further candidates (a, b)."""
-    shared = shared_bands(classes)
-    first = hub_pairs(shared, least)
+    met = met_hubs(shared_bands(classes))
+    first = met.filter(_alike("n", "m", least)).select(*_ordered("class", "hub")).distinct()
     first = likely(first if more is None else first.union(more).distinct(), classes, least)
     either = first.select(F.col("a").alias("class")).union(first.select("b"))
     links = verified(first, whole_sets(either, classes, docs, words), least)
-    opened = open_classes(shared, links)
-    sets = whole_sets(opened, classes, docs, words)
+    opened = open_groups(met, links)
+    either = opened.select("class").union(opened.select("hub"))
+    sets = whole_sets(either, classes, docs, words)
     rest = likely(cross_pairs(opened, sets, least), classes, least)
     return components(links.union(verified(rest, sets, least))).withColumnRenamed("node", "class")
 
