@@ -85,6 +85,13 @@ def topk_shard_merge(t):
     return _top_k(t, t.embeddings.repartition(7, "vec_id"), block_bytes=2048)
 
 
+@query("topk_scored_share", "SELECT true AS some_skipped, (SELECT count(DISTINCT label) FROM {embeddings}) * count(*) AS pairs FROM {embeddings}")
+def topk_scored_share(t):
+    """Whether bounds let the search skip vectors, and of how many pairs."""
+    share = similarity.scored_share(category_vectors(t), t.embeddings, K, query_keys=["label"], vector_id="vec_id")
+    return share.select((F.col("scored") < F.col("pairs")).alias("some_skipped"), "pairs")
+
+
 @query("category_text", """
     SELECT p_partkey, 'Task: ' || p_name || chr(10) || 'Occupation: ' || p_brand AS headings,
            p_name || chr(10) || p_brand AS plain FROM {part}""")

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from gaugeworks.operators import hierarchy, ids, pairwise, scale
+from gaugeworks.operators import hierarchy, ids, pairwise, scale, similarity
 from gaugeworks.operators import conversations as conv_ops
 from gaugeworks.sources import readers, sinks
 from pyspark.sql import functions as F
@@ -113,3 +113,33 @@ def test_many_models_and_small_chunks(spark, monkeypatch, chunk):
     gap = 1 / (1 + np.exp(-z)) - data["y"]
     assert np.allclose(x.T @ gap + 0.1 * own[names[-x.shape[1]:]].to_numpy(), 0, atol=1e-6)
     assert abs(-gap.sum() + 0.1 * own["base"]) < 1e-6
+
+
+def test_search_skips_far_cells_and_stays_exact(spark, monkeypatch):
+    """Clustered vectors in small segments, several query states and scans; ties at the k-th place."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 6)) * 5
+    v = (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 6)) / 10).astype(np.float32)
+    v[100:130] = v[7]
+    q = np.vstack([centres + 0.1, rng.normal(size=(15, 6)), v[7:8].astype(float)])
+    qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "c int, embedding array<double>")
+    vs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "instance_idx bigint, embedding array<float>").repartition(3)
+    sims = np.round(q @ v.astype(float).T, 12)
+    want = {(i, r, int(j)) for i, s in enumerate(sims) for r, j in enumerate(np.lexsort((np.arange(len(v)), -s))[:9])}
+    for segment, state, block in ((1 << 27, 1 << 28, 1 << 28), (20_000, 16 * 4114 * 10, 1 << 28), (20_000, 1 << 28, 700)):
+        monkeypatch.setattr(similarity, "SEGMENT_BYTES", segment)
+        monkeypatch.setattr(similarity, "STATE_BYTES", state)
+        found = similarity.top_k(qs, vs, 9, query_keys=["c"], block_bytes=block)
+        assert {(r["c"], r["rank_idx"], r["instance_idx"]) for r in found.collect()} == want
+    monkeypatch.setattr(similarity, "SEGMENT_BYTES", 1 << 27)
+    share = similarity.scored_share(qs, vs, 9, query_keys=["c"]).first()
+    assert share["pairs"] == len(q) * len(v) and share["scored"] < share["pairs"] / 2
+
+
+def test_many_queries_share_one_scan(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(50, 4)))], "instance_idx bigint, embedding array<double>").write.parquet(f"{tmp_path}/v")
+    qs = spark.createDataFrame(pd.DataFrame({"c": range(20_000), "embedding": [x.tolist() for x in rng.normal(size=(20_000, 4))]}))
+    out = similarity.top_k(qs, spark.read.parquet(f"{tmp_path}/v"), 3, query_keys=["c"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == 60_000
