@@ -2,9 +2,9 @@
 
 Nodes are three words that follow one another in a piece of text, edges four.
 Every word position gives one row: the edge that starts there or, at the end of a
-piece, what is left of it.  So the edges and these ends hold all shorter counts:
+piece, what is left of it.  So the edges and these ends hold the shorter counts:
 a node has the flow of the edges that leave it plus the pieces that end with it,
-two words that of the nodes they begin plus their ends, one word likewise.
+two words that of the nodes they begin plus their ends.
 
 A word of fewer than ``least`` occurrences is in no phrase that counts, so pieces are
 cut at such words.  Tasks know them by a bit table of fixed size; a word that is
@@ -33,6 +33,7 @@ ORDER = 4  # words of an edge
 TOP = 2000
 SCALE = 2_000_000
 SHARE = 80  # percent of a phrase's occurrences that lie in one longer phrase
+HOT_SHARE, SALTS = 1024, 64  # a word is hot beyond one in so many; parts of a pair of hot words
 BITS = 1 << 26  # of the bit table of frequent words, 8 MB
 _SEED = 42  # of xxhash64 in Spark SQL
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -112,26 +113,40 @@ def frequent_bits(words: DataFrame, least: int) -> np.ndarray:
     return np.packbits(table, bitorder="little")
 
 
-def edges(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, node, last, n): edges as their first three words and the last; ends of pieces without a last word.
+def hot_words(words: DataFrame) -> list[tuple[str, str]]:
+    """(lang, word) of the words that are more than one in ``HOT_SHARE`` of all: at most that many."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return [(r.lang, r.word) for r in words.filter(F.col("n") * HOT_SHARE > total).select("lang", "word").collect()]
 
-    Equal rows of a slice are one.  An end has up to three words.
+
+def edges(docs: DataFrame, bits: np.ndarray, hot: list[tuple[str, str]]) -> DataFrame:
+    """(part, key, n): edges, and what is left of them at the end of a piece.
+
+    A key has a language, the first two words, the third and the fourth, one per line;
+    the last two may be empty.  Equal rows of a slice are one.  Keys that agree in the
+    first two words have the same ``part``; those of two hot words are dealt
+    out further by their third.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast((bits, frozenset(hot)))
 
     def run(batches):
-        table = shared.value
+        table, often = shared.value
         for batch, texts in slices(batches):
             names, lang = _languages(batch)
             words = Words(texts)
-            seeds = [xxhash.xxh64_intdigest(x.encode(), _SEED) for x in names]
             own = lang[words.text]
-            keep = np.zeros(len(words.ids), bool)
-            for k, seed in enumerate(seeds):
-                place = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.distinct), np.uint64, len(words.distinct))
-                place = (place.view(np.int64) % BITS).astype(np.int64)
+            none = len(words.distinct)
+            keep, busy = np.zeros(len(words.ids), bool), np.zeros(len(words.ids), bool)
+            hashed = np.zeros((len(names), none), np.uint64)
+            for k, name in enumerate(names):
+                seed = xxhash.xxh64_intdigest(name.encode(), _SEED)
+                hashed[k] = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.distinct), np.uint64, none)
+                place = hashed[k].view(np.int64) % BITS
                 known = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
                 keep |= known[words.ids] & (own == k)
+                hot_here = {w.encode() for x, w in often if x == name}
+                if hot_here:
+                    busy |= np.fromiter((w in hot_here for w in words.distinct), bool, none)[words.ids] & (own == k)
             held = np.flatnonzero(keep)
             n = len(held)
             if not n:
@@ -139,57 +154,123 @@ def edges(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             piece = words.piece[held]
             breaks = np.flatnonzero(np.concatenate(([True], (np.diff(held) > 1) | (np.diff(piece) > 0))))
             left = np.repeat(np.append(breaks[1:], n), np.diff(np.append(breaks, n))) - np.arange(n)
-            size = np.minimum(left, ORDER)
-            none = len(words.distinct)
+            at = np.flatnonzero(left > 1)  # a word alone begins no phrase
+            if not len(at):
+                continue
+            size = np.minimum(left[at], ORDER)
             ids = np.concatenate((words.ids[held], np.full(ORDER, none)))
-            each = [np.where(size > k, ids[k: k + n], none) for k in range(ORDER)]
+            each = [np.where(size > k, ids[at + k], none) for k in range(ORDER)]
             pairs = np.concatenate((each[0] * (none + 1) + each[1], each[2] * (none + 1) + each[3]))
             distinct, dense = np.unique(pairs, return_inverse=True)
-            code = (dense[:n] * len(distinct) + dense[n:]) * len(names) + own[held]
+            code = (dense[: len(at)] * len(distinct) + dense[len(at):]) * len(names) + own[held[at]]
             _, first, count = np.unique(code, return_index=True, return_counts=True)
-            size = size[first]
-            start = held[first]
-            node = words.spans(words.at[start], words.end[start + np.minimum(size, ORDER - 1) - 1])
-            full = size == ORDER
-            at = np.where(full, start + ORDER - 1, 0)
-            last = words.spans(words.at[at], np.where(full, words.end[at], words.at[at]))
-            last = pc.if_else(pa.array(full), last, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()).take(pa.array(own[start])), node, last, pa.array(count)],
-                ["lang", "node", "last", "n"],
-            )
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, node string, last string, n bigint")
-
-
-def _first(phrase: str, words: int) -> Column:
-    return F.substring_index(phrase, " ", words)
-
+            size, start = size[first], held[at[first]]
+            value = hashed[own[start], words.ids[start]] * np.uint64(3) ^ hashed[own[start], words.ids[start + 1]]
+            salted = busy[start] & busy[start + 1] & (size > 2)
+            third = np.where(size > 2, start + 2, start)
+            value = np.where(salted, value ^ (hashed[own[start], words.ids[third]] % np.uint64(SALTS) + np.uint64(1)), value)
+            part = (value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            head = words.spans(words.at[start], words.end[start + 1])
+            rest = []
+            for k in (2, 3):
+                there = np.where(size > k, start + k, 0)
+                rest.append(words.spans(words.at[there], np.where(size > k, words.end[there], words.at[there])))
+            label = pa.array(names, pa.string()).take(pa.array(own[start]))
+            key = pc.binary_join_element_wise(label, head, *rest, "\n")
+            yield pa.RecordBatch.from_arrays([pa.array(part), key, pa.array(count)], ["part", "key", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "part int, key string, n bigint")
+
+
+def _flows(least: int, hot: frozenset):
+    """Sums over a stream sorted by part and key: edges, nodes and pairs that occur ``least`` times.
+
+    A node has the flow of its edges and the ends with it, a pair that of its nodes and
+    its ends.  Pairs of two hot words are given as parts of a sum.
+    """
 
-def _flow() -> Column:
-    """What leaves by edges and what ends here."""
-    out, ends = F.when(F.col("last").isNotNull(), F.col("n")), F.when(F.col("last").isNull(), F.col("n"))
-    return F.coalesce(F.sum(out), F.lit(0)) + F.coalesce(F.sum(ends), F.lit(0))
+    def run(batches):
+        pending: dict[int, tuple] = {}
+
+        def given(rows):
+            lang, phrase, size, n, part = zip(*rows) if rows else ((), (), (), (), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64()),
+                 pa.array(part, pa.bool_())], ["lang", "phrase", "size", "n", "part"])
+
+        def result(size, words, n):
+            lang, head, third, last = words
+            whole = size == 2 and all((lang, w) in hot for w in head.split(" "))
+            if whole or n >= least and (size < 3 or third) and (size < 4 or last):
+                phrase = " ".join([head, third, last][: size - 1])
+                return [(lang, phrase, size, int(n), whole)]
+            return []
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            parts = pc.list_flatten(pc.split_pattern(batch.column("key"), "\n"))
+            columns = [parts.take(pa.array(np.arange(k, len(parts), 4))) for k in range(4)]
+            n = batch.column("n").to_numpy()
+            part = batch.column("part").to_numpy()
+            change = np.zeros(len(batch) - 1, bool)
+            out = []
+            change |= np.diff(part) != 0
+            for size, upto in ((2, (0, 1)), (3, (2,)), (4, (3,))):
+                for k in upto:
+                    change = change | np.asarray(pc.not_equal(columns[k][1:], columns[k][:-1]))
+                starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+                sums = np.add.reduceat(n, starts)
+
+                def words_at(i, size=size):
+                    return tuple(columns[k][int(i)].as_py() if k < size else "" for k in range(4))
+
+                first = (int(part[0]), words_at(0))
+                if size in pending:
+                    before, total = pending[size]
+                    if before == first:
+                        sums[0] += total
+                    else:
+                        out += result(size, before[1], total)
+                pending[size] = ((int(part[-1]), words_at(starts[-1])), int(sums[-1]))
+                wanted = sums[:-1] >= least
+                if size == 2 and hot and len(wanted):
+                    wanted |= _both_hot(columns, starts[:-1], hot)
+                for g in np.flatnonzero(wanted):
+                    out += result(size, words_at(starts[g]), sums[g])
+            yield given(out)
+        yield given([r for size, (key, total) in pending.items() for r in result(size, key[1], total)])
+
+    return run
+
+
+def _both_hot(columns: list[pa.Array], starts: np.ndarray, hot: frozenset) -> np.ndarray:
+    """Whether the pairs at these rows are of two hot words."""
+    lang, head = (c.take(pa.array(starts)) for c in columns[:2])
+    words = pc.split_pattern(head, " ")
+    known = pa.array(sorted(f"{x}\n{w}" for x, w in hot), pa.string())
+    both = [pc.is_in(pc.binary_join_element_wise(lang, pc.list_element(words, k), "\n"), known) for k in (0, 1)]
+    return np.asarray(pc.and_(*both))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, n) of all phrases of up to four words that occur often enough, (lang, n) of all words)."""
     words = materialised(word_counts(docs))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = edges(docs, frequent_bits(words, least))
-    # one shuffle by node serves edges and nodes
-    dealt = rows.repartition("lang", "node")
-    spaces = F.length("node") - F.length(F.replace("node", F.lit(" "), F.lit("")))
-    four = dealt.groupBy("lang", "node", "last").agg(F.sum("n").alias("n")).filter("last is not null")
-    four = four.select("lang", F.concat_ws(" ", "node", "last").alias("phrase"), F.lit(4).alias("size"), "n")
-    three = dealt.groupBy("lang", "node").agg(_flow().alias("n")).filter(spaces == 2)
-    three = three.select("lang", F.col("node").alias("phrase"), F.lit(3).alias("size"), "n")
-    head = dealt.groupBy("lang", _first("node", 2).alias("head")).agg(_flow().alias("n"))
-    two = head.filter(F.instr("head", " ") > 0).select("lang", F.col("head").alias("phrase"), F.lit(2).alias("size"), "n")
-    one = head.groupBy("lang", _first("head", 1).alias("phrase")).agg(F.sum("n").alias("n"))
-    one = one.select("lang", "phrase", F.lit(1).alias("size"), "n")
-    found = four.union(three).union(two).union(one).filter(F.col("n") >= least)
-    return materialised(found), totals
+    hot = hot_words(words)
+    rows = edges(docs, frequent_bits(words, least), hot)
+    # one shuffle: all that begins with the same two words meets in order
+    dealt = rows.repartition("part").sortWithinPartitions("part", "key")
+    schema = "lang string, phrase string, size int, n bigint, part boolean"
+    found = materialised(dealt.mapInArrow(_flows(least, frozenset(hot)), schema))
+    shared = found.filter("part").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    # single words were counted for the bit table
+    one = words.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
+    return materialised(found.filter("not part").drop("part").union(shared).union(one)), totals
+
+
+def _first(phrase: str, words: int) -> Column:
+    return F.substring_index(phrase, " ", words)
 
 
 def paths(counts: DataFrame) -> DataFrame:

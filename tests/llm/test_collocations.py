@@ -64,8 +64,11 @@ def test_against_counting(spark):
     assert run(spark, rows) == want
 
 
-def test_small_bit_table_changes_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("share", [1024, 30, 1])
+def test_small_bit_table_and_hot_words_change_nothing(spark, monkeypatch, share):
     monkeypatch.setattr(C, "BITS", 1 << 15)
+    monkeypatch.setattr(C, "HOT_SHARE", share)
+    monkeypatch.setattr(C, "SALTS", 5)
     rows = corpus(2, 80)
     assert run(spark, rows, least=5, top=40) == reference(rows, 5, 40)
 
