@@ -40,7 +40,9 @@ def test_stages(spark, folder):
     assert sum(k in seen["quality"] for k in range(300)) >= 290
     lines = seen["line_dedup"]
     assert passage in lines[2000] and not any(passage in lines[k] for k in range(2001, 2010))
-    assert [k for k in range(4000, 4004) if k in seen["near_duplicates"]] == [4000]
+    # line dedup has taken what the near copies share; the stage for itself is tested with near_copies
+    near = seen["near_duplicates"]
+    assert 4000 in near and all(len(near.get(k) or "") < len(near[4000]) / 2 for k in range(4001, 4004))
     assert not any(item in (t or "") for t in seen["decontamination"].values())
     assert sum(k in seen["decontamination"] for k in range(300)) >= 290
     packed = docs.collect()
