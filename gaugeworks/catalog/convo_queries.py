@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import conversation as C
 from ..operators import conversations as ops
 from ..operators import ids as idspace
+from ..session import checkpoint_folder
 from .registry import Inputs, query
 
 _NL2 = "chr(10) || chr(10)"
@@ -273,16 +276,7 @@ def range_lookup(t):
     return idspace.lookup(wanted, _ranges(t), shard_size=20)
 
 
-@query("fetch_instances", f"""
-    WITH sizes AS (SELECT 'set ' || conv_id % 3 AS dset_name, count(DISTINCT conv_id) AS n FROM {{turns}} GROUP BY 1),
-    offsets AS (SELECT dset_name, coalesce(sum(n) OVER (ORDER BY dset_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM sizes),
-    texts AS (SELECT 'set ' || conv_id % 3 AS dset_name, conv_id, string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, {_NL2} ORDER BY turn) AS rendered
-              FROM {{turns}} GROUP BY conv_id),
-    ids AS (SELECT *, CAST(o + row_number() OVER (PARTITION BY dset_name ORDER BY conv_id) - 1 AS BIGINT) AS instance_idx FROM texts JOIN offsets USING (dset_name))
-    SELECT event_id, user_id AS instance_idx, dset_name, CASE dset_name WHEN 'set 1' THEN 'Human: ' ELSE rendered END AS rendered
-    FROM {{events}} LEFT JOIN ids ON user_id = instance_idx""")
-def fetch_instances(t):
-    """Conversation per wanted id; one dataset is ignored and gets a placeholder."""
+def _fetch_inputs(t):
     convos = _convos(t).select(
         F.concat(F.lit("set "), (F.col("conv_id") % 3).cast("string")).alias("dset_name"),
         F.col("conv_id").alias("local_id"), "convo",
@@ -295,9 +289,38 @@ def fetch_instances(t):
         .join(firsts, "dset_name")
         .select("dset_name", (F.col("instance_idx") - F.col("first")).alias("local_idx"), "convo")
     )
-    wanted = t.events.select("event_id", F.col("user_id").alias("instance_idx"))
+    return t.events.select("event_id", F.col("user_id").alias("instance_idx")), ranges, corpus
+
+
+_FETCH = f"""
+    WITH sizes AS (SELECT 'set ' || conv_id % 3 AS dset_name, count(DISTINCT conv_id) AS n FROM {{turns}} GROUP BY 1),
+    offsets AS (SELECT dset_name, coalesce(sum(n) OVER (ORDER BY dset_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM sizes),
+    texts AS (SELECT 'set ' || conv_id % 3 AS dset_name, conv_id, string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, {_NL2} ORDER BY turn) AS rendered
+              FROM {{turns}} GROUP BY conv_id),
+    ids AS (SELECT *, CAST(o + row_number() OVER (PARTITION BY dset_name ORDER BY conv_id) - 1 AS BIGINT) AS instance_idx FROM texts JOIN offsets USING (dset_name))
+    SELECT event_id, user_id AS instance_idx, dset_name, CASE dset_name WHEN 'set 1' THEN 'Human: ' ELSE rendered END AS rendered
+    FROM {{events}} LEFT JOIN ids ON user_id = instance_idx"""
+
+
+def _fetched(wanted, ranges, corpus):
     got = idspace.fetch(
         wanted, ranges, corpus, ignored=["set 1"],
         placeholder=F.array(C.turn("user", F.lit(""))), shard_size=100,
     )
     return got.select("event_id", "instance_idx", "dset_name", C.render("convo").alias("rendered"))
+
+
+@query("fetch_instances", _FETCH)
+def fetch_instances(t):
+    """Conversation per wanted id; one dataset is ignored and gets a placeholder."""
+    return _fetched(*_fetch_inputs(t))
+
+
+@query("fetch_from_parts", _FETCH)
+def fetch_from_parts(t):
+    """The same from a corpus laid out in folders, of which only those with a wanted id are read."""
+    wanted, ranges, corpus = _fetch_inputs(t)
+    place = f"{checkpoint_folder(t.spark)}/corpus-{uuid.uuid4().hex}"
+    idspace.write_corpus(corpus, place)
+    return _fetched(wanted, ranges, t.spark.read.parquet(place))
+

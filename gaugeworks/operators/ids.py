@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialised
 from .scale import positions, skew_join
 
 SHARD_SIZE = 250_000
+PART, PART_IDS = "id_part", 1 << 16  # folder column of a laid out corpus, local indices of a folder
+WANTED_IDS = 200_000  # of names and indices, some 10 MB
 BUCKET_IDS = 1 << 16  # local indices counted together
 
 
@@ -127,6 +130,34 @@ def require_known(df: DataFrame, column: str = "dset_name") -> DataFrame:
     )
 
 
+def part_of(local) -> Column:
+    """Folder of a local index in a corpus laid out by ranges of them."""
+    return F.floor(F.col(local) / F.lit(PART_IDS)).cast("bigint")
+
+
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """A corpus in folders by dataset and range of local indices, for fetches that read a few of them."""
+    parts = corpus.withColumn(PART, part_of("local_idx"))
+    parts.repartition("dset_name", PART).write.mode("overwrite").partitionBy("dset_name", PART).parquet(path)
+
+
+def _wanted_parts(located: DataFrame, corpus: DataFrame, ignored: list[str]) -> DataFrame:
+    """Conversations of the wanted ids, read from their folders only.
+
+    The folders are named on the driver: there are no more than the corpus has.
+    """
+    keys = located.filter(F.col("dset_name").isNotNull())
+    if ignored:
+        keys = keys.filter(~F.col("dset_name").isin(*ignored))
+    keys = materialised(keys.select("dset_name", "local_idx").distinct())
+    folders = keys.select("dset_name", part_of("local_idx").alias("p")).distinct().collect()
+    sets, parts = sorted({r[0] for r in folders}), sorted({r[1] for r in folders})
+    read = corpus.filter(F.col("dset_name").isin(sets) & F.col(PART).isin(parts)).select("dset_name", "local_idx", "convo")
+    if keys.count() <= WANTED_IDS:
+        keys = F.broadcast(keys)
+    return read.join(keys, ["dset_name", "local_idx"], "left_semi")
+
+
 def fetch(
     ids: DataFrame,
     ranges: DataFrame,
@@ -140,12 +171,18 @@ def fetch(
     """Attach the conversation to each id, with duplicates and any order column.
 
     A conversation wanted by very many rows is joined with salted keys.  Rows of
-    ignored datasets get the placeholder instead.
+    ignored datasets get the placeholder instead.  Of a corpus that ``write_corpus``
+    has laid out only the folders with a wanted id are read, and up to ``WANTED_IDS``
+    wanted ids meet it without moving it.
     """
     located = lookup(ids, ranges, idx=idx, shard_size=shard_size)
-    wanted = corpus.select("dset_name", "local_idx", "convo")
-    if ignored:
-        wanted = wanted.filter(~F.col("dset_name").isin(*ignored))
+    if PART in corpus.columns:
+        located = materialised(located)
+        wanted = _wanted_parts(located, corpus, ignored or [])
+    else:
+        wanted = corpus.select("dset_name", "local_idx", "convo")
+        if ignored:
+            wanted = wanted.filter(~F.col("dset_name").isin(*ignored))
     out = skew_join(located, wanted, ["dset_name", "local_idx"], "left")
     if ignored and placeholder is not None:
         out = out.withColumn(

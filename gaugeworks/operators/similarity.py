@@ -31,7 +31,7 @@ _SCORES_AT_ONCE = 4_000_000
 _STEP = 4096
 STATE_BYTES = 256 * 1024 * 1024  # similarities and ids a task holds for a block
 SEGMENT_BYTES = 128 * 1024 * 1024  # vectors a task sorts into cells at once
-_CELLS, _CELL_ROWS = 256, 32  # cells of a segment at most, rows of a cell on average at least
+_CELLS, _CELL_ROWS = 256, 8  # cells of a segment at most, rows of a cell on average at least
 _SLACK = 1e-9  # of a bound, for rounding
 _DIGITS = 12  # copies of a vector must tie, whatever order they are summed in
 
