@@ -125,6 +125,39 @@ def structured_responses(t):
     return t.events.select("event_id", X.structured(raw, "k BIGINT")["k"].alias("k"))
 
 
+def _answers(t):
+    e = F.col("event_id")
+    good = F.format_string('{"k": %d, "inner": {"x": %s, "name": "n"}}', e % 7, F.when(e % 2 == 0, "1.5").otherwise("2"))
+    text = F.when(e % 6 == 0, F.lit('{"k": 1')).when(e % 6 == 1, F.lit('{"k": "one", "inner": {"x": 1}}')).when(
+        e % 6 == 2, F.lit('{"k": 3, "inner": {"x": null}}')).when(e % 11 == 3, F.lit(None)).otherwise(good)
+    return t.events.select("event_id", text.alias("output"))
+
+
+_FIELDS = {"$.k": "bigint", "$.inner.x": "double"}
+
+
+@query("structured_variant", """
+    SELECT event_id, CASE WHEN event_id % 6 = 2 THEN 3 WHEN event_id % 6 > 2 AND event_id % 11 <> 3 THEN event_id % 7 END AS k,
+           CASE WHEN event_id % 6 = 1 THEN 1.0 WHEN event_id % 6 > 2 AND event_id % 11 <> 3 THEN CASE WHEN event_id % 2 = 0 THEN 1.5 ELSE 2.0 END END::DOUBLE AS x,
+           CASE WHEN event_id % 6 = 2 OR event_id % 6 = 1 OR event_id % 6 = 0 OR event_id % 11 = 3 THEN NULL ELSE 'n' END AS name
+    FROM {events}""")
+def structured_variant(t):
+    """One parse of a response, read by two schemas."""
+    rows = _answers(t).select("event_id", F.try_parse_json(F.col("output")).alias("v"))
+    numbers, _ = X.structured_fields(F.col("v"), _FIELDS)
+    names, _ = X.structured_fields(F.col("v"), {"$.inner.name": "string"})
+    return rows.select("event_id", numbers["$.k"].alias("k"), numbers["$.inner.x"].alias("x"), names["$.inner.name"].alias("name"))
+
+
+@query("response_errors", """
+    SELECT error, count(*) AS n FROM (
+        SELECT CASE WHEN event_id % 6 = 0 OR (event_id % 6 > 2 AND event_id % 11 = 3) THEN '$: no JSON' WHEN event_id % 6 = 1 THEN '$.k: string'
+                    WHEN event_id % 6 = 2 THEN '$.inner.x: missing' END AS error FROM {events}) WHERE error IS NOT NULL GROUP BY error""")
+def response_errors(t):
+    """Failing responses counted by the path that fails."""
+    return X.errors_by_path(_answers(t), "output", _FIELDS)
+
+
 @query("moderation_flags", """
     SELECT event_id, event_id % 3 = 0 AS flagged, event_id % 6 = 0 AS violence, round(value / 100, 6) AS violence_score FROM {events}""")
 def moderation_flags(t):

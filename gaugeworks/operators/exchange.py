@@ -149,6 +149,37 @@ def structured(output, schema: str) -> Column:
     return F.when(parsed["_corrupt"].isNull() & output.isNotNull(), parsed)
 
 
+#: Types of a structured answer and the variant types that are one.
+VARIANT_KINDS = {
+    "bigint": ("BIGINT",), "double": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "string": ("STRING",), "boolean": ("BOOLEAN",),
+}
+
+
+def structured_fields(variant: Column, fields: dict[str, str]) -> tuple[dict[str, Column], Column]:
+    """Typed values of the paths of a parsed response, and its list of errors.
+
+    One parse (``try_parse_json``) serves any number of schemas.  An error names the
+    path and what is wrong with it: ``$: no JSON``, ``$.a.b: missing`` or ``$.a.b: string``
+    for a value of another type; JSON null counts as missing.
+    """
+    values, errors = {}, []
+    for path, kind in fields.items():
+        part = F.try_variant_get(variant, path, "variant")
+        found = F.when(~F.is_variant_null(part), F.regexp_extract(F.schema_of_variant(part), "^[A-Z]+", 0))
+        fits = F.coalesce(found.isin(*VARIANT_KINDS[kind]), F.lit(False))
+        values[path] = F.when(fits, F.try_variant_get(variant, path, kind))
+        errors.append(F.when(~fits, F.concat(F.lit(f"{path}: "), F.coalesce(F.lower(found), F.lit("missing")))))
+    broken = F.array_compact(F.array(*errors))
+    return values, F.when(variant.isNull(), F.array(F.lit("$: no JSON"))).otherwise(broken)
+
+
+def errors_by_path(df: DataFrame, output: str, fields: dict[str, str]) -> DataFrame:
+    """(error, n): how many responses fail at each path of a schema."""
+    parsed = df.select(F.try_parse_json(F.col(output)).alias("__v"))
+    _, errors = structured_fields(F.col("__v"), fields)
+    return parsed.select(F.explode(errors).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 def model_columns(long: DataFrame, keys: list[str], models: list[str], value: str) -> DataFrame:
     """Long results to one column per model, for export."""
     return long.groupBy(*keys).pivot("model", models).agg(F.first(value))
