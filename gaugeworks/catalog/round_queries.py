@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import conversation as C
 from ..functions import labels as L
 from ..operators import conversations as convo_ops
 from ..operators import rounds, similarity
+from ..plans import carried
+from ..session import checkpoint_folder
 from .registry import query
 from .retrieval_queries import _CENTROIDS, category_vectors
 
@@ -107,13 +111,16 @@ def round_result(t):
     return out.select(*KEY, "round_idx", "pred_keep_0", "pred_keep_1")
 
 
-@query("deficient", _SURV + """,
+_DEFICIENT = _SURV + """,
     kept AS (SELECT dwa, instance_idx FROM {pairs} JOIN p USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)
              WHERE k AND ((round_idx = 0 AND n = 2) OR (round_idx = 1 AND n = 1))),
     counts AS (SELECT dwa, count(*) AS n, count(DISTINCT o_orderpriority || o_orderstatus || o_custkey % 50) AS n_inst_dedup
                FROM kept JOIN {orders} ON instance_idx = o_orderkey GROUP BY 1)
     SELECT dwa, coalesce(n, 0) AS n, coalesce(n_inst_dedup, 0) AS n_inst_dedup, coalesce(n_inst_dedup, 0) < 150 AS cat_keep
-    FROM (SELECT DISTINCT dwa FROM {pairs}) LEFT JOIN counts USING (dwa)""")
+    FROM (SELECT DISTINCT dwa FROM {pairs}) LEFT JOIN counts USING (dwa)"""
+
+
+@query("deficient", _DEFICIENT)
 def deficient(t):
     """Survivors of two rounds per activity, with distinct texts."""
     kept = None
@@ -121,11 +128,24 @@ def deficient(t):
         one = t.preds.filter(F.col("round_idx") == r)
         part = rounds.survivors(t.pairs, one, rounds.chosen_steps(one), keys=KEY).select("dwa", "instance_idx")
         kept = part if kept is None else kept.unionByName(part)
-    texts = t.orders.select(
+    return rounds.deficient(t.pairs, kept, _order_texts(t), min_samples=150, count_column="n_inst_dedup")
+
+
+def _order_texts(t):
+    return t.orders.select(
         F.col("o_orderkey").alias("instance_idx"),
         F.concat("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 50).cast("string")).alias("text"),
     )
-    return rounds.deficient(t.pairs, kept, texts, min_samples=150, count_column="n_inst_dedup")
+
+
+@query("deficient_carried", _DEFICIENT)
+def deficient_carried(t):
+    """The same round by round, each reading its own predictions and the state of the one before; one is repeated."""
+    place = f"{checkpoint_folder(t.spark)}/rounds-{uuid.uuid4().hex}"
+    for r in (0, 1, 1):
+        one = t.preds.filter(F.col("round_idx") == r)
+        out = carried.advance(place, r, t.pairs, one, _order_texts(t), keys=KEY, min_samples=150, count_column="n_inst_dedup")
+    return out
 
 
 @query("keep_votes", """
