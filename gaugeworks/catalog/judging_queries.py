@@ -272,11 +272,11 @@ def leaderboard_doc_counts(t):
 def bootstrap_ci(t):
     """Exact multinomial bootstrap per stratum and model, held against theory.
 
-    The mean of 100 replicates has to lie within five of its standard errors of
-    the exact mean, and the half-width within 60 % of 1.645 standard errors.
+    The mean of 400 replicates has to lie within five of its standard errors of
+    the exact mean, and the half-width within 25 % of 1.645 standard errors.
     """
     cells = _cells(t)
-    found = J.replicate_summary(J.bootstrap_means(cells, ["stratum"], n_bootstrap=100), ["stratum"])
+    found = J.replicate_summary(J.bootstrap_means(cells, ["stratum"], n_bootstrap=400), ["stratum"])
     exact = cells.groupBy("stratum", "model").agg(
         F.sum("n").alias("n_battles"), (F.sum(F.col("scores") * F.col("n")) / F.sum("n")).alias("exact"),
         (F.sum(F.col("scores") * F.col("scores") * F.col("n")) / F.sum("n")).alias("square"),
@@ -285,8 +285,8 @@ def bootstrap_ci(t):
     half = (F.col("upper") - F.col("lower")) / 2
     return found.join(exact, ["stratum", "model"]).select(
         "stratum", "model", "n_battles", F.round("exact", 6).alias("exact"),
-        (F.abs(F.col("score") - F.col("exact")) <= 0.5 * error + 1e-9).alias("mean_near"),
-        (F.abs(half - 1.645 * error) <= 0.6 * 1.645 * error + 1e-9).alias("width_near"),
+        (F.abs(F.col("score") - F.col("exact")) <= 0.25 * error + 1e-9).alias("mean_near"),
+        (F.abs(half - 1.645 * error) <= 0.25 * 1.645 * error + 1e-9).alias("width_near"),
         ((F.col("lower") <= F.col("score")) & (F.col("score") <= F.col("upper"))).alias("ordered"),
     )
 
