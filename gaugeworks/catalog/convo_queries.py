@@ -120,9 +120,10 @@ def convo_first_of_role(t):
 @query("convo_fingerprint", f"""
     SELECT conv_id,
            sha256('[' || string_agg('{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}', ',' ORDER BY turn) || ']') AS convo_hash
-    FROM {{turns}} GROUP BY ALL""")
+    FROM {{conversations}} GROUP BY ALL""")
 def convo_fingerprint(t):
-    return _convos(t).select("conv_id", C.fingerprint("convo").alias("convo_hash"))
+    """Fingerprint of whole conversations, system turns included."""
+    return ops.from_turns(t.conversations).select("conv_id", C.fingerprint("convo").alias("convo_hash"))
 
 
 @query("convo_drop_turns", f"""
@@ -277,7 +278,8 @@ def range_lookup(t):
 
 
 def _fetch_inputs(t):
-    convos = _convos(t).select(
+    # with system turns, which the rendering leaves out
+    convos = ops.from_turns(t.conversations).select(
         F.concat(F.lit("set "), (F.col("conv_id") % 3).cast("string")).alias("dset_name"),
         F.col("conv_id").alias("local_id"), "convo",
     )
