@@ -196,55 +196,49 @@ def verdict_scores(c, weight: int = STRONG_WEIGHT) -> Column:
     return F.when(base.isNotNull(), F.array_repeat(base, times))
 
 
-_NUMBER = r"[0-9]+(?:\.[0-9]+)?"
-_RANGE = rf"({_NUMBER})\s*[-–—]\s*({_NUMBER})(?:\s*([a-z]+))?"
-_SINGLE = rf"({_NUMBER})\s*([a-z]+)"
-
-
-def _unit_factor(unit) -> Column:
-    return (
-        F.when(unit.isin(*MINUTE_UNITS), F.lit(1.0))
-        .when(unit.isin(*HOUR_UNITS), F.lit(60.0))
-        .otherwise(F.lit(None).cast("double"))
-    )
+_AMOUNT = r"\d+(?:\.\d+)?"
+# one or two amounts and a word behind them
+_QUANTITY = rf"({_AMOUNT})(?:\s*[-–—]\s*({_AMOUNT}))?(?:\s*([a-z]+))?"
 
 
 def minutes(c) -> Column:
     """Duration text to ``struct(value, error)`` in minutes.
 
-    Ranges give their midpoint, bare numbers are minutes, a missing duration is
-    zero.  Negative values, unknown units and other text set ``error``.
+    The quantities of a text are taken apart once: low, high and unit.  A range (its
+    midpoint counts) goes before a quantity with a unit, and a text that is one bare
+    amount is in minutes; a missing duration is zero.  Negative values, unknown units
+    and other text set ``error``.
     """
-    t = F.regexp_replace(F.lower(ws_strip(c)), "~", "")
-    t = F.coalesce(F.regexp_replace(t, r"^[<>]\s*", ""), F.lit(""))
-    return bind(t, _minutes_of)
-
-
-def _minutes_of(t) -> Column:
-    negative = t.rlike(r"(^|\s)-\s*[0-9]")
+    plain = F.translate(F.lower(ws_strip(c)), "~", "")
+    # a leading "more than" or "less than" sign says nothing about the amount
+    plain = F.coalesce(F.regexp_replace(plain, r"\A[<>]\s*", ""), F.lit(""))
+    return bind(plain, lambda t: bind(_quantities(t), lambda q: _minutes_of(t, q)))
+
+
+def _quantities(t) -> Column:
+    """All quantities of a text in order, missing parts empty."""
+    return F.arrays_zip(*[
+        F.regexp_extract_all(t, F.lit(_QUANTITY), F.lit(g)).alias(n) for g, n in enumerate(("low", "high", "unit"), 1)
+    ])
+
+
+def _minutes_of(t, quantities) -> Column:
+    factors = {u: f for units, f in ((MINUTE_UNITS, 1.0), (HOUR_UNITS, 60.0), (("",), 1.0)) for u in units}
+    below_zero = F.concat(F.lit(" "), t).rlike(r"\s-\s*\d")
+    missing = t.isin("", "not_specified", "not specified")
+    chosen = F.coalesce(
+        F.get(F.filter(quantities, lambda q: q["high"] != ""), F.lit(0)),
+        F.get(F.filter(quantities, lambda q: q["unit"] != ""), F.lit(0)),
+        F.when(t.rlike(rf"\A{_AMOUNT}\z"), F.get(quantities, F.lit(0))),
+    )
 
-    def num(pattern, g):
-        return F.regexp_extract(t, pattern, g).try_cast("double")
+    def read(q):
+        low, high = (q[end].try_cast("double") for end in ("low", "high"))
+        return (low + F.coalesce(high, low)) / 2 * lookup(q["unit"], factors).cast("double")
 
-    range_factor = bind(
-        F.regexp_extract(t, _RANGE, 3),
-        lambda u: F.when(u == "", F.lit(1.0)).otherwise(_unit_factor(u)),
-    )
-    value = (
-        F.when(t.isin("", "not_specified", "not specified"), F.lit(0.0))
-        .when(negative, F.lit(None).cast("double"))
-        .when(t.rlike(rf"^{_NUMBER}\z"), t.try_cast("double"))
-        .when(t.rlike(_RANGE), (num(_RANGE, 1) + num(_RANGE, 2)) / 2 * range_factor)
-        .when(t.rlike(_SINGLE), num(_SINGLE, 1) * _unit_factor(F.regexp_extract(t, _SINGLE, 2)))
-    )
-    reason = (
-        F.when(negative, F.lit("negative"))
-        .when(t.rlike(_RANGE) | t.rlike(_SINGLE), F.lit("unit"))
-        .otherwise(F.lit("unparsed"))
-    )
-    return bind(
-        value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), reason).alias("error"))
-    )
+    value = F.when(missing, F.lit(0.0)).when(~below_zero, bind(chosen, read))
+    why = F.when(below_zero, "negative").when(chosen.isNotNull(), "unit").otherwise("unparsed")
+    return bind(value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), why).alias("error")))
 
 
 _ACTIVITY_FIELDS = (
