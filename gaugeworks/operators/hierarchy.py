@@ -16,6 +16,7 @@ from .scale import dense_ids, first_per_key, null_safe, ordered_lists, skew_join
 HOT_MEMBERS = 1_000  # members of a group per salt, where each meets all others
 SMALL_TASK = 64  # DWAs of a task that meet as rows, beyond it as bitmaps
 
+# fixed value: line in place of an empty list
 NO_SIBLINGS = "- (no other tasks provided)"
 
 

@@ -295,6 +295,10 @@ def fill_grid(df: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     return grid.join(df, [*rows.columns, name], "left")
 
 
+# fixed value: text of the scores of a judgment
+SCORE_TEXT = ("Avg. score: ", " / 3.0\tForward score: ", "\tReverse score: ")
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     """Forward, reverse and average score per judgment."""
     def total(c):
@@ -305,11 +309,10 @@ def score_summary(scored: DataFrame) -> DataFrame:
     ).withColumn("avg", (F.col("forward_score") + F.col("backward_score")) / 2)
     return out.withColumn(
         "judge_scores",
-        F.concat(
-            F.lit("Avg. score: "), F.col("avg").cast("string"),
-            F.lit(" / 3.0\tForward score: "), F.col("forward_score").cast("string"),
-            F.lit("\tReverse score: "), F.col("backward_score").cast("string"),
-        ),
+        F.concat(*[
+            part for text, name in zip(SCORE_TEXT, ("avg", "forward_score", "backward_score"))
+            for part in (F.lit(text), F.col(name).cast("string"))
+        ]),
     )
 
 

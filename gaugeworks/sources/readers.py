@@ -97,13 +97,19 @@ def as_strings(df: DataFrame, renderer=C.render, convo: str = "convo") -> DataFr
 # ---- occupational tables -----------------------------------------------------
 
 
+# fixed values: headings of the published occupational tables
+TASK_DWA = {"Title": "title", "Task": "task", "DWA ID": "dwa_id", "DWA Title": "dwa_title"}
+DWA_IWA = {"DWA ID": "dwa_id", "DWA Title": "dwa_title", "IWA Title": "iwa_title"}
+DESIRE_OCCUPATION, DESIRE_TASK = "Occupation (O*NET-SOC Title)", "Task"
+
+
 def task_dwa(spark: SparkSession, path: str) -> DataFrame:
     """Task / activity edges (CSV with headings)."""
-    return _headed(spark, path, {"Title": "title", "Task": "task", "DWA ID": "dwa_id", "DWA Title": "dwa_title"})
+    return _headed(spark, path, TASK_DWA)
 
 
 def dwa_iwa(spark: SparkSession, path: str) -> DataFrame:
-    return _headed(spark, path, {"DWA ID": "dwa_id", "DWA Title": "dwa_title", "IWA Title": "iwa_title"})
+    return _headed(spark, path, DWA_IWA)
 
 
 def _headed(spark: SparkSession, path: str, names: dict[str, str], sep: str = ",") -> DataFrame:
@@ -124,7 +130,7 @@ def split_task_tables(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return renamed.distinct(), renamed.select("category_occ", "category_task").distinct()
 
 
-def desires(spark: SparkSession, path: str, *, occupation: str = "Occupation (O*NET-SOC Title)", task: str = "Task") -> DataFrame:
+def desires(spark: SparkSession, path: str, *, occupation: str = DESIRE_OCCUPATION, task: str = DESIRE_TASK) -> DataFrame:
     return _headed(spark, path, {occupation: "category_occ", task: "category_task"})
 
 
